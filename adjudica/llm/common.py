@@ -1,40 +1,18 @@
-"""What the text operators share: shared folders, row hygiene, words as bytes."""
+"""What the text operators share: row hygiene, words as bytes, the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from adjudica.operators.components import shared_folder as shared_dir, stored
 
 #: Lower-cases A-Z and turns every byte outside 0-9, a-z, 0x80-0xFF into a space, so that
 #: ``split()`` gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set
-    (a cluster), else a temporary one of this machine (tests on one machine)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="adjudica-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: lineage ends there, and a lost
-    executor costs a read, not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def base_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id long, text string) of every row, null text as empty; other columns go."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -66,3 +44,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+__all__ = ["WORD_BYTES", "WordHashes", "base_rows", "mix64", "shared_dir", "stored", "word_bytes"]

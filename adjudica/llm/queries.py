@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adjudica.llm import decontaminate, lines, packing, quality, secrets, token_files, tokens
+from adjudica.llm import decontaminate, html_text, language, lines, packing, quality, secrets, similar, token_files, tokens
 from adjudica.llm.common import shared_dir
 
 
@@ -15,6 +15,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.contract(_documents(spark, sf_dir), language.default_vocabulary())
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.contract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(_documents(spark, sf_dir), path, tokens.default_path())
@@ -38,12 +46,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(_documents(spark, sf_dir), tokens.default_path()))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.near_duplicates(_documents(spark, sf_dir))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contract(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_secrets, op5_line_dedup, op7_quality_cascade, op8_packing, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language, op2_html_text, op3_token_files, op4_secrets, op5_line_dedup, op7_quality_cascade, op8_packing, op9_jaccard_join, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
