@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adjudica.llm import decontaminate, html_text, language, lines, packing, quality, secrets, similar, token_files, tokens
+from adjudica.llm import decontaminate, html_text, language, lines, packing, quality, secrets, similar, substrings, token_files, tokens
 from adjudica.llm.common import shared_dir
 
 
@@ -38,6 +38,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.contract(_documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.contract(_documents(spark, sf_dir))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.contract(_documents(spark, sf_dir))
 
@@ -55,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_html_text, op3_token_files, op4_secrets, op5_line_dedup, op7_quality_cascade, op8_packing, op9_jaccard_join, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language, op2_html_text, op3_token_files, op4_secrets, op5_line_dedup, op6_substring_dedup, op7_quality_cascade, op8_packing, op9_jaccard_join, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
