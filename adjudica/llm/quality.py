@@ -42,38 +42,70 @@ def _covered(starts: str) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda n, s: n + s)
 
 
-def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the counts that the rules read, each computed once: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_upper and n_lower (ASCII letters). Null text counts as no words; columns of these names are replaced."""
-    own = ["_t", "_w", "_one", "_two", "_four", "_eight", "_lines", "_at", "_starts"]
-    frame = df.drop(*own).withColumn("_t", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    frame = frame.withColumn("_w", words(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
-    frame = frame.withColumn("_one", F.transform("_w", lambda w: F.xxhash64(w)))
+def _add_words(frame: DataFrame, text: Column) -> DataFrame:
+    return frame.withColumn("_w", words(text)).withColumn("n_words", F.size("_w").cast("long"))
+
+
+def _add_repeats(frame: DataFrame, text: Column) -> DataFrame:
+    # each step is a column of its own: what a lambda refers to is computed once a row, not once an element
+    frame = frame.withColumn("_one", F.when(text.isNotNull(), F.transform("_w", lambda w: F.xxhash64(w))))
     for new, old, gap in (("_two", "_one", 1), ("_four", "_two", 2), ("_eight", "_four", 4)):
         frame = frame.withColumn(new, _pairs(F.col(old), gap, F.size("_w")))
     frame = frame.withColumn("_eight", F.slice("_eight", 1, F.greatest(F.size("_w") - (WINDOW - 1), F.lit(0))))
-    # each step is a column of its own: what a lambda refers to is computed once a row, not once an element
     at = F.sort_array(F.transform("_eight", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     frame = frame.withColumn("_at", F.when(F.size(F.array_distinct("_eight")) < F.size("_eight"), at))
     frame = frame.withColumn("_starts", F.when(F.col("_at").isNotNull(), _twice("_at")))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    frame = frame.withColumn("_lines", lines)
-    counts = {
-        "word_chars": F.length("_t") - F.regexp_count("_t", F.lit(SPACE)),
-        "n_symbols": F.regexp_count("_t", F.lit(r"[#*$%&|<>]")),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": F.when(F.col("_starts").isNull(), F.lit(0).cast("long")).otherwise(_covered("_starts")),
-        "n_upper": F.regexp_count("_t", F.lit(r"[A-Z]")),
-        "n_lower": F.regexp_count("_t", F.lit(r"[a-z]")),
-    }
-    return frame.withColumns({k: v.cast("long") for k, v in counts.items()}).drop(*own)
+    return frame.withColumn("n_repeat_words", F.when(F.col("_starts").isNull(), F.lit(0).cast("long")).otherwise(_covered("_starts")))
+
+
+def _add_lines(frame: DataFrame, text: Column) -> DataFrame:
+    frame = frame.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return frame.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+
+
+def _add(name: str, count: Callable[[Column], Column]) -> Callable[[DataFrame, Column], DataFrame]:
+    return lambda frame, text: frame.withColumn(name, count(text).cast("long"))
+
+
+#: How each count is added to a frame from a text column; a null text gives no count and takes no work.
+#: n_repeat_words reads the words that n_words made.
+COUNTS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
+    "n_words": _add_words,
+    "word_chars": _add("word_chars", lambda t: F.length(t) - F.regexp_count(t, F.lit(SPACE))),
+    "n_symbols": _add("n_symbols", lambda t: F.regexp_count(t, F.lit(r"[#*$%&|<>]"))),
+    "n_dup_lines": _add_lines,
+    "n_repeat_words": _add_repeats,
+    "n_upper": _add("n_upper", lambda t: F.regexp_count(t, F.lit(r"[A-Z]"))),
+    "n_lower": _add("n_lower", lambda t: F.regexp_count(t, F.lit(r"[a-z]"))),
+}
+_OWN = ("_t", "_w", "_one", "_two", "_four", "_eight", "_lines", "_at", "_starts", "_v")
+
+
+def _begin(df: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
+    kept = [c for c in df.columns if c not in (*_OWN, *COUNTS, "rejected_by")]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t")), kept
+
+
+def _settled(frame: DataFrame, kept: list[str], made: list[str]) -> DataFrame:
+    """The made columns as a generator's output, so that a later filter on them stays above the work: pushed below, it
+    would do all of it again inside one expression."""
+    return frame.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*made))))
+
+
+def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with all counts; null text counts as no words, columns of these names are replaced."""
+    frame, kept = _begin(df, text_col)
+    for add in COUNTS.values():
+        frame = add(frame, F.col("_t"))
+    return _settled(frame, kept, list(COUNTS))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a predicate on the counts; ``per_char`` and ``per_word`` are its work."""
+    """``rejects`` is a predicate on ``counts``; ``per_char`` and ``per_word`` are the work of these."""
 
     name: str
+    counts: tuple[str, ...]
     rejects: Callable[[], Column]
     per_char: float = 0.0
     per_word: float = 0.0
@@ -83,12 +115,12 @@ BASE = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 #: Production rules. Thresholds are whole-number comparisons, the same in any engine.
 RULES = (
-    Rule("few_words", lambda: F.col("n_words") < 20, per_char=1.0),
-    Rule("repeated_words", lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"), per_char=1.0, per_word=8.0),
-    Rule("symbols", lambda: 10 * F.col("n_symbols") > F.col("n_words"), per_char=1.2),
-    Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 16 * F.col("n_words")), per_char=2.0),
-    Rule("repeated_lines", lambda: 2 * F.col("n_dup_lines") > F.col("n_words"), per_char=1.5),
-    Rule("capitals", lambda: F.col("n_upper") > F.col("n_lower"), per_char=2.4),
+    Rule("few_words", ("n_words",), lambda: F.col("n_words") < 20, per_char=1.0),
+    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"), per_char=1.0, per_word=8.0),
+    Rule("symbols", ("n_words", "n_symbols"), lambda: 10 * F.col("n_symbols") > F.col("n_words"), per_char=1.2),
+    Rule("word_length", ("n_words", "word_chars"), lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 16 * F.col("n_words")), per_char=2.0),
+    Rule("repeated_lines", ("n_words", "n_dup_lines"), lambda: 2 * F.col("n_dup_lines") > F.col("n_words"), per_char=1.5),
+    Rule("capitals", ("n_upper", "n_lower"), lambda: F.col("n_upper") > F.col("n_lower"), per_char=2.4),
 )
 #: The rules above as SQL, for the query's check.
 RULES_SQL = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 2 * n_dup_lines > n_words OR n_upper > n_lower"
@@ -106,16 +138,21 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     return sorted(rules, key=lambda r: (-(row[f"r_{r.name}"] or 0.0) / work[r.name], work[r.name], r.name))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, text_col: str = "text", all_counts: bool = False) -> DataFrame:
     """``docs`` with the counts and ``rejected_by``, the first rule of the cascade that rejects (null: kept).
 
-    Null and empty texts have no words and fail few_words; repeated rows are judged alike; an empty table
-    gives no row.
+    A row that a rule rejected goes no further: later rules see a null text for it, and their counts are null.
+    ``all_counts`` computes them for every row all the same. Null and empty texts have no words and fail
+    few_words; repeated rows are judged alike; an empty table gives no row.
     """
-    counted, verdict = with_counts(docs, text_col), None
+    frame, kept = _begin(docs, text_col)
+    frame, made = frame.withColumn("_v", F.lit(None).cast("string")), []
     for rule in cascade_order(docs, rules, sample_rows, text_col=text_col):
-        verdict = F.when(rule.rejects(), rule.name) if verdict is None else verdict.when(rule.rejects(), rule.name)
-    return counted.withColumn("rejected_by", verdict)
+        for name in (c for c in rule.counts if c not in made):
+            frame = COUNTS[name](frame, F.col("_t") if all_counts else F.when(F.col("_v").isNull(), F.col("_t")))
+            made.append(name)
+        frame = frame.withColumn("_v", F.coalesce("_v", F.when(rule.rejects(), F.lit(rule.name))))
+    return _settled(frame.withColumn("rejected_by", F.col("_v")), kept, [*made, "rejected_by"])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -124,5 +161,5 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def contract(docs: DataFrame) -> DataFrame:
-    judged = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    judged = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), all_counts=True)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE).alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
