@@ -18,13 +18,28 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again, which cuts the lineage."""
+    """Writes a table into the shared folder and reads it again: lineage ends there, and a lost executor costs a read,
+    not a recomputation. The table stays until ``clear_stored``, as later plans may read it."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes the tables that this process has stored; call it when no result that reads them is needed any more."""
+    jvm, n = spark.sparkContext._jvm, len(_STORED)
+    for path in _STORED:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _STORED.clear()
+    return n
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reached. Null ends are no edges.
 
