@@ -216,15 +216,18 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """``docs`` without the spans that test items cover; documents of which hits cover over ``max_coverage`` of the
     words go altogether. Columns stay as they are; clean rows are untouched."""
 
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column of docs has the name of an added one
+    plain, text = docs.toDF(*names), names[docs.columns.index(text_col)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame[text_col] = [_cut(t, s) for t, s in zip(frame[text_col], frame["_spans"])]
-            yield frame[columns]
+            frame[text] = [_cut(t, s) for t, s in zip(frame[text], frame["_spans"])]
+            yield frame[names]
 
-    columns, schema = list(docs.columns), _schema(docs)
-    hits = find_contamination(docs, benchmark, window, block_words, text_col)
+    hits = find_contamination(plain, benchmark, window, block_words, text)
     covered = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["b"] - s["a"])
-    return hits.where(covered <= F.lit(max_coverage) * F.col("_words")).drop("_words", "_items").mapInPandas(run, schema)
+    kept = hits.where(covered <= F.lit(max_coverage) * F.col("_words")).drop("_words", "_items")
+    return kept.mapInPandas(run, _schema(plain)).toDF(*docs.columns)
 
 
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
