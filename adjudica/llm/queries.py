@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adjudica.llm import decontaminate, html_text, language, lines, packing, quality, secrets, similar, substrings, token_files, tokens
+from adjudica.llm import decontaminate, html_text, language, lines, oracles, packing, quality, secrets, similar, substrings, token_files, tokens
 from adjudica.llm.common import shared_dir
 
 
@@ -63,4 +63,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL: they are held against brute force, round trips or held-out accuracy in tests/llm."""
+    return {"op4_secrets": oracles.SECRETS, "op5_line_dedup": oracles.LINES, "op7_quality_cascade": oracles.QUALITY, "op10_decontaminate": oracles.DECONTAMINATION}
