@@ -46,3 +46,17 @@ def latest_copy(predictions: DataFrame, outcomes: DataFrame, key: list[str], mad
     early = F.max_by(F.when(F.col(made) <= F.col(opened), copy), F.when(F.col(made) <= F.col(opened), F.col(made)))
     picked = both.groupBy(*outcomes.columns).agg(F.coalesce(early, F.min_by(copy, made)).alias("_copy"))
     return picked.select(*outcomes.columns, "_copy.*")
+
+
+def corpus(units: DataFrame, day: str, estimation: str, reference: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, exclusions): units that are dated, estimated and have a reference; and one row of counts of those that are not, by
+    the first reason that holds."""
+    reason = F.when(F.col(day).isNull(), "undated").when(~F.coalesce(F.col(estimation) > 0, F.lit(False)), "no_estimation").when(F.col(reference).isNull(), "no_reference")
+    marked = units.withColumn("_reason", reason)
+    return marked.where("_reason IS NULL").drop("_reason"), marked.where("_reason IS NOT NULL").groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def due_today(rows: DataFrame, ref: str, attempts: str, today: int, cycle: int, most: int) -> DataFrame:
+    """Rows to try again: each ref has its day of the cycle, by its md5, until ``most`` attempts."""
+    turn = F.pmod(F.conv(F.substring(F.md5(F.col(ref).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(cycle))
+    return rows.where((turn == today % cycle) & (F.col(attempts) < most))

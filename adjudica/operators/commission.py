@@ -21,6 +21,13 @@ def candidate_bids(bids: DataFrame, unit: list[str]) -> DataFrame:
     return bids.where("amount IS NOT NULL").withColumn("_some", some).where("admitted OR NOT _some").drop("_some")
 
 
+def within_band(bids: DataFrame, tenders: DataFrame, unit: list[str], band: float) -> DataFrame:
+    """Bids within ``band`` (a share) of the estimation; all bids of a unit that has none such, or no estimation."""
+    rows = bids.join(tenders.select(*unit, F.col("estimation").alias("_e")), unit, "left")
+    rows = rows.withColumn("_in", F.coalesce(F.col("amount").between(F.col("_e") * (1 - band), F.col("_e") * (1 + band)), F.lit(False)))
+    return rows.withColumn("_some", F.bool_or("_in").over(W.partitionBy(*unit))).where("_in OR NOT _some").drop("_e", "_in", "_some")
+
+
 def _scaled(sorted_amounts: Column, reference: Column) -> Column:
     return F.filter(sorted_amounts, lambda a: (a >= reference / SCALE) & (a <= reference * SCALE))
 

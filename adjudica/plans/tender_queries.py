@@ -600,3 +600,126 @@ def lockout(spark, d):
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
 def supersede(spark, d):
     return limits.supersede(table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+# more of the same areas
+
+
+@query(f"{FULL_SQL}, w AS (SELECT c.*, coalesce(amount BETWEEN estimation * (1 - 0.2) AND estimation * (1 + 0.2), false) AS i FROM cand c LEFT JOIN tenders t ON t.unit = c.unit) SELECT unit, seq, bidder FROM (SELECT *, bool_or(i) OVER (PARTITION BY unit) AS o FROM w) WHERE i OR NOT o")
+def within_band(spark, d):
+    return commission.within_band(_candidates(spark, d), tenders(spark, d), ["unit"], 0.2).select("unit", "seq", "bidder")
+
+
+@query(f"{FULL_SQL}, u AS (SELECT unit, CASE WHEN priority <> '5-LOW' THEN day END AS day, t.estimation, reference FROM tenders t LEFT JOIN prices USING (unit)) SELECT CASE WHEN day IS NULL THEN 'undated' WHEN NOT coalesce(estimation > 0, false) THEN 'no_estimation' ELSE 'no_reference' END AS reason, count(*) AS n FROM u WHERE day IS NULL OR NOT coalesce(estimation > 0, false) OR reference IS NULL GROUP BY 1")
+def corpus_exclusions(spark, d):
+    u = tenders(spark, d).withColumn("day", F.when(F.col("priority") != "5-LOW", F.col("day"))).join(_prices(spark, d).select("unit", "reference"), "unit", "left")
+    return asof.corpus(u, "day", "estimation", "reference")[1]
+
+
+@query("SELECT o_orderkey AS unit FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS UBIGINT) % 7 = 3 AND o_custkey % 5 < 3")
+def retry_schedule(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("unit"), (F.col("o_custkey") % 5).alias("attempts"))
+    return asof.due_today(rows, "unit", "attempts", 10, 7, 3).select("unit")
+
+
+@query("SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+def year_by_status(spark, d):
+    counts = {k: F.count_if(F.col("o_orderstatus") == k.upper()).alias(k) for k in "fop"}
+    return table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(*counts.values())
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def month_facet(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus = 'O'").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderdate >= TIMESTAMP '1998-08-01 00:00:00' AS active, count(*) AS n FROM orders GROUP BY 1")
+def active_expired(spark, d):
+    return table(spark, d, "orders").groupBy((F.col("o_orderdate") >= F.lit("1998-08-01").cast("timestamp_ntz")).alias("active")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 8")
+def last_proofs(spark, d):
+    ranked = marts.top_per_key(table(spark, d, "events"), "user_id", [F.col("ts").desc(), F.col("event_id").desc()], 8)
+    return ranked.select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT o_custkey AS buyer, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
+def nested_children(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("buyer"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    nested = search.with_children(o.select("buyer").distinct(), o, "buyer", "c")
+    return nested.select("buyer", F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["k"].cast("string"), x["s"])), ",").alias("orders"))
+
+
+@query(
+    f"{CATALOGUE['fictitious_bid_grid'][1].replace('SELECT unit, rate, rank FROM ranked WHERE seq = 1152921504606846976', '')}, s AS (SELECT priority, rate, count(*) FILTER (rank = 1) AS w, count(*) AS n FROM ranked r JOIN tenders USING (unit) WHERE seq = 1152921504606846976 GROUP BY ALL), "
+    "gn AS (SELECT priority, rate, (rate - 0.8) * (w / n) AS gain FROM s) SELECT priority, arg_max(rate, (gain, -rate)) AS rate FROM gn GROUP BY 1"
+)
+def best_fixed_rate(spark, d):
+    won = commission.replay_with_bid(_candidates(spark, d), tenders(spark, d), ["unit"], _RATES, None).join(tenders(spark, d).select("unit", "priority"), "unit")
+    shares = won.groupBy("priority", "rate").agg((F.count_if(F.col("rank") == 1) / F.count(F.lit(1))).alias("share"))
+    return decide.best_rate(shares, ["priority"], 0.8).select("priority", "rate")
+
+
+@query(f"{_RATES_SQL} SELECT CAST(floor((rate - 0.7) / 0.005) AS BIGINT) AS bin, count(*) AS n FROM r GROUP BY 1")
+def rate_histogram(spark, d):
+    return simulate.histogram(_rates(spark, d), "rate")
+
+
+@query("SELECT user_id, min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last, count(*) AS copies FROM events WHERE event_type = 'view' GROUP BY 1")
+def frozen_listing(spark, d):
+    return tracking.listing(table(spark, d, "events").where("event_type = 'view'").withColumn("day", F.to_date("ts")), ["user_id"], "day")
+
+
+@query(f"{FULL_SQL}, a AS (SELECT unit, priority, estimation, reference, min(amount) AS lowest FROM prices JOIN bids USING (unit) JOIN (SELECT unit, priority FROM tenders) USING (unit) WHERE reference IS NOT NULL GROUP BY ALL) SELECT priority, count(*) FILTER (abs(estimation - lowest) < abs(reference - lowest)) AS wins, count(*) FILTER (abs(estimation - lowest) = abs(reference - lowest)) AS ties, count(*) FILTER (abs(estimation - lowest) > abs(reference - lowest)) AS losses FROM a GROUP BY 1")
+def predictor_duel(spark, d):
+    low = bids(spark, d).groupBy("unit").agg(F.min("amount").alias("lowest"))
+    rows = _prices(spark, d).where("reference IS NOT NULL").join(low, "unit").join(tenders(spark, d).select("unit", "priority"), "unit")
+    return tracking.duel(rows, "estimation", "reference", "lowest", ["priority"])
+
+
+@query("SELECT l_orderkey AS unit, max(p_size) AS class, count(DISTINCT p_brand) AS codes FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def best_class(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy(F.col("l_orderkey").alias("unit")).agg(F.max("p_size").alias("class"), F.count_distinct("p_brand").alias("codes"))
+
+
+@query(f"{FULL_SQL}, w AS (SELECT priority, bidder, count(*) AS n FROM ranked JOIN tenders USING (unit) WHERE rank = 1 GROUP BY ALL), t AS (SELECT priority, sum(n) AS total, count(*) AS k FROM w GROUP BY 1) SELECT priority, floor(sum(-(n / total) * ln(n / total)) / greatest(ln(max(k)), 1e-12) * 1e6 + 0.5) / 1e6 AS entropy FROM w JOIN t USING (priority) GROUP BY 1")
+def win_entropy(spark, d):
+    wins = _ranked(spark, d).where("rank = 1").join(tenders(spark, d).select("unit", "priority"), "unit")
+    return copresence.entropy(wins, "priority", "bidder").select("priority", (F.floor(F.col("entropy") * 1e6 + 0.5) / F.lit(1e6)).alias("entropy"))
+
+
+@query("SELECT c_mktsegment AS segment, c_custkey AS buyer FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY turn, o) AS k FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY o) AS turn FROM (SELECT *, sha256(CAST(c_custkey AS VARCHAR)) AS o FROM customer))) WHERE k <= 12")
+def diverse_sample(spark, d):
+    """Twelve buyers of each segment, the nations taken in turn: a sample is the feature."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("buyer"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
+    return tracking.diverse_sample(rows, "buyer", "buyer", "c_nationkey", "segment", 12).select("segment", "buyer")
+
+
+@query()
+def alike_names(spark, d):
+    """Part names of one type of first letter that are alike (tested on hand-made names)."""
+    names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    return similarity.alike_names(names, "id", "name", F.substring("name", 1, 1), 0.7, text.matching_blocks_ratio)
+
+
+@query()
+def version_dedup(spark, d):
+    """Republished tenders: orders of one buyer and priority whose titles (the first part's name) are alike; the dearest is kept."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
+    o = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("p") == F.col("p_partkey"))
+    rows = o.select(F.col("o_orderkey").cast("string").alias("ref"), F.col("o_orderpriority").alias("reference"), F.col("o_custkey").cast("string").alias("buyer"), F.col("p_name").alias("title"), "o_totalprice")
+    return similarity.version_groups(rows, [F.col("o_totalprice")]).select("ref", "version_group", "main", F.col("versions").cast("long").alias("versions"))
+
+
+@query()
+def buyer_dimension(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_name").alias("buyer"))
+    return readers.buyer_dimension(rows)
+
+
+@query()
+def bootstrap_interval(spark, d):
+    """95 % interval of the mean rate, by Poisson weights of a hash (tested)."""
+    return tracking.bootstrap(_rates(spark, d), "unit", "rate", 50)
