@@ -1,54 +1,61 @@
 """Token ids of whole texts from a public tokenizer file, memoised by pre-token.
 
 Byte-level BPE splits a text by a fixed pattern and merges inside each piece only, so the ids of
-a text are the ids of its pieces in order. Each task keeps the pieces that it has met.
+a text are the ids of its pieces in order. Each worker keeps the pieces that it has met, and has the
+tokenizers library's model merge the others.
 """
 
 from __future__ import annotations
 
-import os
 import re
-
-import numpy as np
+import struct
 
 #: Characters on which the classes of ``re`` and of the tokenizer agree; other texts go the slower way.
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes a byte as a letter: printable bytes of Latin-1 as they are, the others as the letters
+    from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(0x100 + rest.index(b)) for b in range(256)}
+
+
+class _Memo(dict):
+    """Piece -> its ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
+        self[piece] = ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+        return ids
+
+
 class Encoder:
-    """``ids_bytes(text)``: little-endian unsigned 32-bit ids, without special tokens; strings of
-    special tokens inside a text are ordinary text."""
+    """``ids_bytes(text)``: the ids of ``Tokenizer.encode(text, add_special_tokens=False)``; strings of special tokens
+    inside a text are ordinary text. At most about ``limit`` pieces are kept."""
 
-    def __init__(self, path: str, limit: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str, limit: int = 1_000_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.exact = regex.compile(public_tokenizers.PATTERN)
-        self.limit, self.seen = limit, {}
+        self.limit, self.seen = limit, _Memo(Tokenizer.from_file(path).model)
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.seen) + len(pieces) > self.limit:
-            self.seen.clear()
-        for k in range(0, len(pieces), 2000):
-            part = pieces[k : k + 2000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            cut = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            self.seen.update((p, ids[a:b]) for p, a, b in zip(part, cut, cut[1:]))
+    def forget(self) -> None:
+        """At a task's end, so that an idle worker holds no pieces."""
+        self.seen.clear()
 
     def ids_bytes(self, text: str) -> bytes:
+        if len(self.seen) > self.limit:
+            self.seen.clear()
         pieces = (self.exact if _PLAIN.search(text) else _PIECES).findall(text)
-        new = set(pieces).difference(self.seen)
-        if new:
-            if len(self.seen) + len(new) > self.limit:
-                self.seen.clear()
-                new = set(pieces)
-            self._learn(list(new))
         return b"".join(map(self.seen.__getitem__, pieces))
 
 
@@ -56,7 +63,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for a worker process."""
+    """The worker's one encoder, whose model is loaded once."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
