@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from adjudica.functions.text import buyer_key, flat, flat_key, parse_amount, strip_html
+from adjudica.operators.components import shared_folder
 
 MINUTES = (
     "refConsultation string, statut_extraction string, alertes array<string>, fichier string, portail struct<reference:string,acheteur:string,categorie:string,publie_le:string,lien:string>, "
@@ -79,6 +80,7 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
 
 def close_merges(links: DataFrame, max_steps: int = 30) -> DataFrame:
     """Each merged key with the last key of its chain. Steps double, so that 30 follow any real chain."""
+    shared_folder(links.sparkSession)  # a checkpoint folder, where none is set
     now = links.select("merged", "kept")
     for _ in range(max_steps):
         nxt = now.select(F.col("merged").alias("_m"), F.col("kept").alias("_k"))
