@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, vocabulary_path: str, docs_per_language: int = 2000
             yield out.groupby(["lang", "word"], as_index=False).size().rename(columns={"size": "n"})
 
     text = chosen.select(F.coalesce("text", F.lit("")).alias("text"), "lang")
-    counts = stored(text.mapInPandas(words, "lang string, word string, n long").groupBy("word").pivot("lang", list(languages)).agg(F.sum("n")), "language-words")
+    counts = stored(text.mapInPandas(words, "lang string, word string, n long").groupBy("word").pivot("lang", list(languages)).agg(F.sum("n")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"), "language-words")
     width = len(languages)
     p = np.zeros((len(names) + 2, width))
     p[:-1] = 1 / (len(names) + 1)
