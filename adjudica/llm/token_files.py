@@ -39,37 +39,41 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each block, escapes) of unsigned ids."""
     ids = ids.astype(np.uint64)
     n = len(ids)
-    big = ids >> np.uint64(60) != 0
-    bits = np.zeros(n, np.int64)
-    for shift in range(60):  # bit lengths, exact for all 60-bit values
-        over = (ids >> np.uint64(shift)) != 0
-        if not over.any():
-            break
-        bits += over
-    bits = np.maximum(bits, 1)
-    bits[big] = 61
-    # the highest count that fits at each place, by the largest bit length of the next `count` ids
-    left = BLOCK - np.arange(n) % BLOCK
-    left = np.minimum(left, n - np.arange(n))
-    take, selector = np.ones(n, np.int64), np.full(n, 13, np.int64)
-    chosen = np.zeros(n, bool)
-    for s, count in enumerate(COUNTS.tolist()):
-        if count > n:
-            continue
-        width = 60 // count
-        bad = np.concatenate(([0], np.cumsum(bits > width)))
-        fits = np.zeros(n, bool)
-        fits[: n - count + 1] = bad[count:] == bad[: n - count + 1]
-        fits &= (left >= count) & ~chosen
-        take[fits], selector[fits] = count, s
-        chosen |= fits
+    bits = np.maximum(np.frexp(ids.astype(float))[1], 1).astype(np.uint8)  # bit lengths; a double holds those of 53 bits exactly
+    big = np.zeros(0, np.int64)
+    if n and int(ids.max()) >> 53:
+        high = ids >> np.uint64(32)
+        bits = np.where(high > 0, 32 + np.frexp(high.astype(float))[1], bits).astype(np.uint8)
+        big = np.flatnonzero(bits > 60)
+    # the highest count that fits at each place: runs of ids of few bits, which no block's end cuts
+    left = BLOCK - (np.arange(n) & (BLOCK - 1))
+    left[n - n % BLOCK :] = np.arange(n % BLOCK, 0, -1)
+    take, selector = np.ones(n, np.uint8), np.full(n, 13, np.uint8)
+    for s in range(len(COUNTS) - 2, -1, -1):
+        count = int(COUNTS[s])
+        narrow = bits <= 60 // count
+        if count <= 8 and n >= count:
+            fits = narrow[: n - count + 1].copy()
+            for j in range(1, count):
+                fits &= narrow[j : n - count + 1 + j]
+            fits &= left[: n - count + 1] >= count
+            np.putmask(take[: n - count + 1], fits, count)
+            np.putmask(selector[: n - count + 1], fits, s)
+        elif count > 8 and len(few := np.flatnonzero(narrow)) >= count:
+            begin = few[: len(few) - count + 1]
+            begin = begin[few[count - 1 :] - begin == count - 1]
+            begin = begin[left[begin] >= count]
+            take[begin], selector[begin] = count, s
     selector[big] = ESCAPE
-    after = (np.arange(n) + take).tolist()
-    at, i = [], 0
-    while i < n:
-        at.append(i)
-        i = after[i]
-    at = np.array(at, np.int64)
+    # words begin where the one before ends; blocks go side by side
+    at, ends = np.arange(0, n, BLOCK), np.minimum(np.arange(0, n, BLOCK) + BLOCK, n)
+    begins = np.zeros(n, bool)
+    while len(at):
+        begins[at] = True
+        at = at + take[at]
+        more = at < ends
+        at, ends = at[more], ends[more]
+    at = np.flatnonzero(begins)
     chosen_s = selector[at]
     words = chosen_s.astype(np.uint64) << np.uint64(60)
     for s, count in enumerate(COUNTS.tolist()):
@@ -122,6 +126,7 @@ def _segments(path: str, end_id: int):
                     parts.clear()
         if docs:
             yield segment()
+        enc.forget()
 
     return run
 
