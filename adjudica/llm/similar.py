@@ -173,13 +173,20 @@ def _verify(threshold: float):
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(class_id, component, n) of the classes that share a band hash with another, through any chain."""
+    """(class_id, component, n) of the classes that share a band hash with another, through any chain.
+
+    A band is a star around its smallest class. A class that is in several stars ties their centres together,
+    and groups of copies tie the same few centres: components are sought among the centres alone, and
+    each class goes where its smallest centre is.
+    """
     bands = classes.select("class_id", F.explode("bands").alias("band"))
-    least = bands.groupBy("band").agg(F.min("class_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
-    edges = bands.join(least, "band").where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b"))
-    found = connected_components(edges)
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    return found.join(sizes, "component").select(F.col("node").alias("class_id"), "component", "n")
+    least = bands.groupBy("band").agg(F.min("class_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
+    own = stored(bands.join(least, "band").groupBy("class_id").agg(F.min("centre").alias("centre"), F.collect_set("centre").alias("centres")), "jaccard-stars")
+    ties = own.select(F.col("centre").alias("a"), F.explode("centres").alias("b")).where("a <> b").distinct()
+    found = connected_components(ties)
+    placed = own.join(found, own.centre == found.node, "left").select("class_id", F.coalesce("component", "centre").alias("component"))
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return placed.join(sizes, "component").select("class_id", "component", "n")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
