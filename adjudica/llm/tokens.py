@@ -37,8 +37,8 @@ class _Memo(dict):
 
 
 class Encoder:
-    """``ids_bytes(text)``: the ids of ``Tokenizer.encode(text, add_special_tokens=False)``; strings of special tokens
-    inside a text are ordinary text. At most about ``limit`` pieces are kept."""
+    """``ids_bytes(text)``: the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` with the library's default
+    settings, so that an added token inside a text has its own id. At most about ``limit`` pieces are kept."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         import public_tokenizers
@@ -46,7 +46,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = regex.compile(public_tokenizers.PATTERN)
-        self.limit, self.seen = limit, _Memo(Tokenizer.from_file(path).model)
+        self.whole = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        self.limit, self.seen = limit, _Memo(self.whole.model)
 
     def forget(self) -> None:
         """At a task's end, so that an idle worker holds no pieces."""
@@ -55,6 +57,9 @@ class Encoder:
     def ids_bytes(self, text: str) -> bytes:
         if len(self.seen) > self.limit:
             self.seen.clear()
+        if any(x in text for x in self.added):
+            found = self.whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
         pieces = (self.exact if _PLAIN.search(text) else _PIECES).findall(text)
         return b"".join(map(self.seen.__getitem__, pieces))
 

@@ -376,6 +376,25 @@ def test_encoder_on_any_text():
         assert np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() == own.ids_bytes(x)
 
 
+def test_added_tokens_inside_a_text(spark):
+    from tokenizers import Tokenizer
+
+    t, end = Tokenizer.from_file(tokens.default_path()), "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x{end}  {end}\n\ny é", f"{end} 's漢字 {end}12", "<|endoftext|", f"<|endoftext{end}|>", "plain"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4") for x in texts]
+    assert want[0].tolist() == [64, 220, 50256, 275]
+    own = tokens.Encoder(tokens.default_path())
+    assert [own.ids_bytes(x) for x in texts] == [x.tobytes() for x in want]
+    frame, path = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    token_files.write_token_files(frame, path, tokens.default_path())
+    got, start = table(token_files.read_token_files(spark, path)), 0
+    for k, ids in enumerate(want):
+        assert got[k].start == start and bytes(got[k].ids) == ids.tobytes() + np.array([2], "<u4").tobytes()
+        start += len(ids) + 1
+    packed = table(packing.pack_documents(frame, tokens.default_path(), capacity=1 << 20))
+    assert all(packed[k].doc_tokens == len(ids) + 1 for k, ids in enumerate(want))
+
+
 # 9
 
 
