@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adjudica.operators.commission import reference_prices, commission_rank
+from adjudica.operators.commission import RATIO, SCALE, reference_prices, commission_rank
 
 # The grid of our bid's rate is (FIRST + j) / DENOMINATOR, j below POINTS.
 FIRST, DENOMINATOR, POINTS = 1600, 2000, 801
@@ -96,5 +96,47 @@ def winning_rates(offers: DataFrame, rates: list[float]) -> DataFrame:
     return ranked.where(F.col("seq") == F.lit(1 << 60)).select(*key, (F.col("rank") == 1).alias("wins"))
 
 
+def replay_on_grid(amounts: np.ndarray, estimation: float, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(judged, wins) of each rate: what ``commission.replay_with_bid`` (unrounded) says of one unit, with a fictitious
+    last bid of rate x ``estimation`` beside the real ``amounts``. Sums go in the same order, so that ties are the same."""
+    own = xs * estimation
+    all_ = np.sort(np.column_stack([np.broadcast_to(amounts, (len(xs), len(amounts))), own]), axis=1)
+    mid = all_[:, all_.shape[1] // 2, None]
+    near, alike = ((all_ >= m / SCALE) & (all_ <= m * SCALE) for m in (estimation, mid))
+    used = np.where((near.sum(1) >= 2)[:, None], near, np.where((alike.sum(1) >= 2)[:, None], alike, True))
+    total = np.zeros(len(xs))
+    for k in range(all_.shape[1]):
+        total = np.where(used[:, k], total + all_[:, k], total)
+    mean = total / used.sum(1)
+    judged = (mean / estimation <= RATIO) & (mean / estimation >= 1 / RATIO)
+    reference = (mean + estimation) / 2
+    others, lowest = np.asarray(amounts)[None, :], np.min(amounts)
+    beaten = ((others >= own[:, None]) & (others <= reference[:, None])).any(1)
+    return judged, judged & np.where(own <= reference, ~beaten, lowest > own)
+
+
+def fixed_rate_curve(bids: DataFrame, tenders: DataFrame, unit: list[str], by: str) -> DataFrame:
+    """(by, j, x, chance): the share of the judged units of each ``by`` (a column of ``tenders``) that each rate of the grid
+    wins. A unit is one row, whose bids are a bounded list; tasks hand on sums over the grid, not copies of bids."""
+    own = tenders.where("estimation > 0").select(*unit, "estimation", by)
+    rows = bids.groupBy(*unit).agg(F.collect_list("amount").alias("amounts")).join(own, unit).select(by, "estimation", "amounts")
+    kind = tenders.schema[by].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        xs = grid()
+        for frame in frames:
+            sums: dict = {}
+            for key, estimation, amounts in zip(frame[by], frame.estimation, frame.amounts):
+                judged, wins = replay_on_grid(np.asarray(amounts, float), estimation, xs)
+                w, n = sums.setdefault(key, (np.zeros(len(xs), np.int64), np.zeros(len(xs), np.int64)))
+                w += wins
+                n += judged
+            yield pd.DataFrame([(k, w.tolist(), n.tolist()) for k, (w, n) in sums.items()], columns=[by, "w", "n"])
+
+    sums = rows.mapInPandas(run, f"`{by}` {kind}, w array<long>, n array<long>").select(by, F.posexplode(F.arrays_zip("w", "n")).alias("j", "s"))
+    told = sums.groupBy(by, "j").agg(F.sum("s.w").alias("w"), F.sum("s.n").alias("n")).where("n > 0")
+    return told.select(by, "j", ((F.col("j") + FIRST) / F.lit(float(DENOMINATOR))).alias("x"), (F.col("w") / F.col("n")).alias("chance"))
+
+
 def histogram(rows: DataFrame, value: str, start: float = 0.7, width: float = 0.005) -> DataFrame:
     return rows.groupBy(F.floor((F.col(value) - start) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

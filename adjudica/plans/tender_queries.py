@@ -533,22 +533,39 @@ def poisson_binomial(spark, d):
 
 
 def _curve(spark, d):
-    """Share of the units that each fixed rate wins, as a curve on a coarse grid."""
-    grid = [0.8 + 0.02 * k for k in range(21)]
-    won = commission.replay_with_bid(_candidates(spark, d), tenders(spark, d), ["unit"], grid, None)
-    n = won.join(tenders(spark, d).select("unit", "priority"), "unit").groupBy("priority", "rate").agg(F.count_if(F.col("rank") == 1).alias("w"), F.count(F.lit(1)).alias("n"))
-    return n.select("priority", F.floor((F.col("rate") - 0.8) / 0.02 + 0.5).cast("int").alias("j"), F.col("rate").alias("x"), (F.col("w") / F.col("n")).alias("chance"))
+    """Share of the units that each fixed rate of the grid wins, by priority class."""
+    return simulate.fixed_rate_curve(_candidates(spark, d), tenders(spark, d), ["unit"], "priority")
+
+
+def _signals(spark, d):
+    """(unit, priority, and the signals of the decision) of each open tender with an estimation. Today is the last day of the tenders, a tender's
+    deadline its last line's day; the history is that of the tenders that are not open. An unsuccessful tender admits no bid; companies
+    seen twice at a buyer are identified; a group's chance is that of its likeliest company with a strong link. The tables
+    hold nothing of our own (qualifications, bids in progress), so that these signals are null."""
+    all_, p = tenders(spark, d), presences(spark, d)
+    today = all_.agg(F.max("day").alias("today"))  # one row
+    ends = bids(spark, d).groupBy("unit").agg(F.max("shipped").alias("deadline"), F.bool_or("admitted").alias("admitted"))
+    past = all_.where("status <> 'O'").join(ends, "unit", "left")
+    buyers = past.groupBy("buyer").agg(F.count(F.lit(1)).alias("buyer_n"), (F.count_if(~F.coalesce("admitted", F.lit(False))) / F.count(F.lit(1))).alias("unsuccessful_rate"))
+    before = p.join(past.select("unit"), "unit", "left_semi")
+    strong = copresence.pairs(before, 3).where("level = 'fort'").select(F.explode(F.array("a", "b")).alias("company")).distinct().withColumn("strong", F.lit(True))
+    met = before.groupBy("buyer", "company").agg(F.count(F.lit(1)).alias("n")).join(strong, "company", "left").join(buyers.select("buyer", "buyer_n"), "buyer")
+    known = met.groupBy("buyer").agg((F.sum(F.when(F.col("n") >= 2, F.col("n")).otherwise(0)) / F.sum("n")).alias("identified"), F.max(F.when(F.col("strong"), F.col("n") / F.col("buyer_n"))).alias("group_p"))
+    now = all_.where("status = 'O' AND estimation > 0").join(ends.select("unit", "deadline"), "unit").join(F.broadcast(today))
+    rows = now.join(buyers, "buyer", "left").join(known, "buyer", "left")
+    none = {"eligibility": F.lit(None).cast("string"), "in_progress": F.lit(None).cast("long"), "plan_max": F.lit(None).cast("long")}
+    return rows.select("unit", "priority", F.datediff("deadline", "today").alias("days"), F.coalesce("buyer_n", F.lit(0)).alias("buyer_n"), "identified", "group_p", "unsuccessful_rate").withColumns(none)
 
 
 @query()
 def decision_reasons(spark, d):
-    """The recommended price and decision of each priority class, on the curve of fixed rates (tested on hand-made curves)."""
+    """The recommended price of each priority class, on the curve of fixed rates, and the decision on each open tender of the class (tested on
+    hand-made curves, and the curve against the commission's replay)."""
     curve = _curve(spark, d)
     costs = curve.select("priority").distinct().withColumns({"cost": F.lit(0.7), "margin": F.lit(0.05)})
     told = decide.evaluate(curve, costs, ["priority"])
-    signals = {"days": F.lit(10), "eligibility": F.lit("eligible"), "buyer_n": F.lit(5), "identified": F.lit(0.8), "group_p": F.lit(None).cast("double"), "unsuccessful_rate": F.lit(0.1), "in_progress": F.lit(1), "plan_max": F.lit(5)}
-    done = decide.decide(told.withColumns(signals))
-    return done.select("priority", "x", "gain", "chance", "zone_low", "zone_high", "decision", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("codes"))
+    done = decide.decide(_signals(spark, d).join(F.broadcast(told), "priority"))  # one row a class
+    return done.select("unit", "priority", "x", "gain", "chance", "zone_low", "zone_high", "decision", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("codes"))
 
 
 @query()

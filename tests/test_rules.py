@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adjudica.functions import measures, text
 from adjudica.operators import asof, bidders, commission, copresence, decide, eligibility, groups, marts, rates, similarity, simulate, tracking
 from adjudica.operators.components import connected_components
+from adjudica.plans import tender_queries
 
 
 def one(spark, column, value=None, kind="string"):
@@ -227,6 +228,31 @@ def test_fast_rule_is_the_official_rule(spark):
     assert simulate.wins_on_grid(np.array([0.95]), np.array([0.95, 0.96])).tolist() == [False, True]
 
 
+def test_curve_of_fixed_rates_is_the_replay(spark):
+    rng = np.random.RandomState(7)
+    sets = {f"u{k}": (float(rng.randint(50, 150)), [float(v) for v in rng.randint(40, 160, rng.randint(1, 8))]) for k in range(30)}
+    sets |= {"far": (100.0, [3.0, 2000.0, 95.0]), "odd": (10.0, [900.0, 950.0, 1000.0]), "even": (100.0, [100.0, 100.0]), "one": (100.0, [90.0])}
+    rows = spark.createDataFrame([(u, k, v) for u, (_, vs) in sets.items() for k, v in enumerate(vs)], "unit string, seq long, amount double")
+    own = spark.createDataFrame([(u, e, "ab"[len(u) % 2]) for u, (e, _) in sets.items()] + [("none", None, "a")], "unit string, estimation double, priority string")
+    curve = {(r.priority, r.j): (r.x, r.chance) for r in simulate.fixed_rate_curve(rows, own, ["unit"], "priority").collect()}
+    assert len(curve) == 2 * 801
+    at = list(range(0, 801, 40))
+    xs = simulate.grid()
+    slow = commission.replay_with_bid(rows, own, ["unit"], [float(xs[j]) for j in at], None).join(own.select("unit", "priority"), "unit").collect()
+    for key in "ab":
+        for j in at:
+            found = [r["rank"] == 1 for r in slow if r.priority == key and r.rate == xs[j]]
+            assert curve[(key, j)] == (xs[j], pytest.approx(sum(found) / len(found), abs=1e-15))
+
+
+def test_decisions_use_the_whole_grid_and_the_tables(spark):
+    d = "/root/testdata/sf0.001"
+    rows = tender_queries.decision_reasons(spark, d).collect()
+    assert len({r.priority for r in rows}) == 5 and len(rows) > 5
+    assert any(abs(r.x * 50 - round(r.x * 50)) > 1e-6 for r in rows)  # not on a grid of 0.02
+    assert len({r.codes for r in rows}) > 1 and any("delai_depasse" in r.codes for r in rows) and any("delai_depasse" not in r.codes for r in rows)
+
+
 def test_simulation_is_seeded(spark):
     c = spark.createDataFrame([("t", 0.9, 0.95, 0.05), ("t", 0.5, 1.0, 0.05)], "unit string, p double, mu double, sigma double")
     a, b = ([(r.j, r.chance) for r in simulate.chance_curve(c, 300).orderBy("j").collect()] for _ in range(2))
