@@ -1,8 +1,8 @@
 """Groups of companies: link graph, maximal cliques, families, communities, scores.
 
-Components come of Spark (``connected_components``); cliques and families are found inside one component, whose
-edges meet in one task. Components of real co-presence graphs are bounded by the levels that make an edge;
-one beyond ``MAX_EDGES`` is refused by name, not cut.
+Components come of Spark (``connected_components``). Cliques are found at each company among its neighbours, so that a
+task holds one neighbourhood, however large the component; communities are rounds of joins. Families pack the cliques of
+one component in order, which is done in one task a component.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from adjudica.functions.measures import clip
-from adjudica.operators.components import connected_components
+from adjudica.operators.components import connected_components, stored
 
-MAX_EDGES = 200_000
 # Weights of the score's parts.
 SCORE_WEIGHTS = {"strength": 20.0, "volume": 15.0, "chance": 30.0, "contexts": 15.0, "off_profile": 5.0, "gains": 0.0}
 
@@ -31,9 +30,10 @@ def link_graph(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return edges.join(told.where("answer = 'non'").select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _maximal_cliques(near: dict) -> Iterator[tuple]:
-    """Sets of nodes all linked to each other to which no node can be added; by expansion around a pivot."""
-    stack = [((), set(near), set())]
+def _maximal_cliques(near: dict, first, open_: set, done: set) -> Iterator[tuple]:
+    """Sets of ``first`` and nodes of ``open_``, all linked to each other, to which no node of ``open_`` or ``done`` can be added; by
+    expansion around a pivot. ``near``: the neighbours of both among each other, those between two of ``done`` left out."""
+    stack = [((first,), open_, done)]
     while stack:
         clique, open_, done = stack.pop()
         if not open_ and not done:
@@ -46,25 +46,50 @@ def _maximal_cliques(near: dict) -> Iterator[tuple]:
             done = done | {node}
 
 
-def _with_component(edges: DataFrame) -> DataFrame:
-    return edges.join(connected_components(edges), F.col("a") == F.col("node")).select("a", "b", "component")
+def _numbered(cliques: DataFrame) -> DataFrame:
+    """``clique``: the place of the members' list in its component, without gathering a component: places inside ranges of the sorted
+    lists, and the counts of the ranges before."""
+    parts = int(cliques.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(cliques.repartitionByRange(parts, "component", "members").withColumn("_range", F.spark_partition_id()), "cliques")
+    counts = rows.groupBy("component", "_range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("component", "_range", (F.sum("n").over(W.partitionBy("component").orderBy("_range")) - F.col("n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("component", "_range").orderBy("members")) - 1
+    placed = rows.withColumn("_place", place).join(before, ["component", "_range"])
+    return placed.select("component", (F.col("_place") + F.col("_before")).cast("int").alias("clique"), "members")
 
 
 def maximal_cliques(edges: DataFrame) -> DataFrame:
-    """(component, clique, members): members sorted; every edge is in a clique."""
+    """(component, clique, members): members sorted; every edge is in a clique.
+
+    Nodes are ordered by degree, then by name. A clique is found at its first node, among the later neighbours; the
+    earlier ones tell whether it is maximal. Links between neighbours are the triangles of the graph.
+    """
     kind = edges.schema["a"].dataType.simpleString()
+    links = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    place = lambda end: degree.select(F.col("node").alias(end), F.struct("degree", "node").alias(f"_{end}"))
+    placed = links.join(place("a"), "a").join(place("b"), "b")
+    forth = stored(placed.select(F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v")), "clique-edges")
+    wedges = forth.join(forth.select("u", F.col("v").alias("w")), "u").where("v < w")
+    triangles = stored(wedges.join(forth.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi").select(F.col("u.node").alias("u"), F.col("v.node").alias("v"), F.col("w.node").alias("w")), "triangles")
+    inside = triangles.select(F.explode(F.array(F.struct("u", "v"), F.struct("u", F.col("w").alias("v")), F.struct(F.col("v").alias("u"), F.col("w").alias("v")))).alias("x")).select("x.*").distinct()
+    bare = forth.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).join(inside, ["u", "v"], "left_anti")  # links in no triangle
+    at = triangles.select(F.col("u").alias("first"), F.col("v").alias("later"), F.col("w").alias("other"), F.lit(False).alias("before")).unionByName(
+        triangles.select(F.col("v").alias("first"), F.col("w").alias("later"), F.col("u").alias("other"), F.lit(True).alias("before"))
+    )
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MAX_EDGES:
-            raise ValueError(f"component {frame.component.iloc[0]} has {len(frame)} edges")
-        near: dict = {}
-        for a, b in zip(frame.a.tolist(), frame.b.tolist()):
+        first, open_, done = frame["first"].iloc[0], set(frame.later.tolist()), set()
+        near: dict = {n: set() for n in open_}
+        for a, b, before in zip(frame.later.tolist(), frame.other.tolist(), frame.before.tolist()):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
-        found = sorted(_maximal_cliques(near))
-        return pd.DataFrame({"component": frame.component.iloc[0], "clique": range(len(found)), "members": [list(c) for c in found]})
+            (done if before else open_).add(b)
+        found = [(first, list(c)) for c in _maximal_cliques(near, first, open_, done)]
+        return pd.DataFrame(found, columns=["first", "members"], dtype=object).astype({"first": frame["first"].dtype})
 
-    return _with_component(edges).groupBy("component").applyInPandas(of, f"component {kind}, clique int, members array<{kind}>")
+    found = at.groupBy("first").applyInPandas(of, f"first {kind}, members array<{kind}>").unionByName(bare.select(F.col("u").alias("first"), F.sort_array(F.array("u", "v")).alias("members")))
+    return _numbered(found.join(connected_components(links), F.col("first") == F.col("node")).select("component", "members"))
 
 
 def kept_cliques(cliques: DataFrame, presences: DataFrame, least_units: int = 5, present: int = 3) -> DataFrame:
@@ -99,31 +124,29 @@ def families(cliques: DataFrame, largest: int = 12) -> DataFrame:
     return cliques.groupBy("component").applyInPandas(of, f"component {kind}, family int, core array<{kind}>, occasional array<{kind}>, key string")
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community): weighted label propagation in a fixed order inside each component, a deterministic stand-in for
-    modularity communities. ``edges``: a, b, weight."""
-    kind = edges.schema["a"].dataType.simpleString()
-    parts = edges.join(connected_components(edges), F.col("a") == F.col("node")).select("a", "b", "weight", "component")
-
-    def of(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, w in zip(frame.a.tolist(), frame.b.tolist(), frame.weight.tolist()):
-            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
-        label = {n: n for n in near}
-        for _ in range(rounds):
-            moved = False
-            for node in sorted(near):
-                pull: dict = {}
-                for other, w in near[node].items():
-                    pull[label[other]] = pull.get(label[other], 0) + w
-                new = min(pull, key=lambda c: (-pull[c], c))
-                if pull[new] > pull.get(label[node], 0):
-                    label[node], moved = new, True
-            if not moved:
-                break
-        return pd.DataFrame({"node": list(label), "community": list(label.values())})
-
-    return parts.groupBy("component").applyInPandas(of, f"node {kind}, community {kind}")
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community): weighted label propagation, a deterministic stand-in for modularity communities. ``edges``: a, b, weight.
+
+    A node wants the label of most weight among its neighbours (ties: the smallest) where that is more than its own label's.
+    In each round those move that come first, in the round's order, among the neighbours that want to move: never two that
+    are linked, so that every round adds weight inside communities, and the rounds end, when no node wants to move.
+    """
+    own = edges.select("a", "b", "weight").where("a IS NOT NULL AND b IS NOT NULL")
+    both = stored(own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).distinct(), "community-edges")
+    labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "community-labels")
+    turn = 0
+    while True:
+        pull = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("w"))
+        mine = pull.join(labels.select("node", F.col("label").alias("old")), "node")
+        best = mine.groupBy("node", "old").agg(F.max("w").alias("most"), F.max(F.when(F.col("label") == F.col("old"), F.col("w"))).alias("held"))
+        new = mine.join(best.select("node", "most", "held"), "node").where("w = most").groupBy("node").agg(F.min("label").alias("new"), F.any_value("most").alias("most"), F.any_value("held").alias("held"))
+        wish = stored(new.where("most > coalesce(held, 0)").select("node", "new", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node").alias("at")), "community-wishes")
+        if not wish.limit(1).count():
+            return labels.select("node", F.col("label").alias("community"))
+        rival = both.select(F.col("a").alias("node"), "b").join(wish.select(F.col("node").alias("b"), F.col("at").alias("other")), "b").groupBy("node").agg(F.min("other").alias("other"))
+        moves = wish.join(rival, "node", "left").where("other IS NULL OR at <= other").select("node", "new")
+        labels = stored(labels.join(moves, "node", "left").select("node", F.coalesce("new", "label").alias("label")), "community-labels")
+        turn += 1
 
 
 def group_score(strength: Column, volume: Column, ratio: Column, tail: Column, buyers: Column, regions: Column, domains: Column, off_profile: Column, gains: Column) -> Column:

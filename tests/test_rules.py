@@ -179,6 +179,33 @@ def test_random_cliques_are_maximal(spark):
     assert got == want
 
 
+def test_cliques_of_a_large_component(spark):
+    n = 200_500  # links in one component: a star whose first leaves make a ring of triangles
+    star = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    ring = spark.range(1, 1001).select(F.col("id").alias("a"), (F.col("id") % 1000 + 1).alias("b"))
+    found = groups.maximal_cliques(star.unionByName(ring)).groupBy(F.size("members").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("clique").alias("ids"), F.max("clique").alias("last")).collect()
+    assert {r["size"]: (r.n, r.ids) for r in found} == {3: (1000, 1000), 2: (n - 1000, n - 1000)}
+    assert max(r["last"] for r in found) == n - 1
+
+
+def test_communities_settle(spark):
+    chain = [(k, k + 1, 100 - k) for k in range(8)]
+    two = [(a, b, 3) for s in (100, 200) for a, b in itertools.combinations(range(s, s + 4), 2)] + [(100, 200, 1), (300, 301, 1)]
+    pair = [(400 + a, 410 + b, 1) for a in range(3) for b in range(3)]  # two sides: moving all at once would never end
+    edges = chain + two + pair
+    got = {r.node: r.community for r in groups.communities(spark.createDataFrame(edges, "a long, b long, weight long")).collect()}
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    assert set(got) == set(near)
+    for node, others in near.items():
+        pull = {}
+        for other, w in others.items():
+            pull[got[other]] = pull.get(got[other], 0) + w
+        assert pull.get(got[node], 0) == max(pull.values())
+    assert len({got[k] for k in range(100, 104)}) == 1 and got[100] != got[200] and got[300] == got[301]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
