@@ -151,16 +151,11 @@ def content(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
         if found:
             region = max(found, key=lambda c: (held[c], -c[1]))
             return "\n".join(x[0] for x in lines if not x[4] and region in x[3])
-    # no element says where the article is: the innermost container with most of the clusters' text, from its first
-    # to its last line above the threshold
+    # no element says where the article is: the innermost container with most of the clusters' text
     total = sum(len(lines[k][0]) for k in np.flatnonzero(chosen).tolist())
     most = [c for c, n in held.items() if n >= 0.6 * total]
     region = max(most, key=lambda c: c[1], default=None)
-    inside = [k for k, x in enumerate(lines) if not x[4] and (region is None or region in x[3]) and x[2] <= 0.8 * len(x[0])]
-    marked = [k for k in inside if chosen[k]]
-    if not marked:
-        return ""
-    return "\n".join(lines[k][0] for k in inside if marked[0] - 1 <= k <= marked[-1])
+    return "\n".join(x[0] for x in lines if not x[4] and (region is None or region in x[3]))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", sigma: float = 1.0, share: float = 0.5) -> DataFrame:

@@ -376,6 +376,17 @@ def test_encoder_on_any_text():
         assert np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() == own.ids_bytes(x)
 
 
+def test_html_without_article_keeps_short_ends_and_links():
+    six = [f"{k} " + "words of the text " * 22 for k in range(6)]
+    body = lambda blocks: "<html><body><nav><a href=/>Menu</a></nav><div class=page>" + "".join(blocks) + "</div><footer>Foot</footer></body></html>"
+    p = lambda xs: [f"<p>{x}</p>" for x in xs]
+    for first, last in (([], ["one", "two", "three"]), (["by me", "today"], []), (["by me"], ["end"])):
+        got = html_text.content(body(["<h1>Title</h1>", *p(first), *p(six), *p(last)])).split("\n")
+        assert got == ["Title", *first, *[x.strip() for x in six], *last]
+    got = html_text.content(body(["<h1>Title</h1>", *p(six[:3]), "<ul><li><a href=/x>a link alone</a></li></ul>", *p(six[3:])])).split("\n")
+    assert "a link alone" in got and len(got) == 8
+
+
 def test_added_tokens_inside_a_text(spark):
     from tokenizers import Tokenizer
 
