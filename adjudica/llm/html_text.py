@@ -1,12 +1,16 @@
 """Main text of HTML pages by text-to-tag ratio.
 
 Parser events of the standard library are streamed into *lines*: one for each block of text, with the
-number of tags met since the last, the characters inside and outside links, and the containers it stands
-in. Lines of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments count
-as without text. The ratios of text to tags are smoothed by a Gaussian over neighbouring lines; what lies
-above a threshold (a share of the standard deviation, or of the mean where ratios are even) forms
-clusters, and the container that holds most of their text is the content region. All of its lines that
-are not boilerplate are the main text, short ones too.
+number of tags met since the last, the characters inside links, and the containers it stands in. What
+stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+is told apart piece by piece as data arrives, so that a script or an advert inside a paragraph leaves the
+paragraph's own text. Such text is no text for the ratio.
+
+The ratios of text to tags are smoothed by a Gaussian over neighbouring lines; what lies above a threshold (a share of the
+standard deviation, or of the mean where ratios are even) forms clusters. The clusters choose the content region: the
+articles that they touch, or else the ``main`` elements, or else the innermost container with most of their text. All
+lines of the region stay, short ones too. Containers whose class or id may name boilerplate or a part of an article (a
+legal note, a discussion) count half in the ratio, and stay where clusters hold most of their text.
 """
 
 from __future__ import annotations
@@ -24,49 +28,66 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split()
 )
 #: Elements whose text is never main text; fixed values.
-NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas math dialog menu label input audio video map datalist".split())
+NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas dialog menu label input audio video map datalist".split())
 #: Words of class, id and role that name boilerplate; fixed values.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay sidebar sidebars aside complementary widget widgets menu menus nav navbar navigation navigational breadcrumb breadcrumbs footer contentinfo header masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe subscription signup login search comment comments commentlist respond replies reply discussion disqus pagination pager copyright legal disclaimer skip hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay sidebar sidebars complementary widget widgets menu menus nav navbar navigation navigational breadcrumb breadcrumbs footer contentinfo masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe subscription signup login search comment comments commentlist respond replies reply disqus pagination pager skip".split()
 )
+#: Words that name boilerplate or a part of an article; fixed values.
+DOUBTFUL = frozenset("aside copyright disclaimer discussion header hidden legal".split())
+#: Words that mark an ``article`` element of a list or of a reader; fixed values.
+NO_ARTICLE = frozenset("ad ads comment comments promo related reply sponsored teaser".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORDS = re.compile(r"[a-z]+")
+_NONE = re.compile(r"display\s*:\s*none")
 _INNER = frozenset("article main section div td body".split())
 
 
+class Held:
+    """An open element. ``sure``: it or one that holds it is boilerplate; ``doubt``: the outermost doubtful one."""
+
+    __slots__ = ("name", "number", "sure", "doubt")
+
+    def __init__(self, name: str, number: int, sure: bool, doubt: int):
+        self.name, self.number, self.sure, self.doubt = name, number, sure, doubt
+
+
 class LineParser(HTMLParser):
-    """Collects lines: (text, tags, link characters, containers, boilerplate)."""
+    """Collects lines: (text, tags, link characters, containers, doubtful container or 0). Boilerplate is a line of no text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number, boilerplate from here on
-        self.lines: list[tuple[str, int, int, tuple[tuple[str, int], ...], bool]] = []
+        self.stack: list[Held] = []
+        self.lines: list[tuple[str, int, int, tuple[tuple[str, int], ...], int]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.number = 0
+        self.tags = self.linked = self.links = self.number = self.doubt = 0
+        self.dropped = False
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text:
-            path = tuple((name, k) for name, k, _ in self.stack if name in _INNER)
-            self.lines.append((text, max(1, self.tags), min(self.linked, len(text)), path, bool(self.stack and self.stack[-1][2])))
+        if text or self.dropped:
+            path = tuple((x.name, x.number) for x in self.stack if x.name in _INNER)
+            self.lines.append((text, max(1, self.tags), min(self.linked, len(text)), path, self.doubt))
             self.tags = 0
         self.parts.clear()
-        self.linked = 0
+        self.linked = self.doubt = 0
+        self.dropped = False
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """2 boilerplate, 1 doubtful, 0 neither."""
         if tag in NEVER:
-            return True
+            return 2
         if tag == "header":
-            return not any(name == "article" for name, *_ in self.stack)
-        said = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden", "aria-label")}
-        if tag in ("html", "body", "main"):
-            return False
-        if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
-            return True
+            return 0 if any(x.name == "article" for x in self.stack) else 2
+        if not attrs or tag in ("html", "body", "main"):
+            return 0
+        said = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")}
+        if "hidden" in said or said.get("aria-hidden") == "true" or _NONE.search(said.get("style", "")):
+            return 2
         words = set(_WORDS.findall(" ".join(said.get(k, "") for k in ("class", "id", "role"))))
         if tag == "article":
-            return bool(words & {"comment", "comments", "reply", "ad", "ads", "promo", "sponsored", "teaser", "related"})
-        return bool(words & MARKS)
+            return 2 if words & NO_ARTICLE else 0
+        return 2 if words & MARKS else 1 if words & DOUBTFUL else 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -74,30 +95,26 @@ class LineParser(HTMLParser):
             self.links += 1
         if tag in ("br", "td", "th", "hr"):
             self.parts.append(" ")
-        held = tag in BLOCKS or tag in NEVER or tag in _INNER
-        marked = tag not in VOID and self._marked(tag, attrs)
-        if not held and not marked:
-            return
+        kind = 0 if tag in VOID else self._kind(tag, attrs)
         if tag in BLOCKS:
             self._flush()
-        if tag in VOID:
+        under = bool(self.stack) and (self.stack[-1].sure or self.stack[-1].doubt > 0)  # where each end must find its begin
+        if tag in VOID or not (kind or under or tag in BLOCKS or tag in _INNER):
             return
         if tag in ("p", "li", "dd", "dt", "option", "tr"):  # these end where the next of their kind begins
-            if self.stack and self.stack[-1][0] == tag:
+            if self.stack and self.stack[-1].name == tag:
                 self.stack.pop()
         if tag == "body":
-            while self.stack and self.stack[-1][0] == "head":
+            while self.stack and self.stack[-1].name == "head":
                 self.stack.pop()
         if tag in ("article", "main"):  # a menu or page header left open ends here
-            for k, (name, *_) in enumerate(self.stack):
-                if name in ("nav", "header", "head"):
+            for k, x in enumerate(self.stack):
+                if x.name in ("nav", "header", "head"):
                     del self.stack[k:]
                     break
-        below = bool(self.stack and self.stack[-1][2])
-        if below and tag in ("h1", "h2", "h3") and any(n == "header" for n, *_ in self.stack) and any(n == "article" for n, *_ in self.stack):
-            below = False
+        sure, doubt = (self.stack[-1].sure, self.stack[-1].doubt) if self.stack else (False, 0)
         self.number += 1
-        self.stack.append((tag, self.number, below or marked))
+        self.stack.append(Held(tag, self.number, sure or kind == 2, doubt or (self.number if kind == 1 else 0)))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -106,12 +123,18 @@ class LineParser(HTMLParser):
         if tag in BLOCKS:
             self._flush()
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+            if self.stack[k].name == tag:
                 del self.stack[k:]
                 break
 
     def handle_data(self, data: str) -> None:
+        at = self.stack[-1] if self.stack else None
+        if at is not None and at.sure:
+            self.dropped = self.dropped or not data.isspace()
+            return
         self.parts.append(data)
+        if at is not None and at.doubt and not data.isspace():
+            self.doubt = at.doubt
         if self.links:
             self.linked += len(data.strip())
 
@@ -128,41 +151,50 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
+def clusters(lines: list, sigma: float, share: float) -> np.ndarray:
+    """Whether each line is in a cluster."""
+    ratios = np.array([(len(x[0]) - x[2]) / x[1] / (2 if x[4] else 1) for x in lines])
+    level = smooth(ratios, sigma)
+    chosen = (level >= min(share * level.std(), level.mean())) & (ratios > 0)
+    return chosen if chosen.any() else np.array([bool(x[0]) for x in lines])
+
+
 def content(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
-    """The main text of one page; '' for a page without any."""
+    """The main text of one page; '' for a page without any. All articles that clusters touch are the region; an
+    article inside another is a part of it."""
     parser = LineParser()
     parser.feed(html)
     parser.close()
     lines = parser.lines
-    if not lines:
+    if not any(x[0] for x in lines):
         return ""
-    good = np.array([not x[4] for x in lines])
-    ratios = np.array([0.0 if x[4] else (len(x[0]) - x[2]) / x[1] for x in lines])
-    level = smooth(ratios, sigma)
-    chosen = good & (level >= min(share * level.std(), level.mean())) & (ratios > 0)
-    if not chosen.any():
-        chosen = good
+    chosen = clusters(lines, sigma, share).tolist()
     held: dict[tuple[str, int], int] = {}
-    for k in np.flatnonzero(chosen).tolist():
-        for container in lines[k][3]:
-            held[container] = held.get(container, 0) + len(lines[k][0])
+    doubts: dict[int, list[int]] = {}
+    for line, hit in zip(lines, chosen):
+        if line[4]:
+            seen = doubts.setdefault(line[4], [0, 0])
+            seen[0] += len(line[0]) if hit else 0
+            seen[1] += len(line[0])
+        if hit:
+            for container in line[3]:
+                held[container] = held.get(container, 0) + len(line[0])
+    out = {k for k, (hit, all_) in doubts.items() if 2 * hit <= all_}
     for kind in ("article", "main"):
-        found = [c for c in held if c[0] == kind]
-        if found:
-            region = max(found, key=lambda c: (held[c], -c[1]))
-            return "\n".join(x[0] for x in lines if not x[4] and region in x[3])
+        region = {c for c in held if c[0] == kind}
+        if region:
+            return "\n".join(x[0] for x in lines if x[0] and x[4] not in out and not region.isdisjoint(x[3]))
     # no element says where the article is: the innermost container with most of the clusters' text
-    total = sum(len(lines[k][0]) for k in np.flatnonzero(chosen).tolist())
-    most = [c for c, n in held.items() if n >= 0.6 * total]
-    region = max(most, key=lambda c: c[1], default=None)
-    return "\n".join(x[0] for x in lines if not x[4] and (region is None or region in x[3]))
+    total = sum(len(x[0]) for x, hit in zip(lines, chosen) if hit)
+    inner = max((c for c, n in held.items() if n >= 0.6 * total), key=lambda c: c[1], default=None)
+    return "\n".join(x[0] for x in lines if x[0] and x[4] not in out and (inner is None or inner in x[3]))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", sigma: float = 1.0, share: float = 0.5) -> DataFrame:
     """``pages`` without the html, with ``text`` (replaced where there is one).
 
-    Null or empty html gives ''. Rows are taken one by one, so that ties, repeated rows and null ids change
-    nothing; an empty table gives no row.
+    Null or empty html gives ''. Pages of any length are parsed whole, in memory in proportion to the page. Rows are
+    taken one by one, so that ties, repeated rows and null ids change nothing; an empty table gives no row.
     """
     kept = [c for c in pages.columns if c not in (html_col, "text")]
     rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("text"))
@@ -176,5 +208,6 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", sigma: float = 1
 
 
 def contract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page; see ``extract_main_text`` for odd rows."""
     done = extract_main_text(pages.select("page_id", "url", "html"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

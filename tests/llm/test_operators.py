@@ -91,6 +91,56 @@ def test_html(spark):
     assert html_text.contract(pages.limit(0)).count() == 0
 
 
+def article(inner):
+    return f"<html><body><nav>menu</nav><article><h1>Head</h1><p>{'words of the text ' * 12}</p>{inner}<p>{'more of the text ' * 12}</p></article></body></html>"
+
+
+@pytest.mark.parametrize(
+    "inner,text",
+    [
+        ("<p>P<script>var a=1;</script>Q</p>", "PQ"), ("<style>.x{a:b}</style><p>Q</p>", "Q"), ("<p>go <button>Click me</button>on</p>", "go on"), ("<noscript>enable js</noscript>", None),
+        ("<p>Hello <span class='ad'>BUY <span>NOW</span> today</span> world</p>", "Hello world"), ("<p>a <svg><text>axis</text></svg>b</p>", "a b"), ("<div class=comment>said</div>", None),
+        ("<section id='discussion'><p>" + "What the findings mean. " * 9 + "</p></section>", ("What the findings mean. " * 9).strip()), ("<div class='legal'><p>" + "The law of it all. " * 9 + "</p></div>", ("The law of it all. " * 9).strip()),
+        ("<ul><li><a href=/x>one link</a></li></ul>", "one link"), ("<p>E = <math><mi>m</mi></math></p>", "E = m"), ("<header>By <b>A. Writer</b></header>", "By A. Writer"),
+    ],
+)
+def test_html_pieces(inner, text):
+    want = ["Head", ("words of the text " * 12).strip(), *([text] if text is not None else []), ("more of the text " * 12).strip()]
+    assert html_text.content(article(inner)).split("\n") == want
+
+
+def test_html_articles_and_containers():
+    long = "a line of the text " * 15
+    two = f"<main><p>intro</p><article><p>{long}1</p></article><article><h2>T</h2><p>{long}2</p></article></main><article class='teaser'><p>{long}3</p></article>"
+    assert html_text.content(two).split("\n") == [long + "1", "T", long + "2"]
+    paragraphs = "".join(f"<p>{long}{k}</p>" for k in range(5))
+    got = html_text.content(f"<div><a href=1>a</a> <a href=2>b</a></div><div><h1>T</h1><p>by x</p>{paragraphs}<p>end</p><p>.</p></div><div class=footer>f</div>").split("\n")
+    assert got[:2] == ["T", "by x"] and got[-2:] == ["end", "."] and len(got) == 9
+
+
+def test_html_made_pages():
+    """Pages made of known parts, in any order: what was put into the article comes back, whole and in order; one page is very long."""
+    rng = np.random.RandomState(3)
+    said = lambda n: " ".join("".join(rng.choice(list("abcdeé&"), rng.randint(2, 8))) for _ in range(n))
+    escape = lambda t: t.replace("&", "&amp;").replace("é", ["é", "&eacute;", "&#233;"][rng.randint(3)])
+    for k in range(150):
+        size = 3000 if k == 0 else rng.randint(1, 25)
+        want, inside = [], []
+        for _ in range(size):
+            text = said(rng.randint(1, 60))
+            want.append(text)
+            tag = ["p", "h2", "li", "blockquote"][rng.randint(4)]
+            noise = ["", "<script>if (a<b) x('</p>');</script>", "<span class='ads'>buy</span>", "<!-- no -->", "<label>Mail</label>", "<textarea>type</textarea>"][rng.randint(6)]
+            inside.append(f"<{tag}>{noise}{escape(text).replace(' ', '  ', 1)}" + (f"</{tag}>" if tag != "li" or rng.randint(2) else ""))
+            if rng.randint(5) == 0:
+                inside.append(["<aside><p>aside " + said(20) + "</p></aside>", "<div class='share-box'>share</div>", "<form>name <input></form>", "<section class=comments><p>" + said(30) + "</p></section>"][rng.randint(4)])
+        around = ["<nav><ul><li><a href=/a>a</a><li><a href=/b>b</a></ul></nav>", "<header><h1>Site</h1></header>", "<div id='cookie-bar'>" + said(25) + "</div>", "<footer>&copy; " + said(8) + "</footer>", "<div class='ad'>" + said(4) + "</div>"]
+        rng.shuffle(around)
+        at = rng.randint(len(around) + 1)
+        page = "<html><head><title>x</title><style>p{}</style></head><body>" + "".join([*around[:at], "<article>", *inside, "</article>", *around[at:]]) + "</body></html>"
+        assert html_text.content(page).split("\n") == [" ".join(x.split()) for x in want], k
+
+
 # 3
 
 
