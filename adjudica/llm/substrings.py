@@ -16,8 +16,11 @@ such that equal windows always meet:
    earliest window of such a class are repeats.
 
 Anchors that a sample shows in a good part of all documents (a common phrase with ever different
-surroundings) are dealt by the hash of each whole window instead. That changes where rows meet, not what
+surroundings) are dealt by the hash of each whole window instead, and so are, in step 3, those that turn out to
+have over ``MANY`` contexts, so that what meets in a task stays bounded. That changes where rows meet, not what
 is found.
+
+A document is named by its doc_id and a hash of its text, so that rows that repeat a doc_id stay apart.
 """
 
 from __future__ import annotations
@@ -34,8 +37,13 @@ K = 32
 STEP = 17
 SLICE = 1 << 20
 CHUNK = 1 << 20
+#: Contexts of an anchor beyond which they are compared by their windows' hashes.
+MANY = 4096
 NULL_ID = -(1 << 63)
-CONTEXTS = "h long, ctx long, doc long, s int, e int, done boolean"
+NAME = ["doc", "tie"]
+CONTEXTS = "h long, ctx long, doc long, tie int, s int, e int, done boolean"
+PIECES = "key long, other long, doc long, tie int, s int, e int, done boolean, raw binary"
+RUNS = "doc long, tie int, s int, e int"
 
 _RNG = np.random.RandomState(100_003)
 _T1 = _RNG.randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(4) + _RNG.randint(0, 4, 256).astype(np.uint64)
@@ -122,14 +130,14 @@ def _windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int)
 
 
 def _slices(frame: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, ends, ids, start of each text in its document) of a batch; texts beyond SLICE come in parts that
+    """(bytes, ends, row of each text, its start in the row's text) of a batch; texts beyond SLICE come in parts that
     overlap by ``length - 1`` bytes, so that each window is in one part."""
     parts, ids, froms, size = [], [], [], 0
 
     def out():
         return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), np.array(ids, np.int64), np.array(froms, np.int64)
 
-    for doc, text in zip(frame.doc.tolist(), frame.text):
+    for row, text in enumerate(frame.text):
         raw = text.encode("utf-8", "surrogatepass")
         for k in range(0, max(1, len(raw) - length + 1), SLICE):
             part = raw[k : k + SLICE + length - 1]
@@ -138,7 +146,7 @@ def _slices(frame: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.n
                     yield out()
                     parts, ids, froms, size = [], [], [], 0
                 parts.append(part)
-                ids.append(doc)
+                ids.append(row)
                 froms.append(k)
                 size += len(part)
     if parts:
@@ -164,13 +172,13 @@ def _anchored(length: int, hot):
         for frame in frames:
             found = list(rows_of(frame))
             if found:
-                h, ctx, doc, s, e = (np.concatenate(x) for x in zip(*found))
-                yield _one_of_each(h, ctx, doc, s, e, length)
+                h, ctx, row, s, e = (np.concatenate(x) for x in zip(*found))
+                yield _one_of_each(h, ctx, frame.doc.to_numpy()[row], frame.tie.to_numpy()[row], s, e)
 
     return run
 
 
-def _one_of_each(h, ctx, doc, s, e, length: int) -> pd.DataFrame:
+def _one_of_each(h, ctx, doc, tie, s, e) -> pd.DataFrame:
     """Rows for the shuffle: contexts that the batch has once or first; its later copies are repeats already, and go
     as merged runs of windows (done)."""
     key = mix64(h) ^ ctx
@@ -181,31 +189,35 @@ def _one_of_each(h, ctx, doc, s, e, length: int) -> pd.DataFrame:
     late = np.zeros(len(key), bool)
     rows = np.flatnonzero(many)
     if len(rows):
-        rows = rows[np.lexsort((s[rows], doc[rows], ctx[rows], h[rows]))]
+        rows = rows[np.lexsort((s[rows], tie[rows], doc[rows], ctx[rows], h[rows]))]
         new = np.ones(len(rows), bool)
         new[1:] = (h[rows][1:] != h[rows][:-1]) | (ctx[rows][1:] != ctx[rows][:-1])
         head = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
-        late[rows] = (doc[rows] != doc[head]) | (s[rows] != s[head])
+        late[rows] = (doc[rows] != doc[head]) | (tie[rows] != tie[head]) | (s[rows] != s[head])
     keep = ~late
-    out = pd.DataFrame({"h": h[keep].view(np.int64), "ctx": ctx[keep].view(np.int64), "doc": doc[keep], "s": s[keep].astype(np.int32), "e": e[keep].astype(np.int32), "done": False})
+    out = pd.DataFrame({"h": h[keep].view(np.int64), "ctx": ctx[keep].view(np.int64), "doc": doc[keep], "tie": tie[keep], "s": s[keep].astype(np.int32), "e": e[keep].astype(np.int32), "done": False})
     if late.any():
-        d, a, b = merge_runs(doc[late], s[late], e[late])
-        spread = mix64(d.astype(np.uint64) ^ mix64(a.astype(np.uint64)))
-        out = pd.concat([out, pd.DataFrame({"h": spread.view(np.int64), "ctx": np.int64(0), "doc": d, "s": a.astype(np.int32), "e": b.astype(np.int32), "done": True})], ignore_index=True)
+        runs = merge_runs(doc[late], tie[late], s[late], e[late])
+        spread = mix64(runs.doc.to_numpy().astype(np.uint64) ^ mix64(runs.s.to_numpy().astype(np.uint64)))
+        out = pd.concat([out, runs.assign(h=spread.view(np.int64), ctx=np.int64(0), done=True)[out.columns]], ignore_index=True)
     return out
 
 
-def merge_runs(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint runs of windows [s, e] of each document that touch no other."""
-    order = np.lexsort((s, doc))
-    doc, s, e = doc[order], s[order], e[order]
-    new = np.ones(len(doc), bool)
+def merge_runs(doc: np.ndarray, tie: np.ndarray, s: np.ndarray, e: np.ndarray) -> pd.DataFrame:
+    """(doc, tie, s, e): disjoint runs of windows [s, e] of each document that touch no other."""
+    order = np.lexsort((s, tie, doc))
+    doc, tie, s, e = doc[order], tie[order], s[order], e[order]
+    own = np.ones(len(doc), bool)
+    own[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
     reach = e.copy()
-    for first, last in zip(*_bounds(doc)):
+    begins = np.flatnonzero(own)
+    for first, last in zip(begins.tolist(), [*begins[1:].tolist(), len(doc)]):
         reach[first:last] = np.maximum.accumulate(e[first:last])
-    new[1:] = (doc[1:] != doc[:-1]) | (s[1:] > reach[:-1] + 1)
+    new = own.copy()
+    new[1:] |= s[1:] > reach[:-1] + 1
     first = np.flatnonzero(new)
-    return doc[first], s[first], reach[np.append(first[1:], len(doc)) - 1]
+    last = np.append(first[1:], len(doc)) - 1
+    return pd.DataFrame({"doc": doc[first], "tie": tie[first], "s": s[first].astype(np.int32), "e": reach[last].astype(np.int32)})
 
 
 def _bounds(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,32 +280,50 @@ def expand_intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
 
 
 def _pieces(length: int):
-    schema_columns = ["key", "doc", "s", "raw"]
+    columns = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for doc, text, marks in zip(frame.doc, frame.text, frame.marks):
+            out, parts, whole = [], [], []
+            for doc, tie, text, marks in zip(frame.doc.tolist(), frame.tie.tolist(), frame.text, frame.marks):
                 raw = text.encode("utf-8", "surrogatepass")
                 for m in marks:
                     p, first, last = m["p"], m["s"], min(m["e"], len(raw) - length)
+                    if m["many"]:
+                        if first <= last:
+                            parts.append(raw[first : last + length])
+                            whole.append((doc, tie, first))
+                        continue
                     # cut by place relative to the anchor, so that equal windows are in equal cuts
-                    t = first
+                    anchor, t = raw[p : p + K], first
                     while t <= last:
                         cut = (p - t) // STEP  # windows p - t of one cut share the bytes from the last to the first's end
                         low = max(first, p - cut * STEP - STEP + 1)
                         high = min(last, p - cut * STEP)
                         top, bottom = p - cut * STEP, p - cut * STEP - STEP + 1
                         shared = raw[top : bottom + length]
-                        key = int(np.frombuffer(_digest(shared + bytes([cut])), "<i8")[0])
-                        out.append((key, doc, low, raw[low : high + length]))
+                        key = int(np.frombuffer(_digest(anchor + shared + bytes([cut])), "<i8")[0])
+                        out.append((key, 0, doc, tie, low, high, False, raw[low : high + length]))
                         t = high + 1
             if out:
-                yield pd.DataFrame(out, columns=schema_columns)
+                yield pd.DataFrame(out, columns=columns)
+            if parts:
+                yield _by_window(parts, whole, length)[columns]
 
     return run
 
 
+def _by_window(parts: list[bytes], whole: list[tuple[int, int, int]], length: int) -> pd.DataFrame:
+    """Rows of single windows of the contexts ``parts`` that begin at ``whole``, as ``_one_of_each`` gives them."""
+    sizes = np.array([len(x) for x in parts])
+    first = np.cumsum(sizes) - sizes
+    a, b, t = _windows(np.frombuffer(b"".join(parts), np.uint8), first, first + sizes - length, length)
+    row = np.searchsorted(first, t, "right") - 1
+    doc, tie, s = (np.array(x) for x in zip(*whole))
+    at = s[row] + t - first[row]
+    return _one_of_each(a, b, doc[row], tie[row].astype(np.int32), at, at).rename(columns={"h": "key", "ctx": "other"}).assign(raw=None)
+
+
 def _digest(raw: bytes) -> bytes:
     import xxhash
 
@@ -301,7 +331,7 @@ def _digest(raw: bytes) -> bytes:
 
 
 def _repeats(length: int):
-    def judge(docs: list[int], starts: list[int], raws: list[bytes]) -> pd.DataFrame | None:
+    def judge(docs: list[int], ties: list[int], starts: list[int], raws: list[bytes]) -> pd.DataFrame | None:
         data = np.frombuffer(b"".join(raws), np.uint8)
         sizes = np.array([len(r) for r in raws])
         ends = np.cumsum(sizes)
@@ -310,43 +340,57 @@ def _repeats(length: int):
         inside = piece < len(raws)
         inside[inside] = (ends[piece[inside]] - order[inside]) >= length
         order, label, piece = order[inside], label[inside], piece[inside]
-        doc = np.array(docs, np.int64)[piece]
+        doc, tie = np.array(docs, np.int64)[piece], np.array(ties, np.int32)[piece]
         s = np.array(starts, np.int64)[piece] + order - (ends - sizes)[piece]
-        by = np.lexsort((s, doc, label))
-        doc, s, label = doc[by], s[by], label[by]
+        by = np.lexsort((s, tie, doc, label))
+        doc, tie, s, label = doc[by], tie[by], s[by], label[by]
         first, last = _bounds(label)
         head = np.repeat(first, last - first)
-        late = (doc != doc[head]) | (s != s[head])
-        if not late.any():
-            return None
-        d, a, b = merge_runs(doc[late], s[late], s[late])
-        return pd.DataFrame({"doc": d, "s": a.astype(np.int32), "e": b.astype(np.int32)})
+        late = (doc != doc[head]) | (tie != tie[head]) | (s != s[head])
+        return merge_runs(doc[late], tie[late], s[late], s[late]) if late.any() else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, docs, starts, raws, size = None, [], [], [], [], 0
+        key, held, docs, ties, starts, raws, size, head = None, [], [], [], [], [], 0, None
 
         def settle():
             nonlocal size
             if len(held) > 1:  # a piece alone has no partner
-                for doc, s, raw in held:
+                for doc, tie, s, raw in held:
                     docs.append(doc)
+                    ties.append(tie)
                     starts.append(s)
                     raws.append(raw)
                     size += len(raw)
             held.clear()
 
         for frame in frames:
-            for k, doc, s, raw in zip(frame.key.tolist(), frame.doc.tolist(), frame.s.tolist(), frame.raw):
+            single = frame.raw.isna().to_numpy()
+            if single.any():  # windows by hash, in order of their places: all but the first of each are repeats
+                some = frame[single]
+                k, o, doc, tie, s, e, done = (some[c].to_numpy() for c in ("key", "other", "doc", "tie", "s", "e", "done"))
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+                new |= done
+                at = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+                first = np.stack([doc[at], tie[at], s[at]], 1)
+                if head is not None and not done[0] and head[0] == (k[0], o[0]):  # goes on from the batch before
+                    first[at == 0] = head[1]
+                late = done | (first != np.stack([doc, tie, s], 1)).any(1)
+                head = ((k[-1], o[-1]), first[-1]) if not done[-1] else None
+                if late.any():
+                    yield merge_runs(doc[late], tie[late], s[late].astype(np.int64), e[late].astype(np.int64))
+                frame = frame[~single]
+            for k, doc, tie, s, raw in zip(frame.key.tolist(), frame.doc.tolist(), frame.tie.tolist(), frame.s.tolist(), frame.raw):
                 if k != key:
                     settle()
                     key = k
                     if size >= CHUNK:
-                        if (found := judge(docs, starts, raws)) is not None:
+                        if (found := judge(docs, ties, starts, raws)) is not None:
                             yield found
-                        docs, starts, raws, size = [], [], [], 0
-                held.append((doc, s, raw))
+                        docs, ties, starts, raws, size = [], [], [], [], 0
+                held.append((doc, tie, s, raw))
         settle()
-        if raws and (found := judge(docs, starts, raws)) is not None:
+        if raws and (found := judge(docs, ties, starts, raws)) is not None:
             yield found
 
     return run
@@ -396,28 +440,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """(doc_id, n_bytes, spans, kept): ``spans`` are the maximal runs of removed bytes [a, b), ``kept`` the bytes left.
 
     Texts are UTF-8 bytes (null: none); earlier means a smaller doc_id (null smallest), or the same document and
-    an earlier start; overlaps count, and strings are judged on the input. Rows that repeat a doc_id have
-    equal places: none is earlier than the other, and what is removed at a place is removed in all of
-    them. Texts shorter than ``length`` are kept whole; an empty table gives no row.
+    an earlier start; overlaps count, and strings are judged on the input. Rows that repeat a doc_id with different
+    texts are documents in order of a hash of their texts; rows that repeat a doc_id and its text are one document, and each
+    of them loses what it loses. Texts shorter than ``length`` are kept whole; an empty table gives no row.
     """
     spark = docs.sparkSession
     rows = base_rows(docs, id_col, text_col)
-    keyed = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
+    named = rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("tie"), "text")
+    keyed = named.drop("doc_id")
     hot = spark.sparkContext.broadcast(common_anchors(keyed, length))
     found = keyed.mapInPandas(_anchored(length, hot), CONTEXTS)
-    anchor, context = W.partitionBy("h", "done"), W.partitionBy("h", "done", "ctx").orderBy("doc", "s")
-    found = found.withColumns({"rank": F.rank().over(context), "low": F.min("ctx").over(anchor), "high": F.max("ctx").over(anchor)})
+    anchor, context = W.partitionBy("h", "done"), W.partitionBy("h", "done", "ctx").orderBy("doc", "tie", "s")
+    found = found.withColumns({"rank": F.rank().over(context), "low": F.min("ctx").over(anchor), "high": F.max("ctx").over(anchor), "many": F.count(F.lit(1)).over(anchor) > MANY})
     found = found.withColumn("late", F.col("done") | (F.col("rank") > 1))
-    marks = stored(found.where(F.col("late") | (F.col("low") != F.col("high"))).select("h", "doc", "s", "e", "late"), "substring-marks")
+    marks = stored(found.where(F.col("late") | (F.col("low") != F.col("high"))).select(*NAME, "s", "e", "late", "many"), "substring-marks")
     # the anchor itself is found again from the first window of a context
-    open_ = marks.where("NOT late").groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
-    texts = keyed.join(open_, "doc").mapInPandas(_with_anchors(length), "doc long, text string, marks array<struct<p:int,s:int,e:int>>")
-    pieces = texts.mapInPandas(_pieces(length), "key long, doc long, s int, raw binary")
+    open_ = marks.where("NOT late").groupBy(*NAME).agg(F.collect_set(F.struct("s", "e", "many")).alias("marks"))
+    texts = keyed.join(open_, NAME).mapInPandas(_with_anchors(length), "doc long, tie int, text string, marks array<struct<p:int,s:int,e:int,many:boolean>>")
+    pieces = texts.mapInPandas(_pieces(length), PIECES)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(parts, "key").sortWithinPartitions("key")
-    partial = stored(dealt.mapInPandas(_repeats(length), "doc long, s int, e int"), "substring-repeats")
-    spans = marks.where("late").select("doc", "s", "e").unionByName(partial).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
-    joined = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(spans, "doc", "left").select("doc_id", "text", "marks")
+    dealt = pieces.repartition(parts, "key").sortWithinPartitions("key", "other", *NAME, "s")
+    partial = stored(dealt.mapInPandas(_repeats(length), RUNS), "substring-repeats")
+    spans = marks.where("late").select(*NAME, "s", "e").unionByName(partial).groupBy(*NAME).agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+    joined = named.join(spans, NAME, "left").select("doc_id", "text", "marks")
     return joined.mapInPandas(_removed(length), "doc_id long, n_bytes long, spans array<struct<a:int,b:int>>, kept binary")
 
 
@@ -435,16 +480,17 @@ def _with_anchors(length: int):
                     order = _kmers(data)
                     span = length - K + 1
                     grid = np.lib.stride_tricks.sliding_window_view(order, span)[::length]
-                    out.append([{"p": m["s"] + int(k), "s": m["s"], "e": m["e"]} for m, k in zip(first, grid.argmin(1))])
+                    out.append([{"p": m["s"] + int(k), "s": m["s"], "e": m["e"], "many": m["many"]} for m, k in zip(first, grid.argmin(1))])
                 else:
                     out.append([])
             frame["marks"] = out
-            yield frame[["doc", "text", "marks"]]
+            yield frame[["doc", "tie", "text", "marks"]]
 
     return run
 
 
 def contract(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; see ``remove_repeats`` for odd rows."""
     done = remove_repeats(docs.select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -291,9 +291,12 @@ def plain_repeats(rows, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [False, True, "many"])
 def test_substrings(docs, rows, monkeypatch, hot):
-    if hot:  # every anchor is dealt by whole windows
+    if hot == "many":  # no anchor is known before, and every one turns out to have many contexts
+        monkeypatch.setattr(substrings, "common_anchors", lambda frame, length: np.zeros(0, np.uint64))
+        monkeypatch.setattr(substrings, "MANY", 1)
+    elif hot:  # every anchor is dealt by whole windows
         monkeypatch.setattr(substrings, "common_anchors", lambda frame, length: np.sort(np.array([r.h for r in frame.mapInPandas(_anchors(length), "h long").distinct().collect()], np.int64).view(np.uint64)))
     got = {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in table(substrings.contract(docs)).items()}
     assert got == plain_repeats(rows, 100)
@@ -336,6 +339,21 @@ def test_interval_expansion():
         assert len(by) == len({bytes(data[i : i + length]) for i in range(len(data) - length + 1)})
 
 
+@pytest.mark.parametrize("many", [4096, 1])
+def test_substrings_of_repeated_ids(spark, monkeypatch, many):
+    """Rows of one doc_id are documents of their own, in order of their texts' hashes; equal rows are one document."""
+    monkeypatch.setattr(substrings, "MANY", many)
+    rng = np.random.RandomState(8)
+    a, b, c = ("".join(rng.choice(list("abcdefgh "), 150)) for _ in range(3))
+    made = [(1, a), (2, a), (2, b), (2, b), (3, b + c), (3, c + a), (None, "x" + a[:120]), (4, "short")]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    tie = {r.text: r.tie for r in frame.select("text", F.hash("text").alias("tie")).collect()}
+    ranked = sorted(set(made), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    want = plain_repeats([(k, t) for k, (_, t) in enumerate(ranked)], 100)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.contract(frame).collect())
+    assert got == sorted((d or 0, *want[ranked.index((d, t))]) for d, t in made)
+
+
 def test_substrings_odd(odd, none):
     got = substrings.contract(odd).collect()
     assert len(got) == 6 and sum(r.n_removed for r in got) == 0
