@@ -2,8 +2,8 @@
 
 The pieces are those of a fixed public vocabulary that are letters only, in lower case, of at most ``MAX_PIECE``
 characters. Each language has a probability for every piece, and one for any other single letter. A
-word's probability is the sum over all its segmentations, by a forward pass; a text's is the product over
-its words (runs of letters), times the language's share of the fitted documents. Piece probabilities are fitted
+word's probability is the sum over all its segmentations, by a forward pass that is scaled as it goes, so that words of any
+length have one; a text's is the product over its words (runs of letters), times the language's share of the fitted documents. Piece probabilities are fitted
 by expectation-maximisation: forward and backward passes give expected uses of each piece, which Spark
 sums over the distinct words of the fitted texts.
 """
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from adjudica.llm.common import base_rows, stored
 
 MAX_PIECE = 6
-#: Longer runs of letters are cut into parts of so many, so that products stay within a double.
-MAX_WORD = 40
+#: Places after which the forward and backward passes are scaled anew, so that products stay within a double.
+PART = 16
+#: Places of a word of which the piece numbers are held at once.
+REACH = 4096
 _LETTERS = regex.compile(r"\p{L}+")
 PREDICTED = "doc_id long, lang_pred string, score double"
 
@@ -41,10 +43,7 @@ def vocabulary(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        out += [w] if len(w) <= MAX_WORD else [w[k : k + MAX_WORD] for k in range(0, len(w), MAX_WORD)]
-    return out
+    return _LETTERS.findall(text.lower())
 
 
 class Pieces:
@@ -65,41 +64,66 @@ class Pieces:
         return out
 
 
-def forward(grid: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """[word, place, language]: probability of the first ``place`` letters over all segmentations."""
+def forward(grid: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha [word, place, language], scale [part, word, language]): the probability of the first ``place`` letters over all
+    segmentations is alpha * exp(scale of the place's part)."""
     words, n, _ = grid.shape
-    alpha = np.zeros((words, n + 1, p.shape[1]))
+    alpha, scale = np.zeros((words, n + 1, p.shape[1])), np.zeros((n // PART + 1, words, p.shape[1]))
     alpha[:, 0] = 1
     for j in range(1, n + 1):
+        own = (j - 1) // PART
         for m in range(1, min(MAX_PIECE, j) + 1):
-            alpha[:, j] += alpha[:, j - m] * p[grid[:, j - m, m - 1]]
-    return alpha
+            term = alpha[:, j - m] * p[grid[:, j - m, m - 1]]
+            alpha[:, j] += term if (j - m) // PART == own else term * np.exp(scale[own - 1] - scale[own])
+        if j % PART == 0:
+            scale[own + 1] = scale[own] + np.log(alpha[:, j])
+            alpha[:, j] = 1
+    return alpha, scale
+
+
+def log_probability(own: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+    """[word, language]: logarithms of what ``forward`` gives for whole words of one length, with the last places in hand only."""
+    n = len(words[0])
+    last = [np.ones((len(words), p.shape[1]))]  # of the places before, latest first
+    scale = np.zeros((len(words), p.shape[1]))
+    for c in range(0, n, REACH):
+        begin = max(0, c - MAX_PIECE + 1)
+        grid = own.grid([w[begin : c + REACH] for w in words])
+        for j in range(c + 1, min(c + REACH, n) + 1):
+            new = sum(a * p[grid[:, j - m - begin, m - 1]] for m, a in enumerate(last, 1))
+            last = [new, *last[: MAX_PIECE - 1]]
+            if j % PART == 0:
+                scale += np.log(new)
+                last = [a / new for a in last]
+    return scale + np.log(np.maximum(last[0], 1e-300))
 
 
 def expected_uses(grid: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
     """[piece, language]: expected uses over all segmentations of words seen ``times`` [word, language]."""
     words, n, _ = grid.shape
-    alpha = forward(grid, p)
-    beta = np.zeros_like(alpha)
-    beta[:, n] = 1
-    for i in range(n - 1, -1, -1):
-        for m in range(1, min(MAX_PIECE, n - i) + 1):
-            beta[:, i] += p[grid[:, i, m - 1]] * beta[:, i + m]
-    weight = times / np.maximum(alpha[:, n], 1e-300)
+    alpha, scale = forward(grid, p)
+    back = np.full_like(grid, len(p) - 1)  # the words read backwards: the piece of a length that ends where this one begins
+    for m in range(1, MAX_PIECE + 1):
+        if n >= m:
+            back[:, : n - m + 1, m - 1] = grid[:, : n - m + 1, m - 1][:, ::-1]
+    beta, after = forward(back, p)
+    whole = np.log(np.maximum(alpha[:, n], 1e-300)) + scale[n // PART]
     out = np.zeros_like(p)
     for i in range(n):
         for m in range(1, min(MAX_PIECE, n - i) + 1):
-            k = grid[:, i, m - 1]
-            np.add.at(out, k, alpha[:, i] * p[k] * beta[:, i + m] * weight)
+            k, rest = grid[:, i, m - 1], n - i - m
+            np.add.at(out, k, alpha[:, i] * p[k] * beta[:, rest] * np.exp(scale[i // PART] + after[rest // PART] - whole) * times)
     return out
 
 
 def by_length(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of one length, of about 800,000 letters together at most, or of one word."""
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == n)
-        for k in range(0, len(at), 20_000):
-            yield at[k : k + 20_000]
+        step = min(20_000, max(1, 800_000 // n))
+        for k in range(0, len(at), step):
+            yield at[k : k + step]
 
 
 @dataclass(frozen=True)
@@ -117,27 +141,30 @@ def fold(id_col: str = "doc_id"):
 
 def fit(labelled: DataFrame, vocabulary_path: str, docs_per_language: int = 2000, rounds: int = 4, floor: float = 1e-7) -> Model:
     """``labelled``: doc_id, text, lang. At most about ``docs_per_language`` documents of each language are fitted, chosen
-    by a hash of doc_id; rows without language are left out. What comes to the driver is bounded by the
-    vocabulary times the languages. Without labelled rows the model has no language."""
+    by a hash of doc_id; rows without language are left out. Labels are texts like any others: those that differ in case
+    are languages of their own. What comes to the driver is bounded by the vocabulary times the languages. Without
+    labelled rows the model has no language."""
     names = vocabulary(vocabulary_path)
-    shares = labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    shares = sorted((r.lang, r.n) for r in shares.collect())  # one row a language
+    told = labelled.where("lang IS NOT NULL")
+    shares = sorted((r.lang, r.n) for r in told.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a language
     languages = tuple(lang for lang, _ in shares)
     if not languages:
         return Model(tuple(names), (), np.zeros(0), np.zeros((len(names) + 2, 0)))
-    spark = labelled.sparkSession
-    share = F.create_map(*[x for lang, n in shares for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / n)))])
-    chosen = labelled.where("lang IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * share[F.col("lang")])
+    spark, width = labelled.sparkSession, len(languages)
+    numbers = spark.createDataFrame([(lang, k, min(1.0, docs_per_language / n)) for k, (lang, n) in enumerate(shares)], "lang string, language int, share double")
+    chosen = told.join(F.broadcast(numbers), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * F.col("share"))  # one row a language
 
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             split = [words_of(t) for t in frame.text]
-            out = pd.DataFrame({"lang": np.repeat(frame.lang.to_numpy(), [len(w) for w in split]), "word": [w for ws in split for w in ws]})
-            yield out.groupby(["lang", "word"], as_index=False).size().rename(columns={"size": "n"})
-
-    text = chosen.select(F.coalesce("text", F.lit("")).alias("text"), "lang")
-    counts = stored(text.mapInPandas(words, "lang string, word string, n long").groupBy("word").pivot("lang", list(languages)).agg(F.sum("n")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"), "language-words")
-    width = len(languages)
+            out = pd.DataFrame({"language": np.repeat(frame.language.to_numpy(), [len(w) for w in split]), "word": [w for ws in split for w in ws]})
+            yield out.groupby(["language", "word"], as_index=False).size().rename(columns={"size": "n"})
+
+    text = chosen.select(F.coalesce("text", F.lit("")).alias("text"), "language")
+    summed = text.mapInPandas(words, "language int, word string, n long").groupBy("word", "language").agg(F.sum("n").alias("n"))
+    # a word's counts are a list of at most one entry a language
+    counts = summed.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("n")).select("word", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.element_at("n", k), F.lit(0))).alias("n"))
+    counts = stored(counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"), "language-words")
     p = np.zeros((len(names) + 2, width))
     p[:-1] = 1 / (len(names) + 1)
 
@@ -146,7 +173,7 @@ def fit(labelled: DataFrame, vocabulary_path: str, docs_per_language: int = 2000
             own, q, out = Pieces(names_shared.value), shared.value, None
             for frame in frames:
                 seen = frame.word.tolist()
-                times = frame[list(languages)].fillna(0).to_numpy(float)
+                times = np.stack(frame.n.to_numpy()).astype(float)
                 for at in by_length(seen):
                     got = expected_uses(own.grid([seen[k] for k in at.tolist()]), q, times[at])
                     out = got if out is None else out + got
@@ -197,7 +224,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     table = np.concatenate([table[:used], np.zeros((used + 2 * len(new) + 1024, width))])
                 for at in by_length(new):
                     part = [new[i] for i in at.tolist()]
-                    table[used : used + len(part)] = np.log(np.maximum(forward(own.grid(part), m.probability)[:, -1], 1e-300))
+                    table[used : used + len(part)] = log_probability(own, part, m.probability)
                     seen.update(zip(part, range(used, used + len(part))))
                     used += len(part)
                 for words in split:
@@ -221,6 +248,9 @@ def default_vocabulary() -> str:
 
 
 def contract(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row: fitted on rows of other folds that have a language, as ``fit`` chooses them, and
+    predicted from the whole text alone; see ``predict`` for odd rows. A doc_id that is no number is an error; a
+    null one is in no fold: it is neither fitted nor held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(rows.where(fold() != 0), vocabulary_path)
-    return predict(rows, model).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+    return predict(rows, model).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -62,11 +63,74 @@ def test_language_forward_sums_all_segmentations():
         return 1.0 if not w else sum(p[own.at[w[:m]] if w[:m] in own.at else own.other, 0] * total(w[m:]) for m in range(1, len(w) + 1) if w[:m] in own.at or m == 1)
 
     for w in ("aba", "bab", "xab", "aabb"):
-        assert language.forward(own.grid([w]), p)[0, -1, 0] == pytest.approx(total(w))
+        assert language.forward(own.grid([w]), p)[0][0, -1, 0] == pytest.approx(total(w))
     uses = language.expected_uses(own.grid(["ab"]), p, np.array([[2.0]]))
     assert uses[own.at["ab"], 0] == pytest.approx(2 * 0.2 / 0.26) and uses[own.at["a"], 0] == pytest.approx(2 * 0.06 / 0.26)
 
 
+def whole_forward(own, names_p, w):
+    """Logarithm of the sum over all segmentations, in exact fractions."""
+    from fractions import Fraction
+
+    alpha = [Fraction(1)]
+    for j in range(1, len(w) + 1):
+        parts = ((own.at.get(w[j - m : j], own.other if m == 1 else None), alpha[j - m]) for m in range(1, min(language.MAX_PIECE, j) + 1))
+        alpha.append(sum(Fraction(names_p[k]) * a for k, a in parts if k is not None))
+    a = alpha[-1]
+    shift = a.denominator.bit_length() - a.numerator.bit_length()
+    return math.log(float(a * Fraction(2) ** shift)) - shift * math.log(2)
+
+
+def test_language_long_words(monkeypatch):
+    """Words of any length are summed whole, across the places where passes are scaled."""
+    monkeypatch.setattr(language, "REACH", 64)
+    rng = np.random.RandomState(5)
+    names = ["a", "ab", "abab", "b", "ba", "bbabab"]
+    p = np.zeros((8, 2))
+    p[:-1] = rng.rand(7, 2) * 1e-6
+    own = language.Pieces(names)
+    for n in (1, 5, 31, 32, 33, 64, 65, 100, 200):
+        words = ["".join(rng.choice(list("abx"), n)) for _ in range(3)]
+        got = language.log_probability(own, words, p)
+        alpha, scale = language.forward(own.grid(words), p)
+        assert np.allclose(np.log(alpha[:, n]) + scale[n // language.PART], got, rtol=1e-10)
+        for k, w in enumerate(words):
+            for lang in (0, 1):
+                assert got[k, lang] == pytest.approx(whole_forward(own, p[:, lang], w), rel=1e-10)
+        uses = language.expected_uses(own.grid(words), p, np.ones((3, 2)))
+        sizes = np.array([*map(len, names), 1, 0])
+        assert sizes @ uses == pytest.approx([3 * n, 3 * n])  # every letter is in one piece
+    monkeypatch.undo()
+    assert np.isfinite(language.log_probability(own, ["ab" * 300_000], p)).all()
+
+
+def test_language_labels_and_whole_predictions(spark):
+    """Labels that clash as column names; every prediction equals one made of exact forward sums and the fitted model."""
+    rng = np.random.RandomState(1)
+    labels = ["en", "EN", "word", "zh.cn", "n", "`x`"]
+    letters = {lang: rng.permutation(list("abcdefghijklmnop"))[:8] for lang in labels}
+    made = [(k, " ".join("".join(rng.choice(letters[lang], rng.randint(2, 9))) for _ in range(12)) + " q" * (k % 3), lang) for k, lang in enumerate(labels * 25)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    fitted = language.fit(frame.where(language.fold() != 0), language.default_vocabulary())
+    assert fitted.languages == tuple(sorted(labels))
+    got = table(language.contract(frame, language.default_vocabulary()))
+    own, right = language.Pieces(list(fitted.names)), []
+    for k, text, lang in made[::7]:
+        total = [fitted.prior[j] + sum(whole_forward(own, fitted.probability[:, j], w) for w in re.findall(r"[^\W\d_]+", text)) for j in range(len(labels))]
+        top = int(np.argmax(total))
+        assert got[k].lang_pred == fitted.languages[top]
+        assert got[k].score == pytest.approx(1 / sum(math.exp(x - total[top]) for x in total), rel=1e-6)
+    right = [got[k].lang_pred == lang for k, _, lang in made if got[k].held_out]
+    assert np.mean(right) > 0.9
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.contract(docs, language.default_vocabulary()).join(docs.select("doc_id", "lang"), "doc_id")
+    r = got.where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right"), F.count(F.lit(1)).alias("n")).first()
+    assert r.n > 100 and r.right > 0.95, r
+
+
 def test_language_without_labels(none, odd):
     assert language.contract(none, language.default_vocabulary()).count() == 0
     got = language.contract(odd.withColumn("lang", F.lit(None).cast("string")), language.default_vocabulary()).collect()
