@@ -1,9 +1,11 @@
-"""DuckDB SQL of the numbered queries that SQL can express over whole tables."""
+"""DuckDB SQL of the numbered queries that SQL can express over whole tables. Patterns and rules are written out here, from
+what is asked, and not taken from the operators that they check."""
 
 from __future__ import annotations
 
-from adjudica.llm.quality import RULES_SQL
-from adjudica.llm.secrets import ACCESS, ASSIGN, CANDIDATE, HEX
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ACCESS, _HEX, _CANDIDATE = "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]{20,}"
+_RULES = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 2 * n_dup_lines > n_words OR n_upper > n_lower"
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -17,14 +19,14 @@ def _kind(k: int, pattern: str) -> str:
 
 
 SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
-f AS ({" UNION ALL ".join(_kind(k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE)))}),
+f AS ({" UNION ALL ".join(_kind(k, p) for k, p in enumerate((_ASSIGN, _ACCESS, _HEX, _CANDIDATE)))}),
 e AS (SELECT n, doc_id, owner, k, x, g, unnest(x) AS m, unnest(v) AS val, generate_subscripts(x, 1) AS j FROM f),
 s AS (SELECT n, doc_id, owner, k, val, CAST(list_sum([length(y) FOR y IN g[1:j]]) + coalesce(list_sum([length(y) FOR y IN x[1:j-1]]), 0) AS BIGINT) AS a, length(m) AS len FROM e),
 z AS (SELECT *, a + len AS b FROM s),
-base AS (SELECT * FROM z WHERE k IN (1, 2) OR (k = 0 AND length(val) >= 6)),
+base AS (SELECT * FROM z WHERE (k = 0 AND length(val) >= 6) OR (k = 1 AND len >= 20) OR (k = 2 AND len >= 24)),
 cand AS (SELECT * FROM z c WHERE k = 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.n = c.n AND b.a < c.b AND c.a < b.b)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM cand),
-live AS (SELECT val FROM every GROUP BY val HAVING count(DISTINCT owner) <= 1),
+live AS (SELECT val FROM every GROUP BY val HAVING count(DISTINCT owner) <= 1 AND count(DISTINCT (owner, doc_id)) <= 8),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM cand WHERE val IN (SELECT val FROM live)),
 name AS (SELECT n, a, k, list_extract(['assign', 'access', 'hex', 'live'], CAST(k + 1 AS INT)) || ':' || a || ':' || b AS w FROM spans),
 told AS (SELECT n, coalesce(string_agg(w, ',' ORDER BY a, k) FILTER (k < 3), '') AS bw, string_agg(w, ',' ORDER BY a, k) AS sw, count(*) FILTER (k = 0) AS c0, count(*) FILTER (k = 1) AS c1, count(*) FILTER (k = 2) AS c2 FROM name GROUP BY 1),
@@ -47,7 +49,7 @@ r AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat FROM (SELEC
 c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN ws]), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS n_lower
  FROM w LEFT JOIN r ON r.doc_id = w.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT ({RULES_SQL}) AS kept FROM c"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT ({_RULES}) AS kept FROM c"""
 
 DECONTAMINATION = f"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS ws FROM benchmark),
 w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS ws FROM documents),

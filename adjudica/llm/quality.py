@@ -122,9 +122,6 @@ RULES = (
     Rule("repeated_lines", ("n_words", "n_dup_lines"), lambda: 2 * F.col("n_dup_lines") > F.col("n_words"), per_char=1.5),
     Rule("capitals", ("n_upper", "n_lower"), lambda: F.col("n_upper") > F.col("n_lower"), per_char=2.4),
 )
-#: The rules above as SQL, for the query's check.
-RULES_SQL = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 2 * n_dup_lines > n_words OR n_upper > n_lower"
-
 
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7, text_col: str = "text") -> list[Rule]:
     """Rules by estimated rejections per unit of work, best first (ties by name). At most about ``sample_rows`` rows

@@ -2,9 +2,9 @@
 
 Base kinds (``assign``, ``access``, ``hex``) are found by pattern. Besides, any long token that mixes digits
 with capital and small letters is a *candidate*. Values are hashed, and each hash is counted over the
-distinct repositories and owners that hold it: one that several owners hold is a copied example, one of a
-single owner looks live. Live candidates outside the base spans are added as kind ``live``; base spans
-stay, and are counted as live or shared.
+distinct repositories and owners that hold it: one that several owners hold, or many repositories of one, is a copied
+example; one of a single owner and few repositories looks live. Live candidates outside the base spans are added as
+kind ``live``; base spans stay, and are counted as live or shared.
 
 Positions are code points. A regular expression gives matches and, by splitting, the pieces between
 them; a match starts at the sum of the lengths before it.
@@ -12,7 +12,7 @@ them; a match starts at the sum of the lengths before it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from adjudica.llm.common import stored
 
@@ -24,6 +24,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 _CHUNK = 256
+#: Tasks over which the rows of one hash are spread when verdicts are joined to them.
+_SALTS = 32
 
 
 def _with_spans(rows: DataFrame, name: str, pattern: str, kind: int, group: int = 0) -> DataFrame:
@@ -46,8 +48,8 @@ def _with_spans(rows: DataFrame, name: str, pattern: str, kind: int, group: int
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """(doc_id, owner, repo, base, candidates) of every row: arrays of (s, k, e, v), v the value. Null texts are empty,
-    a null owner or repository is one of its own name ''."""
+    """(row, doc_id, owner, repo, base, candidates) of every row: arrays of (s, k, e, v), v the value. Null texts are empty,
+    a null owner or repository is one of its own name ''. ``row`` numbers the rows once they are stored."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), name(owner_col).alias("owner"), name(repo_col).alias("repo"), text.alias("_t"))
@@ -56,8 +58,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     assign = F.filter("_assign", lambda x: F.length(x["v"]) >= 6)
     rows = rows.withColumn("base", F.sort_array(F.concat(assign, "_access", "_hex")))
     rows = rows.withColumn("candidates", F.filter("_live", lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Z]") & x["v"].rlike("[a-z]")))
-    outside = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return rows.select("doc_id", "owner", "repo", "base", outside.alias("candidates"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", "base", "candidates")
+
+
+def each_span(rows: DataFrame) -> DataFrame:
+    """(row, owner, repo, s, k, e, v, hash): base spans, and the candidates that meet none of them. Spans of a row are
+    sorted and passed once each way, so that a text of very many secrets stays cheap."""
+    spans = rows.select("row", "owner", "repo", F.explode(F.concat("base", "candidates")).alias("x")).select("row", "owner", "repo", "x.*")
+    forth, back = W.partitionBy("row").orderBy("s", "k"), W.partitionBy("row").orderBy(F.col("s").desc(), "k")
+    until = F.max(F.when(F.col("k") < 3, F.col("e"))).over(forth.rowsBetween(W.unboundedPreceding, 0))
+    since = F.min(F.when(F.col("k") < 3, F.col("s"))).over(back.rowsBetween(W.unboundedPreceding, 0))
+    spans = spans.withColumns({"until": until, "since": since})
+    meets = (F.coalesce("until", F.lit(-1)) > F.col("s")) | (F.coalesce("since", F.col("e")) < F.col("e"))
+    return spans.where((F.col("k") < 3) | ~meets).drop("until", "since").withColumn("hash", F.sha2("v", 256))
 
 
 def ownership(values: DataFrame) -> DataFrame:
@@ -68,28 +81,24 @@ def ownership(values: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 1, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ``base`` and ``spans`` (arrays of (s, k, e, v) in order), n_live and n_shared (values
-    held by at most ``max_owners`` owners, and by more).
+def find_secrets(docs: DataFrame, max_owners: int = 1, max_repos: int = 8, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: doc_id, ``base`` and ``spans`` (arrays of (s, k, e, v) in order), n_live and n_shared (spans whose
+    value at most ``max_owners`` owners and ``max_repos`` repositories hold, and the others).
 
     Ties (one value at one place by two kinds) stay, in order of kind; repeated rows are judged alike, and
     rows that share a doc_id share the repository of that name; an empty table gives no row.
     """
     rows = stored(scan(docs, id_col, text_col, owner_col, repo_col), "secrets")
-    values = F.array_distinct(F.transform(F.concat("base", "candidates"), lambda x: F.sha2(x["v"], 256)))
-    some = rows.where((F.size("base") > 0) | (F.size("candidates") > 0))
-    held = some.select("doc_id", "owner", "repo", F.explode(values).alias("hash"))
-    counts = ownership(held.select("hash", "owner", "repo"))
-    live = held.join(counts.where(F.col("n_owners") <= max_owners).select("hash"), "hash", "left_semi")
-    of_doc = live.groupBy("doc_id").agg(F.collect_set("hash").alias("live"))
-    is_live = lambda x: F.array_contains(F.coalesce("live", F.array().cast("array<string>")), F.sha2(x["v"], 256))
-    judged = some.alias("a").join(of_doc.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select("a.doc_id", "base", "candidates", "live")
-    judged = judged.select(
-        "doc_id", "base", F.sort_array(F.concat("base", F.filter("candidates", is_live))).alias("spans"),
-        F.size(F.filter(F.concat("base", "candidates"), is_live)).alias("n_live"), F.size(F.filter(F.concat("base", "candidates"), lambda x: ~is_live(x))).alias("n_shared"),
-    )
-    none = rows.where((F.size("base") == 0) & (F.size("candidates") == 0))
-    return judged.unionByName(none.select("doc_id", "base", F.col("base").alias("spans"), F.lit(0).alias("n_live"), F.lit(0).alias("n_shared")))
+    any_ = (F.size("base") > 0) | (F.size("candidates") > 0)
+    spans = each_span(rows.where(any_))
+    counts = ownership(spans.select("hash", "owner", "repo"))
+    # the rows of a value that a third of the texts hold go to many tasks: verdicts, few, are repeated for each
+    live = counts.where((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).select("hash", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(True).alias("live"))
+    told = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(_SALTS)).cast("int")).join(live, ["hash", "salt"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    of_row = told.groupBy("row").agg(F.sort_array(F.collect_list(F.when((F.col("k") < 3) | F.col("live"), F.struct("s", "k", "e", "v")))).alias("spans"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_shared"))
+    judged = rows.where(any_).select("row", "doc_id", "base").join(of_row, "row").select("doc_id", "base", "spans", "n_live", "n_shared")
+    zero = F.lit(0).cast("long")
+    return judged.unionByName(rows.where(~any_).select("doc_id", "base", F.col("base").alias("spans"), zero.alias("n_live"), zero.alias("n_shared")))
 
 
 def _names(spans: str) -> Column:
@@ -98,9 +107,10 @@ def _names(spans: str) -> Column:
 
 
 def contract(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared of every row; see ``find_secrets`` for odd rows."""
     found = find_secrets(docs)
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_names("base"), 256).alias("base_sha256"), _names("spans").alias("spans"), F.col("n_live").cast("long"), F.col("n_shared").cast("long"),
+        F.sha2(_names("base"), 256).alias("base_sha256"), _names("spans").alias("spans"), "n_live", "n_shared",
     )

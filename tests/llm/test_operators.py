@@ -268,6 +268,16 @@ def test_secret_ownership(spark):
     assert (got[2].n_live, got[2].n_shared, got[1].n_live) == (0, 1, 1) and got[5].spans == "assign:10:25"
 
 
+def test_secret_ownership_counts_repositories(spark):
+    """A value of one owner is live in up to eight repositories; one that fifty hold is a copied example."""
+    value = lambda k: f"Zz9yX8wV7uT6sR5qP4oN{k:02d}"
+    rows = [(k, f"use {value(1)} here", "s") for k in range(50)] + [(100 + k, f"use {value(2)} here", "s") for k in range(8)] + [(200, f"token={value(3)} {value(4)}", "s")]
+    got = table(secrets.contract(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all((got[k].spans, got[k].n_live, got[k].n_shared) == ("", 0, 1) for k in range(50))
+    assert all((got[100 + k].spans, got[100 + k].n_live) == ("live:4:26", 1) for k in range(8))
+    assert got[200].spans == "assign:0:28,live:29:51"  # what a base span covers is no candidate
+
+
 def test_secrets_many_matches(spark):
     text = " ".join(f"token=abcdef{k}" for k in range(1500))
     r = secrets.contract(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
