@@ -1,18 +1,21 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule has a predicate (true: reject) and the work it does per character and per word. A bounded
-sample gives the mean size of a text and each rule's rejection rate; rules then run in order of
-rejections per unit of work, and ``CASE WHEN`` leaves a row at the first rule that rejects it. The order
-decides what is computed, never which rows stay.
+Each rule has a predicate (true: reject) on counts of a text. A bounded sample is counted once for each count and timed,
+and tells which rules reject which of its rows. The first rule is the one of most rejections per second; each next one
+is that of most rejections among the rows that those before it leave, per second of the counts that these have not made
+yet. ``CASE WHEN`` leaves a row at the first rule that rejects it. The order decides what is computed, never which rows stay.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from adjudica.llm.common import stored
+
 SPACE = r"[\x20\x09-\x0D]"
 _BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
@@ -102,51 +105,84 @@ def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a predicate on ``counts``; ``per_char`` and ``per_word`` are the work of these."""
+    """``rejects`` is a predicate on ``counts``."""
 
     name: str
     counts: tuple[str, ...]
     rejects: Callable[[], Column]
-    per_char: float = 0.0
-    per_word: float = 0.0
 
 
 BASE = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 #: Production rules. Thresholds are whole-number comparisons, the same in any engine.
 RULES = (
-    Rule("few_words", ("n_words",), lambda: F.col("n_words") < 20, per_char=1.0),
-    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"), per_char=1.0, per_word=8.0),
-    Rule("symbols", ("n_words", "n_symbols"), lambda: 10 * F.col("n_symbols") > F.col("n_words"), per_char=1.2),
-    Rule("word_length", ("n_words", "word_chars"), lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 16 * F.col("n_words")), per_char=2.0),
-    Rule("repeated_lines", ("n_words", "n_dup_lines"), lambda: 2 * F.col("n_dup_lines") > F.col("n_words"), per_char=1.5),
-    Rule("capitals", ("n_upper", "n_lower"), lambda: F.col("n_upper") > F.col("n_lower"), per_char=2.4),
+    Rule("few_words", ("n_words",), lambda: F.col("n_words") < 20),
+    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
+    Rule("symbols", ("n_words", "n_symbols"), lambda: 10 * F.col("n_symbols") > F.col("n_words")),
+    Rule("word_length", ("n_words", "word_chars"), lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 16 * F.col("n_words"))),
+    Rule("repeated_lines", ("n_words", "n_dup_lines"), lambda: 2 * F.col("n_dup_lines") > F.col("n_words")),
+    Rule("capitals", ("n_upper", "n_lower"), lambda: F.col("n_upper") > F.col("n_lower")),
 )
 
+
+def count_seconds(sample: DataFrame, runs: int = 2) -> dict[str, float]:
+    """Seconds that each count takes over ``sample`` (text), beyond what reading it takes: the least of some runs, after one
+    that compiles. What a count needs of another is not counted twice."""
+
+    def seconds(names: tuple[str, ...]) -> float:
+        frame, _ = _begin(sample, "text")
+        for name in names:
+            frame = COUNTS[name](frame, F.col("_t"))
+        job, took = frame.agg(F.sum(names[-1] if names else F.length("_t"))), []
+        for _ in range(runs + 1):
+            began = time.perf_counter()
+            job.collect()  # one row
+            took.append(time.perf_counter() - began)
+        return min(took[1:])
+
+    read, words_ = seconds(()), seconds(("n_words",))
+    found = {name: seconds((name,)) - read for name in COUNTS if name not in ("n_words", "n_repeat_words")}
+    found |= {"n_words": words_ - read, "n_repeat_words": seconds(("n_words", "n_repeat_words")) - words_}
+    return {name: max(t, 1e-4) for name, t in found.items()}
+
+
+def order_by_gain(rules: tuple[Rule, ...], rejected: dict[tuple[bool, ...], int], seconds: dict[str, float]) -> list[Rule]:
+    """``rejected``: how many sampled rows have each pattern of verdicts, one a rule. Ties go to the cheaper rule, then by name."""
+    left, made, out, places = dict(rejected), set(), [], set(range(len(rules)))
+    while places:
+        price = {k: sum(seconds[c] for c in rules[k].counts if c not in made) for k in places}
+        gain = {k: sum(n for hit, n in left.items() if hit[k]) / max(price[k], 1e-9) for k in places}
+        best = min(places, key=lambda k: (-gain[k], price[k], rules[k].name))
+        out.append(rules[best])
+        places.remove(best)
+        made.update(rules[best].counts)
+        left = {hit: n for hit, n in left.items() if not hit[best]}
+    return out
+
+
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7, text_col: str = "text") -> list[Rule]:
-    """Rules by estimated rejections per unit of work, best first (ties by name). At most about ``sample_rows`` rows
-    are looked at; one row of estimates comes to the driver. An empty sample keeps the order by work."""
+    """The rules in the order of the cascade. At most about ``sample_rows`` rows are looked at, chosen at random of the whole table; the
+    numbers of sampled rows by verdicts come to the driver. An empty sample gives the cheapest first."""
     n = docs.count()
-    sample = with_counts(docs.select(F.col(f"`{text_col}`").alias("text")).sample(min(1.0, sample_rows / max(n, 1)), seed))
-    row = sample.agg(
-        F.avg(F.length("text")).alias("chars"), F.avg("n_words").alias("words"), *[F.avg(r.rejects().cast("double")).alias(f"r_{r.name}") for r in rules]
-    ).first()
-    work = {r.name: r.per_char * (row.chars or 1.0) + r.per_word * (row.words or 1.0) for r in rules}
-    return sorted(rules, key=lambda r: (-(row[f"r_{r.name}"] or 0.0) / work[r.name], work[r.name], r.name))
+    text = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    sample = stored(text.sample(min(1.0, sample_rows / max(n, 1)), seed).repartition(1), "quality-sample")
+    verdicts = [r.rejects().alias(f"r{k}") for k, r in enumerate(rules)]
+    rows = with_counts(sample).select(*verdicts).groupBy(*[f"r{k}" for k in range(len(rules))]).count().collect()  # a row a pattern
+    return order_by_gain(rules, {tuple(r)[:-1]: r["count"] for r in rows}, count_seconds(sample))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, text_col: str = "text", all_counts: bool = False) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, text_col: str = "text", always: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with the counts and ``rejected_by``, the first rule of the cascade that rejects (null: kept).
 
     A row that a rule rejected goes no further: later rules see a null text for it, and their counts are null.
-    ``all_counts`` computes them for every row all the same. Null and empty texts have no words and fail
+    Those in ``always`` are computed for every row all the same. Null and empty texts have no words and fail
     few_words; repeated rows are judged alike; an empty table gives no row.
     """
     frame, kept = _begin(docs, text_col)
     frame, made = frame.withColumn("_v", F.lit(None).cast("string")), []
     for rule in cascade_order(docs, rules, sample_rows, text_col=text_col):
         for name in (c for c in rule.counts if c not in made):
-            frame = COUNTS[name](frame, F.col("_t") if all_counts else F.when(F.col("_v").isNull(), F.col("_t")))
+            frame = COUNTS[name](frame, F.col("_t") if name in always else F.when(F.col("_v").isNull(), F.col("_t")))
             made.append(name)
         frame = frame.withColumn("_v", F.coalesce("_v", F.when(rule.rejects(), F.lit(rule.name))))
     return _settled(frame.withColumn("rejected_by", F.col("_v")), kept, [*made, "rejected_by"])
@@ -157,6 +193,12 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return judge(docs, text_col=text_col).where("rejected_by IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: Counts that the query gives of every row.
+ALWAYS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def contract(docs: DataFrame) -> DataFrame:
-    judged = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), all_counts=True)
+    """doc_id, the five counts, base_failed and kept of every row; see ``judge`` for odd rows. What is not asked for of every row
+    (capitals) is computed only where no rule before rejected."""
+    judged = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), always=ALWAYS)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE).alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))

@@ -459,6 +459,24 @@ def test_cascade_order_changes_work_only(docs):
     assert one == {r.doc_id for r in backwards.where("rejected_by IS NULL").collect()}
 
 
+def test_order_by_gain():
+    """Rejections are counted among the rows that are left, and a count that was made before costs nothing again."""
+    rules = tuple(quality.Rule(n, c, lambda: F.lit(True)) for n, c in (("a", ("x",)), ("b", ("x", "y")), ("c", ("z",))))
+    seconds = {"x": 1.0, "y": 1.0, "z": 3.0}
+    order = lambda rejected: [r.name for r in quality.order_by_gain(rules, rejected, seconds)]
+    assert order({}) == ["a", "b", "c"]
+    assert order({(True, True, False): 10, (False, True, False): 1, (False, False, True): 4}) == ["a", "c", "b"]
+    assert order({(True, False, True): 10, (False, False, True): 30}) == ["c", "a", "b"]
+    assert order({(True, True, False): 4, (False, True, False): 5}) == ["b", "a", "c"]
+
+
+def test_quality_of_long_texts(spark):
+    rng = np.random.RandomState(9)
+    made = [(k, " ".join("".join(rng.choice(list("abcé"), rng.randint(1, 4))) for _ in range(n)), "x") for k, n in enumerate((1500, 20_000))]
+    made[1] = (1, made[1][1] + " " + made[1][1][:9000], "x")
+    test_quality_counts(spark.createDataFrame(made, "doc_id long, text string, source string"), made)
+
+
 def test_quality_odd(odd, none):
     assert quality.keep_good(odd).columns == odd.columns
     assert quality.judge(odd).count() == 6 and quality.contract(none).count() == 0 and quality.keep_good(none).count() == 0
