@@ -35,10 +35,12 @@ from adjudica.llm.common import base_rows, mix64, stored
 
 K = 32
 STEP = 17
-SLICE = 1 << 20
-CHUNK = 1 << 20
+SLICE = 1 << 18
+CHUNK = 1 << 18
+#: Contexts that a task merges at once.
+AT_ONCE = 1 << 18
 #: Contexts of an anchor beyond which they are compared by their windows' hashes.
-MANY = 4096
+MANY = 2048
 NULL_ID = -(1 << 63)
 NAME = ["doc", "tie"]
 CONTEXTS = "h long, ctx long, doc long, tie int, s int, e int, done boolean"
@@ -170,10 +172,22 @@ def _anchored(length: int, hot):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = list(rows_of(frame))
-            if found:
+            found, size = [], 0
+            doc, tie = frame.doc.to_numpy(), frame.tie.to_numpy()
+
+            def merged() -> pd.DataFrame:
                 h, ctx, row, s, e = (np.concatenate(x) for x in zip(*found))
-                yield _one_of_each(h, ctx, frame.doc.to_numpy()[row], frame.tie.to_numpy()[row], s, e)
+                found.clear()
+                return _one_of_each(h, ctx, doc[row], tie[row], s, e)
+
+            for part in rows_of(frame):
+                found.append(part)
+                size += len(part[0])
+                if size >= AT_ONCE:
+                    yield merged()
+                    size = 0
+            if found:
+                yield merged()
 
     return run
 
