@@ -309,32 +309,53 @@ def plain_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("send", [1 << 25, 0])
-def test_line_dedup(docs, rows, monkeypatch, send):
-    monkeypatch.setattr(lines, "SEND_BYTES", send)
+def test_line_dedup(docs, rows):
     got = {k: (r.n_lines, r.n_dropped, r.kept_sha256) for k, r in table(lines.contract(docs)).items()}
     assert got == plain_lines(rows) and sum(v[1] for v in got.values()) > 5
 
 
+def test_line_dedup_of_one_long_text(spark):
+    """A text of many lines that all go but some, and lines that go at both ends."""
+    long = "\n".join(f"line number {k} of the long text" if k % 3 else f"own {k}" for k in range(3000))
+    made = [(1, long), (2, long + "\nand one line more that is its own"), (3, "head\n" + long), (3, "another text of the same id\n" + long[:900])]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.contract(frame).collect())
+    want = plain_lines([(1, long), (2, made[1][1]), (3, made[2][1])])
+    assert got[0] == (1, *want[1]) and got[1] == (2, *want[2]) and {r[2] for r in got[2:]} == {0}
+
+
 def test_line_dedup_odd(odd, none):
     got = lines.drop_repeated_lines(odd.unionByName(odd)).collect()
     assert len(got) == 12 and all(r.n_words == 3 for r in got)
     assert lines.contract(none).count() == 0
 
 
-def test_line_index_is_reversible(spark, docs, rows):
+def test_line_index_is_reversible(spark, docs, rows, monkeypatch):
     first, later = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")
     whole, part = lines.LineIndex.of(docs, shards=3), lines.LineIndex.of(first, shards=3)
     counts = lambda index: {tuple(r) for r in index.counts.collect()}
+    kept = lambda index, frame: {r.doc_id: r._kept for r in index.drop(frame).collect()}
+
+    def filters_fit(index):
+        held = {r.shard: (lines.CuckooFilter.load(bytes(r.buckets)), r["size"]) for r in index.filters.collect()}
+        keys = index.repeated().collect()
+        assert sum(size for _, size in held.values()) == len(keys)
+        for r in keys:
+            assert held[r.k2 % index.shards][0].holds(np.array([r.k1], np.int64).view(np.uint64)).all()
+
     grown = part.insert(later)
-    assert counts(grown) == counts(whole)
-    back = grown.delete(later.select("doc_id"))
-    assert counts(back) == counts(part)
-    sizes = {r.shard: r["size"] for r in back.filters.collect()}
-    assert sum(sizes.values()) == back.counts.count()
-    held = {r.shard: lines.CuckooFilter.load(bytes(r.buckets)) for r in grown.filters.collect()}
-    for r in grown.counts.collect():
-        assert held[r.k2 % 3].holds(np.array([r.k1], np.int64).view(np.uint64)).all()
+    assert counts(grown) == counts(whole) and kept(grown, docs) == kept(whole, docs)
+    filters_fit(grown)
+    again = grown.insert(later)  # a batch that comes again changes nothing
+    assert counts(again) == counts(whole)
+    back = again.delete(later.select("doc_id"))
+    assert counts(back) == counts(part) and kept(back, first) == kept(part, first)
+    filters_fit(back)
+    monkeypatch.setattr(lines, "SHARD_KEYS", 1)
+    split = part.insert(later)
+    assert split.shards == 6 or split.repeated().count() <= 6
+    filters_fit(split)
+    assert kept(split, docs) == kept(whole, docs)
 
 
 def test_cuckoo_filter():
