@@ -3,9 +3,11 @@
 1. Each text gives its set of hashed word five-grams (A-Z lower-cased, words of letters, digits and non-ASCII; a
    text of one to four words is one gram), the set's own 128-bit hash, and its band hashes. Rows of the
    same set are one *class*, named by its smallest doc_id, so that exact copies are one row from here on.
-2. Classes are shuffled on band hashes. Those that share bands, directly or through others, are one
-   *candidate group*. Bands and rows are chosen for a target recall at the threshold.
-3. The full sets of a group are compared in blocks of classes, each block pair in a task of its own, as
+2. Classes are shuffled on band hashes; those with a common band hash are a *star* around the smallest. Bands and
+   rows are chosen for a target recall at the threshold.
+3. Full sets decide. Classes that stars tie together, if they are few and short, are compared at once. Where chance
+   hits tie many, each star is compared by itself, and a pair counts in the first band that it shares. Sets are dealt in
+   blocks of a bounded number of classes and n-grams, each pair of blocks in a task of its own, and compared as
    products of 0/1 matrices: every link is counted, no pair is written. Each block pair gives a class its
    number of links and the smallest class it reaches there.
 4. The latter are edges of which the connected components are the near-duplicate groups.
@@ -24,7 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from adjudica.llm.common import WordHashes, base_rows, mix64, stored, word_bytes
 from adjudica.operators.components import connected_components
 
-BLOCK_CLASSES = 1024
+#: What is compared at once, at most (or one class): classes, and n-grams of their sets together.
+BLOCK_CLASSES = 256
+BLOCK_GRAMS = 1 << 19
 MAX_HASHES = 256
 
 
@@ -97,7 +101,7 @@ def _sets(n: int):
             keys = [set_key(s) for s in sets]
             same = np.array([k == (a, b) for k, a, b in zip(keys, frame.k1, frame.k2)], bool)
             frame["grams"] = [s.tobytes() for s in sets]
-            yield frame.loc[same, ["component", "blocks", "class_id", "grams"]]
+            yield frame.loc[same, ["class_id", "bands", "deals", "grams"]]
 
     return run
 
@@ -125,68 +129,79 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
 
 
 def _verify(threshold: float):
-    def group(component, bi: int, bj: int, ids: np.ndarray, blocks: np.ndarray, raw: list[bytes]) -> pd.DataFrame | None:
+    def group(key: tuple, ids: np.ndarray, blocks: np.ndarray, bands: np.ndarray, raw: list[bytes]) -> pd.DataFrame | None:
+        band, _, bi, bj = key
         order = np.argsort(ids, kind="stable")
-        ids, blocks = ids[order], blocks[order]
+        ids, blocks, bands = ids[order], blocks[order], bands[order]
         sets = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
+        left, right = np.flatnonzero(blocks == bi), np.flatnonzero(blocks == bj)
+        if not len(left) or not len(right):
+            return None
+        links = _linked(sets, left, right, threshold)
         if bi == bj:
-            left = right = np.arange(len(ids))
-            links = _linked(sets, left, right, threshold)
             np.fill_diagonal(links, False)
-        else:
-            left, right = np.flatnonzero(blocks == bi), np.flatnonzero(blocks == bj)
-            if not len(left) or not len(right):
-                return None
-            part = _linked(sets, left, right, threshold)
-            links = np.zeros((len(ids), len(ids)), bool)
-            links[np.ix_(left, right)] = part
-            links[np.ix_(right, left)] = part.T
-        n = links.sum(1)
-        some = np.flatnonzero(n)
-        if not len(some):
-            return None
+        own = links.copy()
+        for b in range(band):  # pairs that an earlier band brings together are counted there
+            own &= bands[left, b][:, None] != bands[right, b][None, :]
+        n = np.zeros(len(ids), np.int64)
+        n[left] += own.sum(1)
+        if bi != bj:
+            n[right] += own.sum(0)
         label = np.arange(len(ids))
         while True:  # smallest class that each reaches
-            near = np.where(links, label[None, :], len(ids)).min(1)
-            new = np.minimum(label, near)
+            new = label.copy()
+            new[left] = np.minimum(new[left], np.where(links, label[right][None, :], len(ids)).min(1))
+            new[right] = np.minimum(new[right], np.where(links, label[left][:, None], len(ids)).min(0))
             new = np.minimum(new, new[new])
             if (new == label).all():
                 break
             label = new
-        return pd.DataFrame({"class_id": ids[some], "hook": ids[label[some]], "n": n[some].astype(np.int64)})
+        some = np.flatnonzero((n > 0) | (label < np.arange(len(ids))))
+        return pd.DataFrame({"class_id": ids[some], "hook": ids[label[some]], "n": n[some]}) if len(some) else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, blocks, raw = None, [], [], []
+        key, ids, blocks, bands, raw = None, [], [], [], []
+
+        def settle() -> pd.DataFrame | None:
+            return group(key, np.array(ids), np.array(blocks), np.stack(bands), raw) if len(ids) > 1 else None
+
         for frame in frames:
-            for c, i, j, cid, block, grams in zip(frame.component, frame.bi, frame.bj, frame.class_id, frame.block, frame.grams):
-                if (c, i, j) != key:
-                    if len(ids) > 1 and (out := group(*key, np.array(ids), np.array(blocks), raw)) is not None:
+            for *k, cid, block, own, grams in zip(frame.band, frame.group, frame.bi, frame.bj, frame.class_id, frame.block, frame.bands, frame.grams):
+                if tuple(k) != key:
+                    if (out := settle()) is not None:
                         yield out
-                    key, ids, blocks, raw = (c, i, j), [], [], []
+                    key, ids, blocks, bands, raw = tuple(k), [], [], [], []
                 ids.append(cid)
                 blocks.append(block)
+                bands.append(np.asarray(own, np.int64))
                 raw.append(grams)
-        if len(ids) > 1 and (out := group(*key, np.array(ids), np.array(blocks), raw)) is not None:
+        if (out := settle()) is not None:
             yield out
 
     return run
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(class_id, component, n) of the classes that share a band hash with another, through any chain.
+    """(class_id, deals) of the classes that share a band hash with another. ``deals``: where to compare it, as (band, group,
+    blocks): band -1 and its component where that is one block, or else the stars that it is in.
 
     A band is a star around its smallest class. A class that is in several stars ties their centres together,
     and groups of copies tie the same few centres: components are sought among the centres alone, and
     each class goes where its smallest centre is.
     """
-    bands = classes.select("class_id", F.explode("bands").alias("band"))
-    least = bands.groupBy("band").agg(F.min("class_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
-    own = stored(bands.join(least, "band").groupBy("class_id").agg(F.min("centre").alias("centre"), F.collect_set("centre").alias("centres")), "jaccard-stars")
+    bands = classes.select("class_id", "n_grams", F.posexplode("bands").alias("at", "band"))
+    blocks = lambda n, g: F.greatest(F.ceil(F.col(n) / BLOCK_CLASSES), F.ceil(F.col(g) / BLOCK_GRAMS)).cast("int")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g")]
+    least = bands.groupBy("band").agg(F.min("class_id").alias("centre"), *sums).where("n > 1").select("band", "centre", blocks("n", "g").alias("blocks"))
+    in_star = F.struct(F.col("at").cast("int").alias("band"), F.col("band").alias("group"), "blocks")
+    own = bands.join(least, "band").groupBy("class_id").agg(F.min("centre").alias("centre"), F.collect_set("centre").alias("centres"), F.max("n_grams").alias("n_grams"), F.collect_list(in_star).alias("stars"))
+    own = stored(own, "jaccard-stars")
     ties = own.select(F.col("centre").alias("a"), F.explode("centres").alias("b")).where("a <> b").distinct()
     found = connected_components(ties)
-    placed = own.join(found, own.centre == found.node, "left").select("class_id", F.coalesce("component", "centre").alias("component"))
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    return placed.join(sizes, "component").select("class_id", "component", "n")
+    placed = own.join(found, own.centre == found.node, "left").select("class_id", "n_grams", "stars", F.coalesce("component", "centre").alias("component"))
+    sizes = placed.groupBy("component").agg(*sums).select("component", blocks("n", "g").alias("blocks"))
+    whole = F.array(F.struct(F.lit(-1).alias("band"), F.col("component").alias("group"), "blocks"))
+    return placed.join(sizes, "component").select("class_id", F.when(F.col("blocks") == 1, whole).otherwise(F.col("stars")).alias("deals"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,17 +220,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     worded = signed.where("n_grams > 0")
     named = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     named = stored(named, "jaccard-classes")
-    heads = worded.select("doc_id", "k1", "k2", "bands").join(named.select("k1", "k2", F.col("class_id").alias("doc_id")), ["doc_id", "k1", "k2"])
-    classes = heads.groupBy(F.col("doc_id").alias("class_id")).agg(F.min(F.struct("k1", "k2", "bands")).alias("x")).select("class_id", "x.*")
+    heads = worded.select("doc_id", "k1", "k2", "n_grams", "bands").join(named.select("k1", "k2", F.col("class_id").alias("doc_id")), ["doc_id", "k1", "k2"])
+    classes = heads.groupBy(F.col("doc_id").alias("class_id")).agg(F.min(F.struct("k1", "k2", "n_grams", "bands")).alias("x")).select("class_id", "x.*")
     groups = stored(candidate_groups(classes), "jaccard-groups")
-    wanted = groups.withColumn("blocks", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")).join(classes.select("class_id", "k1", "k2"), "class_id")
-    texts = base.join(wanted, F.col("doc_id") == F.col("class_id")).select("component", "blocks", "class_id", "k1", "k2", "text")
-    sets = texts.mapInPandas(_sets(n), "component long, blocks int, class_id long, grams binary").dropDuplicates(["class_id"])
-    block = F.pmod(F.xxhash64("class_id"), "blocks").cast("int")
-    dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "block", "grams")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
+    wanted = groups.join(classes.select("class_id", "k1", "k2", "bands"), "class_id")
+    texts = base.join(wanted, F.col("doc_id") == F.col("class_id")).select("class_id", "k1", "k2", "bands", "deals", "text")
+    deals = "deals array<struct<band:int,group:long,blocks:int>>"
+    sets = texts.mapInPandas(_sets(n), f"class_id long, bands array<long>, {deals}, grams binary").dropDuplicates(["class_id"])
+    dealt = sets.select("class_id", F.explode("deals").alias("d"), "bands", "grams").select("class_id", "d.*", "bands", "grams")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "group", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "block", "bands", "grams")
+    parts, key = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["band", "group", "bi", "bj"]
+    dealt = dealt.repartition(parts, *key).sortWithinPartitions(*key)
     found = stored(dealt.mapInPandas(_verify(threshold), "class_id long, hook long, n long"), "jaccard-links")
     links = found.groupBy("class_id").agg(F.sum("n").alias("n_links"))
     near = connected_components(found.where("class_id <> hook"), "class_id", "hook").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))

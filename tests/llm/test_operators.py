@@ -612,13 +612,60 @@ def plain_groups(rows, t=0.8):
     return {k: (named.get(s, k), group.get(named.get(s, k), k), links[named.get(s, k)]) for k, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_near_duplicates(docs, rows, monkeypatch, block):
+@pytest.mark.parametrize("block,grams", [(256, 1 << 19), (2, 1 << 19), (256, 400)])
+def test_near_duplicates(docs, rows, monkeypatch, block, grams):
     monkeypatch.setattr(similar, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(similar, "BLOCK_GRAMS", grams)
     got = {k: (r.class_id, r.group_id, r.n_links) for k, r in table(similar.near_duplicates(docs)).items()}
     assert got == plain_groups(rows)
 
 
+def plain_links(texts, t=0.8):
+    """Pairs of row numbers of different sets, by an index of all n-grams."""
+    sets, held = {}, collections.defaultdict(list)
+    for k, text in enumerate(texts):
+        w = WORD.findall(lower(text or ""))
+        n = min(5, len(w))
+        if w:
+            sets.setdefault(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)), k)
+    out = set()
+    for grams, k in sets.items():
+        met = collections.Counter(j for g in grams for j in held[g])
+        sizes = {j: s for j, s in ((j, len(other)) for other, j in sets.items() if j in met)}
+        out |= {(j, k) for j, n in met.items() if n >= t * (len(grams) + sizes[j] - n) - 1e-9}
+        for g in grams:
+            held[g].append(k)
+    return out
+
+
+def test_recall_on_the_documents(spark):
+    """Links of the operator against all pairs of the documents of a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    links = plain_links([t for _, t in made])
+    want = collections.Counter(made[k][0] for pair in links for k in pair)
+    got = {r.class_id: r.n_links for r in similar.near_duplicates(docs).select("class_id", "n_links").distinct().collect() if r.n_links}
+    assert sum(want.values()) >= 10 and sum(got.values()) / sum(want.values()) >= 0.999
+    assert all(got[k] <= want[k] for k in got)
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_large_group_is_compared_by_stars(spark, monkeypatch, block):
+    """Copies with different words changed: which pairs are alike depends on both; some groups hang together by chance only."""
+    monkeypatch.setattr(similar, "BLOCK_CLASSES", block)
+    rng = np.random.RandomState(12)
+    base = [f"w{k}" for k in range(120)]
+    made = []
+    for k in range(120):
+        words = list(base)
+        at = rng.randint(0, 110)
+        words[at : at + rng.randint(0, 14)] = [f"n{k}"]
+        made.append((k, " ".join(words)))
+    want = collections.Counter(k for pair in plain_links([t for _, t in made]) for k in pair)
+    got = {r.class_id: r.n_links for r in similar.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert {k: n for k, n in got.items() if n} == dict(want) and len(set(want.values())) > 5
+
+
 def test_dense_group_of_near_copies(spark):
     base = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join([*base[:199], f"end{k}"]), None, None, None) for k in range(40)]
