@@ -6,31 +6,35 @@ run ending there that some item has. Runs of ``window`` words or more hit all wo
 whole items of fewer words. Then spans go, or the whole document where hits cover too much of it.
 
 Items are cut into blocks of at most ``block_words`` words, one automaton each, so that what is sent to the
-executors at once is bounded whatever the benchmark's size; each block is one more pass over the rows.
+executors at once is bounded whatever the benchmark's size. The rows pass ``BLOCKS_AT_ONCE`` automata in a stage, and
+are stored before the next ones.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from adjudica.llm.common import WORD_BYTES, word_bytes
+from adjudica.llm.common import WORD_BYTES, stored, word_bytes
 
 _RUNS = re.compile(rb"[^ ]+")
+BLOCKS_AT_ONCE = 8
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word numbers. ``next`` are transitions, ``link`` suffix links, ``length``
-    the longest run of a state; ``items_of`` are the items whose window is a state's shortest runs."""
+    """Generalised suffix automaton over word numbers. ``link`` are suffix links, ``length`` the longest run of a state,
+    ``items`` the items whose windows are a state's runs. Most states have one transition: ``word`` and ``after`` hold the
+    first of each state as plain integers, ``more`` the others."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window, self.names = window, [name for name, _ in items]
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        step: list[dict[int, int]] = [{}]
+        self.step, self.link, self.length = step, array("i", [-1]), array("i", [0])
         own: list[set[int]] = [set()]
         short: dict[int, set[int]] = {}
         for k, (_, words) in enumerate(items):
@@ -46,13 +50,16 @@ class SuffixAutomaton:
         # items of a state: its own and those of the states whose runs end in its runs
         for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             own[self.link[s]] |= own[s] if self.length[self.link[s]] >= window else set()
-        self.items = [tuple(sorted(x)) if n >= window else () for x, n in zip(own, self.length)]
+        self.items = {s: tuple(sorted(x)) for s, (x, n) in enumerate(zip(own, self.length)) if n >= window}
         # the item of fewer words that ends at a state has that state's full length: windows of their own
         self.short = {s: (self.length[s], tuple(sorted(x))) for s, x in short.items()}
         self.shortest = min([window, *(n for n, _ in self.short.values())])
+        self.word, self.after = (array("i", [next(iter(x), -1) for x in each]) for each in (step, (x.values() for x in step)))
+        self.more = {s: x for s, x in enumerate(step) if len(x) > 1 or not s}
+        del self.step
 
     def _extend(self, last: int, c: int) -> int:
-        step, link, length = self.next, self.link, self.length
+        step, link, length = self.step, self.link, self.length
         if c in step[last]:
             q = step[last][c]
             return q if length[q] == length[last] + 1 else self._split(last, c, q)
@@ -70,7 +77,7 @@ class SuffixAutomaton:
         return new
 
     def _split(self, p: int, c: int, q: int) -> int:
-        step, link, length = self.next, self.link, self.length
+        step, link, length = self.step, self.link, self.length
         copy = len(length)
         step.append(dict(step[q]))
         length.append(length[p] + 1)
@@ -86,24 +93,30 @@ class SuffixAutomaton:
         numbers = list(map(self.vocabulary.get, words))
         spans: list[list[int]] = []
         found: set[int] = set()
-        step, link, length, window = self.next, self.link, self.length, self.window
+        link, length, window = self.link, self.length, self.window
+        word, after, more, root, none = self.word, self.after, self.more, self.more[0], {}
         s = n = 0
         for i, c in enumerate(numbers):
             if c is None:
                 s = n = 0
                 continue
-            while s and c not in step[s]:
-                s = link[s]
-                n = length[s]
-            if c not in step[s]:
-                continue
-            s, n = step[s][c], n + 1
+            to = None
+            while s and to is None:
+                to = after[s] if word[s] == c else more.get(s, none).get(c)
+                if to is None:
+                    s = link[s]
+                    n = length[s]
+            if to is None:
+                to = root.get(c)
+                if to is None:
+                    continue
+            s, n = to, n + 1
             reach = 0
             if n >= window:
                 t = s  # the state of the window that ends here
                 while length[link[t]] >= window:
                     t = link[t]
-                found.update(self.items[t])
+                found.update(self.items.get(t, ()))
                 reach = n
             elif self.short:
                 # a whole short item ends here only if its state is on the path of suffix links
@@ -174,7 +187,7 @@ def _union(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_words`` (count), ``_spans`` (disjoint word spans [a, b) that hits cover) and ``_items`` (sorted
     ids of the items with occurring windows).
 
@@ -185,8 +198,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     frame = frame.withColumns({"_words": F.lit(0), "_spans": F.array().cast(HITS), "_items": F.array().cast("array<string>")})
     none = True
-    for automaton in item_blocks(benchmark, window, block_words):
+    for k, automaton in enumerate(item_blocks(benchmark, window, block_words)):
         none = False
+        frame = stored(frame, "contamination") if k and k % BLOCKS_AT_ONCE == 0 else frame
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
         frame = frame.mapInPandas(_scan(shared, frame.columns), _schema(frame))
     if none:
@@ -212,7 +226,7 @@ def _cut(text: str | None, spans: list) -> str | None:
     return b"".join(kept).decode("utf-8", "surrogatepass")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", block_words: int = 200_000) -> DataFrame:
     """``docs`` without the spans that test items cover; documents of which hits cover over ``max_coverage`` of the
     words go altogether. Columns stay as they are; clean rows are untouched."""
 

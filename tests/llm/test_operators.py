@@ -714,6 +714,21 @@ def plain_hits(rows, items, window=10):
     return out
 
 
+def test_automaton_on_long_repetitive_texts(spark, monkeypatch):
+    """Few words, so that states have many transitions and links are long; one text of 60,000 words; many blocks."""
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
+    rng = np.random.RandomState(21)
+    said = lambda n: " ".join(rng.choice(["a", "b", "c"], n))
+    items = [(k, said(n)) for k, n in enumerate([40, 12, 9, 3, 25, 8, 10])]
+    rows = [(k, said(n)) for k, n in enumerate([60_000, 300, 12, 9, 2])]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for words in (200_000, 20):
+        got = {}
+        for r in decontaminate.find_contamination(frame, bench, block_words=words).collect():
+            got[r.doc_id] = (r._words, sum(s.b - s.a for s in r._spans), len(r._items), hashlib.sha256(",".join(r._items).encode()).hexdigest(), bool(r._spans))
+        assert got == plain_hits(rows, items)
+
+
 @pytest.mark.parametrize("block_words", [2_000_000, 30])
 def test_decontamination(spark, docs, rows, block_words):
     items = [(1, " ".join((rows[0][1] or "").split()[5:30])), (2, rows[6][1].split("\n")[-1].upper()), (3, " ".join(rows[9][1].split()[:3])), (4, None), (5, "..."), (6, " ".join((rows[0][1] or "").split()[10:22])), (7, "nowhere at all")]
