@@ -30,9 +30,10 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 ESCAPE = 14
 BLOCK = 1024
 SEGMENT_IDS = 1 << 18
+SHARD_BYTES = 128 << 20
 
 SEGMENT = "shard int, seq int, first long, n_ids long, doc_ids array<long>, lengths array<int>, block_words array<int>, words binary, escapes binary"
-DECODED = "shard int, doc_id long, start_in_shard long, n_tokens long, ids binary"
+DECODED = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +135,14 @@ def _segments(path: str, end_id: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text (null: empty), appends ``end_id``, and writes the shards under ``path``.
 
+    Shards are of about ``SHARD_BYTES`` of text at most, and at least as many as a shuffle's partitions.
     Rows that repeat a doc_id are written as documents of their own, in order of their texts; a null
     doc_id sorts first; an empty table gives a readable empty file.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base_rows(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    spark, rows = docs.sparkSession, base_rows(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
+    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInPandas(_segments(tokenizer, end_id), SEGMENT).write.parquet(path)
 
 
@@ -151,17 +154,42 @@ def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = np.cumsum(lengths)
             raw = ids.tobytes()
             yield pd.DataFrame({
-                "shard": row.shard, "doc_id": pd.array(list(row.doc_ids), "Int64"), "start_in_shard": row.first + ends - lengths,
+                "doc_id": pd.array(list(row.doc_ids), "Int64"), "start": row.first + ends - lengths,
                 "n_tokens": lengths, "ids": [raw[4 * (b - a) : 4 * b] for a, b in zip(lengths, ends)],
             })
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before, ids are little-endian
-    unsigned 32-bit. Only the shards' totals, one row each, meet in one task."""
-    files = spark.read.schema(SEGMENT).parquet(path)
+def _with_before(files: DataFrame) -> DataFrame:
+    """``files`` with ``before``: the ids of all shards before. Only the shards' totals, one row each, meet in one task."""
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    decoded = files.select("shard", "first", "doc_ids", "lengths", "words", "escapes").mapInPandas(_decoded, DECODED)
-    joined = decoded.join(F.broadcast(before), "shard")  # one small row per written shard
-    return joined.select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
+    return files.join(F.broadcast(before), "shard")  # one small row per written shard
+
+
+def read_token_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids) of the ids at places [start, stop) of the whole stream, one row a segment that holds some: only the blocks that
+    hold them are decoded."""
+    files = _with_before(spark.read.schema(SEGMENT).parquet(path)).withColumn("at", F.col("before") + F.col("first"))
+    some = files.where((F.col("at") < stop) & (F.col("at") + F.col("n_ids") > start)).select("at", "n_ids", "block_words", "words", "escapes")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                a, b = max(0, start - row.at), min(row.n_ids, stop - row.at)
+                first, last = a // BLOCK, -(-b // BLOCK)
+                words = np.frombuffer(row.words, "<u8")
+                part = words[row.block_words[first] : row.block_words[last] if last < len(row.block_words) else None]
+                ids = decode_words(part, np.frombuffer(row.escapes, "<u8"))[a - first * BLOCK : b - first * BLOCK]
+                out.append((row.at + a, ids.astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["start", "ids"])
+
+    return some.mapInPandas(run, "start long, ids binary")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before, ids are little-endian
+    unsigned 32-bit."""
+    files = _with_before(spark.read.schema(SEGMENT).parquet(path))
+    decoded = files.select((F.col("before") + F.col("first")).alias("first"), "doc_ids", "lengths", "words", "escapes").mapInPandas(_decoded, DECODED)
+    return decoded.select("doc_id", "start", "n_tokens", "ids")

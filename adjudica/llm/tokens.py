@@ -24,7 +24,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers. Pieces of over ``LONGEST`` characters are not kept."""
+
+    LONGEST = 64
 
     def __init__(self, model):
         super().__init__()
@@ -32,7 +34,9 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         found = self.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
-        self[piece] = ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+        ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+        if len(piece) <= self.LONGEST:
+            self[piece] = ids
         return ids
 
 

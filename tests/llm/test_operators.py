@@ -31,7 +31,6 @@ def reference_ids(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return {k: t.encode(text or "", add_special_tokens=False).ids for k, text, *_ in rows}
 
 
@@ -229,6 +228,10 @@ def test_token_files(spark, docs, rows, reference_ids):
         want = np.array([*reference_ids[k], 2], "<u4")
         assert (got[k].start, got[k].n_tokens, bytes(got[k].ids)) == (start, len(want), want.tobytes())
         start += len(want)
+    whole = b"".join(bytes(got[k].ids) for k, *_ in rows)
+    for a, b in ((0, start), (5, 6), (1000, 1024), (1023, 4100), (start - 3, start + 9), (start, start + 5)):
+        parts = sorted((r.start, bytes(r.ids)) for r in token_files.read_token_range(spark, path, a, b).collect())
+        assert b"".join(p for _, p in parts) == whole[4 * a : 4 * b] and (not parts or parts[0][0] == a)
 
 
 def test_token_files_odd(spark, odd, none):
@@ -550,7 +553,6 @@ def test_encoder_on_any_text():
     from tokenizers import Tokenizer
 
     t, own = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path(), limit=50)
-    t.encode_special_tokens = True
     rng = random.Random(1)
     for _ in range(500):
         x = "".join(rng.choice("ab é²½Ⅷ\x1c　 ́漢字😀'’s'll 12٣\n\t  <|endoftext|>_-") for _ in range(rng.randint(0, 30)))
