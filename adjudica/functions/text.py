@@ -20,7 +20,10 @@ COMMON_WORDS = (
     "ste|societe|sarl|sarlau|sa|sas|snc|au|nf|groupement|gpt|gp|cooperative|coop|entreprise|ets|etablissements?|bureau|bet|cabinet|group|groupe|de|du|des|le|la|les|et|"
     "ingenierie|ingenieurie|ingenerie|engineering|consulting|conseil|conseils|services?|travaux|etudes?|etude|laboratoire|international"
 )
+# What a portal puts before a buyer's name.
 PORTAL_PREFIX = r"^(?:[A-Z0-9][A-Z0-9_.\-]{0,11}\s*/\s*)+[A-Z0-9][A-Z0-9_.\-]{0,19}\s*-\s*"
+# Where a title begins to say where the work is.
+PLACE_WORDS = "a la commune|a l arrondissement|au niveau|relevant|province|prefecture|commune|ville de|au douar|douar|sis |sise |au profit|dans la|en deux lots|en 2 lots|lot "
 # Words that do not tell buyers apart, and the words of each type of buyer, most precise type first.
 GENERIC_BUYER_WORDS = (
     "de du des la le les l d et en a au aux pour sur dans par directeur direction provincial provinciale regional regionale delegue delegation chef gouverneur ministere province "
@@ -76,9 +79,10 @@ def search_words(c: Column) -> Column:
 
 
 def skeleton(c: Column, words: int = 8) -> Column:
-    """A title up to its place and of at most ``words`` words."""
-    cut = F.regexp_replace(flat(c), r"\b(a la commune|au niveau|dans la|sis a|commune de|province de|prefecture de|relevant|ville de|lot n|lot).*$", "")
-    return F.array_join(F.slice(F.split(F.trim(cut), " "), 1, words), " ")
+    """What a title says to be done: up to where it begins to say where, without numbers, of at most ``words`` words."""
+    cut = F.regexp_replace(F.concat(F.lit(" "), flat(c)), rf" ({PLACE_WORDS}).*$", "")
+    kept = F.filter(F.split(cut, " "), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
+    return F.array_join(F.slice(kept, 1, words), " ")
 
 
 def _words_in(text: Column, words: tuple[str, ...]) -> Column:
@@ -251,12 +255,15 @@ def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _common_subsequence(x: str, y: str) -> int:
-    row = [0] * (len(y) + 1)
-    for p in x:
-        left = 0
-        for j, q in enumerate(y, 1):
-            left, row[j] = row[j], left + 1 if p == q else max(row[j], row[j - 1])
-    return row[-1]
+    """Length, by a row of bits: those that stay set are the letters of x that no common subsequence has used yet."""
+    at: dict[str, int] = {}
+    for k, p in enumerate(x):
+        at[p] = at.get(p, 0) | 1 << k
+    full = row = (1 << len(x)) - 1
+    for q in y:
+        hit = row & at.get(q, 0)
+        row = (row + hit | row - hit) & full
+    return len(x) - row.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())

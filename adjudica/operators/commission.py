@@ -69,15 +69,23 @@ def commission_rank(bids: DataFrame, prices: DataFrame, unit: list[str]) -> Data
 
 def replay_with_bid(bids: DataFrame, tenders: DataFrame, unit: list[str], rates: list[float], digits: int | None = 2) -> DataFrame:
     """Each unit judged anew with a fictitious last bid of rate x estimation, for every rate: (unit, rate, reference, rank of
-    the fictitious bid). Units without estimation are left out. A bid equal to an earlier one ranks after it."""
-    grid = F.explode(F.array(*[F.lit(float(r)) for r in rates]))
+    the fictitious bid). Units without estimation are left out, and rates that leave no reference. A bid equal to an earlier one
+    ranks after it. A unit stays one row, in which the rates are an array; its bids are shuffled once."""
+    rounded = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
     known = tenders.where("estimation > 0").select(*unit, "estimation")
-    own = known.join(bids.select(*unit).distinct(), unit, "left_semi").select(*unit, grid.alias("rate"), "estimation")
-    fake = own.select(*unit, "rate", F.lit(1 << 60).cast("long").alias("seq"), (F.col("rate") * F.col("estimation")).alias("amount"))
-    real = bids.join(known.select(*unit), unit, "left_semi").select(*unit, grid.alias("rate"), F.col("seq").cast("long").alias("seq"), "amount")
-    both, key = real.unionByName(fake), [*unit, "rate"]
-    ranked = commission_rank(both, reference_prices(both, own, key, digits), key)
-    return ranked.where(F.col("seq") == F.lit(1 << 60)).select(*key, "reference", "rank")
+    rows = bids.groupBy(*unit).agg(F.collect_list("amount").alias("_own")).join(known, unit)
+    est = F.col("estimation")
+    steps = F.transform(F.array(*[F.lit(float(r)) for r in rates]), lambda r: F.struct(r.alias("rate"), (r * est).alias("own"), F.sort_array(F.concat("_own", F.array(r * est))).alias("all")))
+    rows = rows.withColumn("_g", steps)
+    near = lambda x: F.struct(x["rate"], x["own"], x["all"], _scaled(x["all"], est).alias("near"), _scaled(x["all"], F.get(x["all"], F.floor(F.size(x["all"]) / 2).cast("int"))).alias("alike"))
+    used = lambda x: F.struct(x["rate"], x["own"], F.when(F.size(x["all"]) < 2, x["all"]).when(F.size(x["near"]) >= 2, x["near"]).when(F.size(x["alike"]) >= 2, x["alike"]).otherwise(x["all"]).alias("used"))
+    mean = lambda x: F.struct(x["rate"], x["own"], rounded(F.aggregate(x["used"], F.lit(0.0), lambda s, a: s + a) / F.size(x["used"])).alias("mean"))
+    priced = lambda x: F.struct(x["rate"], x["own"], F.when((x["mean"] / est <= RATIO) & (x["mean"] / est >= 1 / RATIO), rounded((x["mean"] + est) / 2)).alias("reference"))
+    for step in (near, used, mean, priced):
+        rows = rows.withColumn("_g", F.transform("_g", step))
+    first = lambda x: F.when(x["own"] <= x["reference"], F.filter("_own", lambda a: (a >= x["own"]) & (a <= x["reference"]))).otherwise(F.filter("_own", lambda a: (a <= x["reference"]) | (a <= x["own"])))
+    ranked = F.transform("_g", lambda x: F.struct(x["rate"].alias("rate"), x["reference"].alias("reference"), (F.size(first(x)) + 1).alias("rank")))
+    return rows.select(*unit, F.inline(ranked)).where("reference IS NOT NULL")
 
 
 def bids_of_units(bids: DataFrame) -> DataFrame:

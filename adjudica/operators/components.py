@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the session names one (a cluster's shared folder), else one of this machine."""
+    """``spark.checkpoint.dir`` where the session names one (a cluster's shared folder), else the checkpoint folder that was set.
+    Without either, a local session has one of its own; on a cluster that is an error, as executors share no local folder."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="adjudica-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -40,16 +43,16 @@ def clear_stored(spark: SparkSession) -> int:
     return n
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reached. Null ends are no edges.
 
     A round takes the smallest label among a node's neighbours and then that label's own label, so that
-    chains shrink geometrically; only the number of changed labels comes to the driver.
+    chains shrink geometrically; rounds end when no label changes, and only whether one did comes to the driver.
     """
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = stored(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).select(F.col("a").alias("node"), "label"), "cc-labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("j"), F.col("label").alias("beyond"))
@@ -58,4 +61,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         labels = nxt.select("node", "label")
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

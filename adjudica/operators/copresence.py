@@ -22,12 +22,13 @@ def shared_units(presences: DataFrame, least: int = 1) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
 
 
-def expected_units(presences: DataFrame) -> DataFrame:
-    """(a, b, expected): sum over buyers of nA * nB / N, what independent choices of each buyer's units would give."""
+def expected_units(presences: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b, expected) of the pairs ``met`` (a, b): sum over buyers of nA * nB / N, what independent choices of each buyer's units
+    would give. Only pairs that met are followed to their buyers, so that a buyer of many companies makes no pairs of its own."""
     n = presences.groupBy("buyer", "company").agg(F.count(F.lit(1)).alias("n"))
     units = presences.groupBy("buyer").agg(F.count_distinct("unit").alias("units"))
-    left, right = n.select("buyer", F.col("company").alias("a"), F.col("n").alias("na")), n.select("buyer", F.col("company").alias("b"), F.col("n").alias("nb"))
-    both = left.join(right, "buyer").where("a < b").join(units, "buyer")
+    left, right = n.join(units, "buyer").select("buyer", F.col("company").alias("a"), F.col("n").alias("na"), "units"), n.select("buyer", F.col("company").alias("b"), F.col("n").alias("nb"))
+    both = met.select("a", "b").join(left, "a").join(right, ["b", "buyer"])
     return both.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb") / F.col("units")).alias("expected"))
 
 
@@ -46,7 +47,8 @@ def pairs(presences: DataFrame, least: int = 1) -> DataFrame:
     """(a, b, together, expected, excess, tail, share_a, share_b, level)."""
     units = presences.groupBy("company").agg(F.count(F.lit(1)).alias("units"))
     of = lambda side: units.select(F.col("company").alias(side), F.col("units").alias(f"units_{side}"))
-    rows = shared_units(presences, least).join(expected_units(presences), ["a", "b"]).join(of("a"), "a").join(of("b"), "b")
+    met = shared_units(presences, least)
+    rows = met.join(expected_units(presences, met), ["a", "b"]).join(of("a"), "a").join(of("b"), "b")
     rows = rows.withColumns({"excess": F.col("together") / F.greatest("expected", F.lit(1e-9)), "tail": poisson_tail(F.col("expected"), F.col("together")), "share_a": F.col("together") / F.col("units_a"), "share_b": F.col("together") / F.col("units_b")})
     return rows.withColumn("level", level(F.col("together"), F.col("excess"), F.col("tail"), F.col("share_a"), F.col("share_b"))).drop("units_a", "units_b")
 
@@ -63,7 +65,7 @@ def around(presences: DataFrame, wins: DataFrame, companies: DataFrame | None =
     units, won = presences.groupBy("company").agg(F.count(F.lit(1)).alias("n")), wins.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
     for frame, side, name in ((units, "x", "x_units"), (units, "y", "y_units"), (won, "x", "x_wins"), (won, "y", "y_wins")):
         rows = rows.join(frame.select(F.col("company").alias(side), F.col("n").alias(name)), side, "left")
-    rows = rows.withColumns({"a": F.col("x_wins_with") / F.col("x_wins"), "b": F.col("together") / F.col("x_units"), "c": F.col("together") / F.col("y_units"), "part": F.when(F.coalesce("y_wins", F.lit(0)) > 0, F.least(F.lit(1.0), F.col("y_wins_with") / F.col("y_wins")))})
+    rows = rows.withColumns({"a": F.coalesce(F.col("x_wins_with") / F.col("x_wins"), F.lit(0.0)), "b": F.col("together") / F.col("x_units"), "c": F.col("together") / F.col("y_units"), "part": F.when(F.coalesce("y_wins", F.lit(0)) > 0, F.least(F.lit(1.0), F.col("y_wins_with") / F.col("y_wins")))})
     rows = rows.withColumn("ratio", F.when(F.col("b") > 0, F.col("a") / F.col("b")))
     reading = (
         F.when((F.col("x_wins_with") >= 3) & (F.col("ratio") >= 1.3) & (F.col("part") >= 0.5), "noyau")

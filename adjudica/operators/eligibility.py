@@ -17,7 +17,7 @@ def requirements(labels: DataFrame) -> DataFrame:
 def check(required: DataFrame, ours: DataFrame, partners: DataFrame | None = None) -> DataFrame:
     """``required`` with held (our rank), covered_by and state: ok, classe (ours is too low), absent, inconnu, alternative. ``ours``: code, class; ``partners``:
     name, code, class of those in a joint bid."""
-    own = ours.select("code", class_rank(F.col("class")).alias("held"), F.lit(True).alias("_have")).dropDuplicates(["code"])
+    own = ours.groupBy("code").agg(F.min(class_rank(F.col("class"))).alias("held"), F.lit(True).alias("_have"))  # of two classes, the strongest
     rows = required.join(own, "code", "left")
     state = F.when(F.col("code").isNull() | F.col("rank").isNull(), "inconnu").when(F.col("_have").isNull(), "absent").when(F.col("held") <= F.col("rank"), "ok").otherwise("classe")
     rows = rows.withColumn("state", state).drop("_have")

@@ -394,9 +394,11 @@ def copresence_pairs(spark, d):
 _EXPECTED = "n AS (SELECT buyer, company, count(*) AS n FROM presences GROUP BY 1, 2), u AS (SELECT buyer, count(DISTINCT unit) AS units FROM presences GROUP BY 1), ex AS (SELECT a.company AS a, b.company AS b, sum(a.n * b.n * 1.0::DOUBLE / units) AS expected FROM n a JOIN n b ON a.buyer = b.buyer AND a.company < b.company JOIN u ON u.buyer = a.buyer GROUP BY 1, 2)"
 
 
-@query(f"WITH {PRESENCES_SQL}, {_EXPECTED} SELECT a, b, floor(expected * 1000 + 0.5) / 1000 AS expected FROM ex")
+@query(f"WITH {PRESENCES_SQL}, {_EXPECTED}, tg AS (SELECT DISTINCT a.company AS a, b.company AS b FROM presences a JOIN presences b ON a.unit = b.unit AND a.company < b.company) SELECT a, b, floor(expected * 1000 + 0.5) / 1000 AS expected FROM ex JOIN tg USING (a, b)")
 def expected_pairs(spark, d):
-    return copresence.expected_units(presences(spark, d)).select("a", "b", (F.floor(F.col("expected") * 1000 + 0.5) / F.lit(1000.0)).alias("expected"))
+    """Pairs that met at least once; the others have no excess to tell."""
+    p = presences(spark, d)
+    return copresence.expected_units(p, copresence.shared_units(p)).select("a", "b", (F.floor(F.col("expected") * 1000 + 0.5) / F.lit(1000.0)).alias("expected"))
 
 
 @query(
@@ -411,11 +413,11 @@ def poisson_levels(spark, d):
 @query(
     f"{FULL_SQL}, {PRESENCES_SQL}, w AS (SELECT unit, bidder AS winner FROM ranked WHERE rank = 1), wn AS (SELECT winner, count(*) AS k FROM w GROUP BY 1), un AS (SELECT company, count(*) AS k FROM presences GROUP BY 1), "
     "m AS (SELECT p.company AS x, q.company AS y, count(*) AS together, count(*) FILTER (winner = p.company) AS x_wins_with, count(*) FILTER (winner = q.company) AS y_wins_with FROM presences p JOIN presences q ON p.unit = q.unit AND p.company <> q.company LEFT JOIN w ON w.unit = p.unit GROUP BY 1, 2) "
-    "SELECT x, y, together, x_wins_with, y_wins_with, x_wins_with / wx.k AS a, together / ux.k AS b, together / uy.k AS c, least(1.0, y_wins_with / wy.k) AS part FROM m LEFT JOIN un ux ON ux.company = x LEFT JOIN un uy ON uy.company = y LEFT JOIN wn wx ON wx.winner = x LEFT JOIN wn wy ON wy.winner = y"
+    "SELECT x, y, together, x_wins_with, y_wins_with, coalesce(x_wins_with / wx.k, 0) AS a, together / ux.k AS b, together / uy.k AS c, least(1.0, y_wins_with / wy.k) AS part, CASE WHEN x_wins_with >= 3 AND a / b >= 1.3 AND part >= 0.5 THEN 'noyau' WHEN x_wins_with >= 3 AND (a / b >= 1.3 OR c >= 0.6) THEN 'accompagnatrice' WHEN y_wins_with >= 3 AND a / b < 1 THEN 'concurrent' ELSE 'neutre' END AS reading FROM m LEFT JOIN un ux ON ux.company = x LEFT JOIN un uy ON uy.company = y LEFT JOIN wn wx ON wx.winner = x LEFT JOIN wn wy ON wy.winner = y"
 )
 def around_company(spark, d):
     wins = _ranked(spark, d).where("rank = 1").select("unit", F.col("bidder").alias("company"))
-    return copresence.around(presences(spark, d), wins).select("x", "y", "together", "x_wins_with", "y_wins_with", "a", "b", "c", "part")
+    return copresence.around(presences(spark, d), wins).select("x", "y", "together", "x_wins_with", "y_wins_with", "a", "b", "c", "part", "reading")
 
 
 @query(f"WITH {PRESENCES_SQL}, a AS (SELECT p.company AS a, q.company AS b, count(*) AS n FROM presences p JOIN presences q ON p.unit = q.unit AND p.company < q.company WHERE p.day < DATE '1998-01-01' GROUP BY 1, 2), b AS (SELECT DISTINCT p.company AS a, q.company AS b FROM presences p JOIN presences q ON p.unit = q.unit AND p.company < q.company WHERE p.day >= DATE '1998-01-01') SELECT CASE WHEN n >= 6 THEN 'fort' WHEN n >= 3 THEN 'moyen' ELSE 'faible' END AS level, count(*) AS pairs, count(b.a) AS again FROM a LEFT JOIN b ON a.a = b.a AND a.b = b.b GROUP BY 1")
@@ -575,7 +577,7 @@ def simulate_curve(spark, d):
     own = rows.groupBy("priority", "bidder").agg(F.count_distinct("unit").alias("n"), F.avg("rate").alias("mu"), F.stddev_samp("rate").alias("sigma"))
     units = tenders(spark, d).groupBy("priority").agg(F.count(F.lit(1)).alias("units"))
     c = own.join(units, "priority").select(F.col("priority").alias("unit"), (F.col("n") / F.col("units")).alias("p"), "mu", F.coalesce("sigma", F.lit(0.05)).alias("sigma"))
-    return simulate.chance_curve(c, 2000)
+    return simulate.chance_curve(c)
 
 
 @query("WITH e AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), m AS (SELECT day, n, sum(n) OVER w / count(*) OVER w AS smooth FROM e WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) SELECT day, n, CAST(smooth AS DOUBLE) AS smooth FROM m")
@@ -594,7 +596,7 @@ def gaps_islands_zone(spark, d):
 # limits
 
 
-@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)")
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)")
 def rate_limit_60s(spark, d):
     return limits.sliding_count(events(spark, d), "user_id", "second", 60).select("event_id", "user_id", "recent")
 
@@ -739,4 +741,4 @@ def buyer_dimension(spark, d):
 @query()
 def bootstrap_interval(spark, d):
     """95 % interval of the mean rate, by Poisson weights of a hash (tested)."""
-    return tracking.bootstrap(_rates(spark, d), "unit", "rate", 50)
+    return tracking.bootstrap(_rates(spark, d), "unit", "rate")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def sliding_count(events: DataFrame, key: str, second: str, length: int) -> DataFrame:
-    """``events`` with the number of the key's events in the ``length`` seconds up to each (its own second included)."""
-    w = W.partitionBy(key).orderBy(second).rangeBetween(-length + 1, 0)
+    """``events`` with the number of the key's events up to ``length`` seconds old at each (one exactly that old counts still)."""
+    w = W.partitionBy(key).orderBy(second).rangeBetween(-length, 0)
     return events.withColumn("recent", F.count(F.lit(1)).over(w))
 
 
