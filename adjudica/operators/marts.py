@@ -50,6 +50,19 @@ def year_menu(rows: DataFrame, year: str, current: int, least_share: float = 0.0
     return counted.withColumn("kept", sound & ((share >= least_share) | (F.col("year") == str(current))))
 
 
+def year_options(rows: DataFrame, year: str, current: int, least_share: float = 0.01) -> DataFrame:
+    """(year, n): the kept years, and 'incertaine' for all other rows where there are any."""
+    menu = year_menu(rows, year, current, least_share)
+    return menu.groupBy(F.when(F.col("kept"), F.col("year")).otherwise("incertaine").alias("year")).agg(F.sum("n").alias("n"))
+
+
+def regrouped_years(rows: DataFrame, key: str, year: str, kept: list[str], distinct: str) -> DataFrame:
+    """(key, year, bids, buyers) with the rows of years that are not kept in one bucket; what is distinct is counted from the rows, as counts
+    of years don't add up."""
+    bucket = F.when(F.col(year).isin(*kept), F.col(year)).otherwise("incertaine")
+    return rows.groupBy(key, bucket.alias("year")).agg(F.count(F.lit(1)).alias("bids"), F.count_distinct(distinct).alias("buyers"))
+
+
 def reconcile(total: DataFrame, parts: DataFrame, keys: list[str], measure: str, tolerance: float = 0.0) -> DataFrame:
     """Keys whose parts do not add up to their total."""
     summed = parts.groupBy(*keys).agg(F.sum(measure).alias("_parts"))

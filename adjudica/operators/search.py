@@ -63,6 +63,23 @@ def nulls_last(column: str, descending: bool, allowed: tuple[str, ...]) -> Colum
     return F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
 
 
+def lot_number(column: str) -> Column:
+    """A lot's number for sorting; a text counts 0."""
+    return F.coalesce(F.col(column).try_cast("int"), F.lit(0))
+
+
+def lookup_with_fallback(rows: DataFrame, facts: DataFrame, key: list[str], other: list[str], value: str, order: str) -> DataFrame:
+    """``rows`` with ``value`` of the fact of the same key, or else of the first fact (by ``order``) of the same ``other`` columns."""
+    first = facts.groupBy(*other).agg(F.min_by(value, order).alias("_other"))
+    own = facts.select(*key, F.col(value).alias("_own")).dropDuplicates(key)
+    return rows.join(own, key, "left").join(first, other, "left").withColumn(value, F.coalesce("_own", "_other")).drop("_own", "_other")
+
+
+def reference_contains(reference: Column, query: str) -> Column:
+    """Whether a reference contains what is asked, without regard to spaces and case."""
+    return F.replace(F.upper(reference), F.lit(" "), F.lit("")).contains(query.upper().replace(" ", ""))
+
+
 def facet(df: DataFrame, column: str, distinct: str) -> DataFrame:
     return df.groupBy(column).agg(F.count_distinct(distinct).alias("n"))
 
