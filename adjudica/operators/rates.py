@@ -28,6 +28,11 @@ def shrink(own: DataFrame, segment_mean: Column, segment_variance: Column, k_mea
     return own.withColumns({"mu": mu, "sigma": F.greatest(F.lit(FLOOR), narrow * F.sqrt(var))})
 
 
+def shrink_to(value: Column, n: Column, wide: Column, k: float) -> Column:
+    """Between a company's own value, seen n times, and its segment's, which weighs as k times."""
+    return (n * value + F.lit(float(k)) * wide) / (n + F.lit(float(k)))
+
+
 def widest_first(rows: DataFrame, levels: list[list[str]], value: str, least: int = 40, quantiles: int = 41) -> DataFrame:
     """Aggregates of every level of keys (narrow to wide) in one grouping sets pass: level, keys, n, mean, variance, quantiles."""
     keys = list(dict.fromkeys(k for level in levels for k in level))

@@ -732,13 +732,7 @@ def version_dedup(spark, d):
     return similarity.version_groups(rows, [F.col("o_totalprice")]).select("ref", "version_group", "main", F.col("versions").cast("long").alias("versions"))
 
 
-@query()
+@query("SELECT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS buyer_key, arg_max(c_name, (n, c_name)) AS buyer, CAST(sum(n) AS BIGINT) AS tenders FROM (SELECT c_name, count(*) AS n FROM customer GROUP BY 1) GROUP BY 1")
 def buyer_dimension(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_name").alias("buyer"))
     return readers.buyer_dimension(rows)
-
-
-@query()
-def bootstrap_interval(spark, d):
-    """95 % interval of the mean rate, by Poisson weights of a hash (tested)."""
-    return tracking.bootstrap(_rates(spark, d), "unit", "rate")
