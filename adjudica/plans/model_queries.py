@@ -439,3 +439,35 @@ def page_indicators(spark, d):
 
     found = {"article": "<article", "advert": 'class="ad"', "nav": "<nav", "footer": "<footer", "script": "<script", "style": "<style", "tables": "<table", "form": "<form", "heading": "<h1", "links": "href=", "items": "<li>", "remarks": "<!--", "references_": "&copy;"}
     return readers.feature_flags(table(spark, d, "pages"), "html", found).select("page_id", *found)
+
+
+_SYLLABLES = ["ta", "ri", "mou", "ben", "zem", "la", "khe", "ou"]
+
+
+def _places(k):
+    """An invented place name of four syllables for a number."""
+    return F.concat(*[F.element_at(F.array(*[F.lit(x) for x in _SYLLABLES]), (F.floor(k / 8**i) % 8 + 1).cast("int")) for i in (3, 2, 1, 0)])
+
+
+def _buyers(spark, d):
+    """Buyers of notices (of every tenth customer with a letter changed, of others as they are or unknown) and of the history."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    known = c.where("c_custkey % 3 < 2").select(text.buyer_key(F.concat(F.lit("Commune de "), _places(k))).alias("key"), F.concat(F.lit("Commune de "), _places(k)).alias("name")).distinct()
+    name = F.when(k % 10 == 0, F.concat(F.lit("Commune rurale de "), F.substring(_places(k), 1, 3), F.lit("x"), F.substring(_places(k), 4, 20))).otherwise(F.concat(F.lit("Commune de "), _places(k)))
+    return c.select(k.alias("id"), name.alias("name")), known
+
+
+@query()
+def buyer_resolution(spark, d):
+    """How each buyer of a notice is found again in the history (tested against all pairs)."""
+    from adjudica.operators import names
+
+    return names.resolve(*_buyers(spark, d))
+
+
+@query()
+def buyer_resolution_coverage(spark, d):
+    from adjudica.operators import names
+
+    return names.resolve(*_buyers(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adjudica.functions import measures, text
-from adjudica.operators import asof, commission, copresence, decide, groups, marts, rates, search, similarity, simulate, tracking
+from adjudica.operators import asof, commission, copresence, decide, groups, marts, names, rates, search, similarity, simulate, tracking
 from adjudica.operators.bidders import calibration_bins, count_law
 from adjudica.plans.adapter import BIDS_SQL, CANDIDATES_SQL, FULL_SQL, PRESENCES_SQL, TENDERS_SQL, bids, events, presences, prices_sql, ranked_sql, table, tenders
 from adjudica.sources import readers, sinks
@@ -718,9 +718,13 @@ def diverse_sample(spark, d):
 
 @query()
 def alike_names(spark, d):
-    """Part names of one type of first letter that are alike (tested on hand-made names)."""
-    names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    return similarity.alike_names(names, "id", "name", F.substring("name", 1, 1), 0.7, text.matching_blocks_ratio)
+    """Part names that are alike and were never in one open tender (tested against all pairs)."""
+    parts = table(spark, d, "part")
+    ids = parts.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    part_of = parts.join(ids, F.col("p_name") == F.col("name")).select(F.col("p_partkey").alias("part"), "id")
+    small = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("unit"))
+    seen = bids(spark, d).join(small, "unit").join(part_of, "part").select("unit", F.col("id").alias("company"))
+    return names.near_duplicates(ids, 70.0, copresence.shared_units(seen.distinct()))
 
 
 @query()
