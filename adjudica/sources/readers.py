@@ -182,6 +182,26 @@ def minutes_bidders(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return body.select("id", F.col("n").alias("seq"), F.get("cells", 0).alias("bidder"), amount(1).alias("amount_deed"), amount(2).alias("amount_checked"), status.alias("status"))
 
 
+def page_lots(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, lot, title, estimation, deposit) of the tables whose header names a lot; columns are found by their heading, wherever they stand."""
+    rows = page_rows(pages, id_col, html_col).withColumn("flat", F.transform("cells", lambda c: flat(c)))
+    heads = rows.where(F.exists("flat", lambda c: c.rlike(r"^(n )?lots?\b")) & (F.size("cells") > 1)).groupBy("id", "table_no").agg(F.min(F.struct("n", "flat")).alias("h"))
+    body = rows.join(heads, ["id", "table_no"]).where("n > h.n")
+    place = lambda pattern: F.array_position(F.transform("h.flat", lambda c: c.rlike(pattern)), True) - 1
+    cell = lambda pattern: F.when(place(pattern) >= 0, F.get("cells", place(pattern).cast("int")))
+    lots = body.select("id", "n", cell(r"^(n )?lots?\b").alias("lot"), cell("intitule|objet|designation").alias("title"), parse_amount(cell("estimation|cout")).alias("estimation"), parse_amount(cell("caution")).alias("deposit"))
+    return lots.where("trim(coalesce(lot, '')) <> ''").drop("n")
+
+
+def notice_sheets(details: DataFrame, minutes: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, values, bidders, awarded): a notice's labelled values, and of its minutes page, where there is one, the number of bidders and whether one was
+    chosen."""
+    told = label_values(details, id_col, html_col)
+    bids = minutes_bidders(minutes, id_col, html_col).groupBy("id").agg(F.count(F.lit(1)).alias("bidders"), F.bool_or(F.col("status") == "attributaire").alias("awarded"))
+    notices = details.select(F.col(id_col).alias("id")).distinct()
+    return notices.join(told, "id", "left").join(bids, "id", "left").select("id", "values", F.coalesce("bidders", F.lit(0)).alias("bidders"), F.coalesce("awarded", F.lit(False)).alias("awarded"))
+
+
 def page_links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, href, text), each once a page."""
     pattern = r"""(?is)<a\b[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a>"""

@@ -77,9 +77,10 @@ def write_snapshot(rows: DataFrame, path: str, calculation: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Semicolon files; cells that a spreadsheet would run are quoted by an apostrophe."""
-    safe = rows.select(*[F.when(F.col(c).cast("string").rlike(r"^[=+@\-]"), F.concat(F.lit("'"), F.col(c).cast("string"))).otherwise(F.col(c).cast("string")).alias(c) for c in rows.columns])
-    safe.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    """Semicolon files with a byte order mark before the header; cells that a spreadsheet would run are quoted by an apostrophe."""
+    text = lambda c: F.col(c).cast("string")
+    safe = [F.when(text(c).rlike(r"^[=+@\-]"), F.concat(F.lit("'"), text(c))).otherwise(text(c)).alias(("\ufeff" if not k else "") + c) for k, c in enumerate(rows.columns)]
+    rows.select(*safe).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 
 def publish(spark: SparkSession, rows: DataFrame, path: str, version: str, shrink: float = 0.02) -> str:

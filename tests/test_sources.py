@@ -105,5 +105,39 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_limits(spark):
     rows = spark.createDataFrame([("u", s) for s in (0, 10, 59, 60, 61)], "u string, s long")
-    assert [r.recent for r in limits.sliding_count(rows, "u", "s", 60).orderBy("s").collect()] == [1, 2, 3, 3, 4]
+    assert [r.recent for r in limits.sliding_count(rows, "u", "s", 60).orderBy("s").collect()] == [1, 2, 3, 4, 4]  # what is exactly 60 seconds old counts
     assert [r.over for r in limits.refused(rows, "u", "s", {60: 2}).orderBy("s").collect()] == [False, False, True, True, True]
+
+
+def test_lots_and_notices(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.json").write_text(json.dumps({"ref": "7", "org": "o", "lots": [{"lot": "1", "intitule": "Voirie", "estimation": 10.5, "qualifications": [{"libelle": "B.1", "classe": "3"}]}, {"lot": "2", "caution_provisoire": 1.0}]}))
+    (tmp_path / "l" / "b.json").write_text("[")
+    got = {(r.ref, r.org, r.lot, r.title, r.estimation, r.deposit) for r in readers.read_lots(spark, str(tmp_path / "l")).collect()}
+    assert got == {("7", "o", "1", "Voirie", 10.5, None), ("7", "o", "2", None, None, 1.0)}
+    (tmp_path / "n.csv").write_text("\ufeffrefConsultation;orgAcronyme;texte\n9;x;12/2026 - Travaux de route\n", encoding="utf-8")
+    r = readers.read_notices(spark, str(tmp_path / "n.csv")).first()
+    assert (r.ref, r.org, r.reference) == ("9", "x", "12/2026")
+
+
+def test_binary_files_by_their_first_bytes(spark, tmp_path):
+    for name, raw in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b"PK\x03\x04zz"), ("c.pdf", b"<html>")):
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[1]: (r.kind, r.length) for r in readers.binary_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": ("pdf", 10), "b.pdf": ("zip", 6), "c.pdf": ("other", 6)}
+
+
+def test_csv_export(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([("=1+1", 2.5), ("plain é", None)], "name string, amount double").coalesce(1), str(tmp_path / "out"))
+    raw = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfname;amount\n") and "'=1+1;2.5" in raw.decode() and "plain é;" in raw.decode()
+
+
+def test_page_lots_and_sheets(spark):
+    lots = "<table><tr><th>Montant</th></tr><tr><td>1</td></tr></table><table><tr><th>N° lot</th><th>Caution provisoire</th><th>Intitulé</th><th>Estimation</th></tr><tr><td>1</td><td>500,00</td><td>Voirie</td><td>1 000,50 DH</td></tr><tr><td>2</td><td></td><td>Éclairage</td><td></td></tr></table>"
+    pages = spark.createDataFrame([(1, lots), (2, "<p>none</p>"), (3, None)], "id long, html string")
+    assert {tuple(r) for r in readers.page_lots(pages, "id", "html").collect()} == {(1, "1", "Voirie", 1000.5, 500.0), (1, "2", "Éclairage", None, None)}
+    details = spark.createDataFrame([(1, "<table><tr><td>Objet</td><td>Route</td></tr></table>"), (2, "<p>x</p>")], "id long, html string")
+    minutes = spark.createDataFrame([(1, "<table><tr><th>Concurrent</th><th>Montant</th></tr><tr><td>A</td><td>9</td></tr><tr><td>B attributaire</td><td>8</td></tr></table>")], "id long, html string")
+    got = {r.id: (r["values"], r.bidders, r.awarded) for r in readers.notice_sheets(details, minutes, "id", "html").collect()}
+    assert got == {1: ({"objet": "Route"}, 2, True), 2: (None, 0, False)}
