@@ -71,6 +71,14 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str])
     return both.withColumn("kind", kind).where("kind IS NOT NULL")
 
 
+def apply_changes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(table, audit): the table after a replacement, each row with ``changed`` (whether it had to be written), and one row of the audit for each
+    kind of change with its count. Keys that are gone are in the audit only."""
+    told = changes(old, new, keys, values)
+    kept = new.select(*keys, *values).join(told.where("kind <> 'retrait'").select(*keys, F.lit(True).alias("changed")), keys, "left")
+    return kept.withColumn("changed", F.coalesce("changed", F.lit(False))), told.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_snapshot(rows: DataFrame, path: str, calculation: str) -> None:
     """Replaces the partition of one calculation and leaves the others."""
     rows.withColumn("calculation", F.lit(calculation)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("calculation").parquet(path)
