@@ -555,7 +555,7 @@ def test_encoder_on_any_text():
     t, own = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path(), limit=50)
     rng = random.Random(1)
     for _ in range(500):
-        x = "".join(rng.choice("ab é²½Ⅷ\x1c　 ́漢字😀'’s'll 12٣\n\t  <|endoftext|>_-") for _ in range(rng.randint(0, 30)))
+        x = "".join(rng.choice([*"ab é²½Ⅷ\x1c　 ́漢字😀'’s'll 12٣\n\t  <|endoftext|>_-", "<|endoftext|>"]) for _ in range(rng.randint(0, 30)))
         assert np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() == own.ids_bytes(x)
 
 
