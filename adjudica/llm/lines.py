@@ -29,7 +29,7 @@ from adjudica.llm.common import base_rows, mix64, stored
 
 _BLANKS = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 17
-#: Tasks over which the lines of one key or shard are spread.
+#: Tasks over which the lines of one key or shard are spread at least.
 SALTS = 16
 NULL_ID = -(1 << 63)
 FILTERS = "shard int, buckets binary, size int"
@@ -163,16 +163,17 @@ def filters_of(keys: DataFrame, shards: int) -> DataFrame:
 def probe(lines: DataFrame, filters: DataFrame, shards: int, spread: str) -> DataFrame:
     """``lines`` (k1, k2 and other whole numbers, none null) with ``maybe``: whether the filter of their shard may hold them. Filters and
     lines meet by shard and a salt (of column ``spread``), a filter before its lines, so that a task streams lines past one filter."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(SALTS, 2 * parts // shards)  # few shards are spread over all tasks
     kept, schema = lines.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    some = lines.select("*", shard_of(shards), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("buckets"))
-    own = filters.select("shard", "buckets", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.lit(0).cast(f.dataType).alias(f.name) for f in lines.schema])
+    some = lines.select("*", shard_of(shards), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("buckets"))
+    own = filters.select("shard", "buckets", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.lit(0).cast(f.dataType).alias(f.name) for f in lines.schema])
     both = some.unionByName(own).withColumn("first", F.col("buckets").isNull())
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = None, None
         for frame in frames:
-            place = frame["shard"].to_numpy().astype(np.int64) * SALTS + frame["salt"].to_numpy()
+            place = frame["shard"].to_numpy().astype(np.int64) * salts + frame["salt"].to_numpy()
             new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
             for a, b in zip(new.tolist(), [*new[1:].tolist(), len(place)]):
                 if place[a] != at:
