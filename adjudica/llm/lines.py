@@ -282,10 +282,10 @@ class LineIndex:
         # a row is named by its doc_id and its text, so that rows that repeat a doc_id stay apart
         id_ = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NULL_ID))
         lines = base_rows(docs, id_col, text_col).select(id_("doc_id").alias("doc"), F.xxhash64("text").alias("tie"), F.explode(_long_lines(self.min_chars)).alias("x")).select("doc", "tie", "x.*")
-        maybe = probe(lines, self.filters, self.shards, "tie").where("maybe").drop("maybe")
-        # the lines of a key that a third of the documents hold go to many tasks
+        maybe = probe(lines, self.filters, self.shards, "doc").where("maybe").drop("maybe")
+        # the lines of a key that a third of the documents hold go to many tasks, those of copies of one text too
         exact = self.repeated().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        gone = maybe.withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int")).join(exact, ["k1", "k2", "salt"]).where(F.col("doc") != id_("keeper"))
+        gone = maybe.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(exact, ["k1", "k2", "salt"]).where(F.col("doc") != id_("keeper"))
         of_row = gone.groupBy(F.col("doc").alias("_of"), F.col("tie").alias("_same")).agg(F.sort_array(F.collect_set("at")).alias("_gone"))
         text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
         rows = docs.select(*names, id_(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_tie"))
