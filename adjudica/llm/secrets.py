@@ -25,7 +25,7 @@ KINDS = ("assign", "access", "hex", "live")
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 _CHUNK = 256
 #: Tasks over which the rows of one hash are spread when verdicts are joined to them.
-_SALTS = 32
+_SALTS = 8
 
 
 def _with_spans(rows: DataFrame, name: str, pattern: str, kind: int, group: int = 0) -> DataFrame:
