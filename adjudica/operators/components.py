@@ -24,17 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
 _STORED: list[str] = []
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``clear_stored`` deletes."""
+    _STORED.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _STORED[-1]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes a table into the shared folder and reads it again: lineage ends there, and a lost executor costs a read,
     not a recomputation. The table stays until ``clear_stored``, as later plans may read it."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_stored(spark: SparkSession) -> int:
-    """Deletes the tables that this process has stored; call it when no result that reads them is needed any more."""
+    """Deletes the tables and files that this process has stored; call it when no result that reads them is needed any more."""
     jvm, n = spark.sparkContext._jvm, len(_STORED)
     for path in _STORED:
         where = jvm.org.apache.hadoop.fs.Path(path)
