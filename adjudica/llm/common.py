@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from adjudica.operators.components import shared_folder as shared_dir, stored
+from adjudica.operators.components import scratch_path, shared_folder as shared_dir, stored
 
 #: Lower-cases A-Z and turns every byte outside 0-9, a-z, 0x80-0xFF into a space, so that
 #: ``split()`` gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
@@ -46,4 +46,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-__all__ = ["WORD_BYTES", "WordHashes", "base_rows", "mix64", "shared_dir", "stored", "word_bytes"]
+__all__ = ["WORD_BYTES", "WordHashes", "base_rows", "mix64", "scratch_path", "shared_dir", "stored", "word_bytes"]

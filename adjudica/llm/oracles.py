@@ -61,3 +61,30 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id"""
+
+INFILL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ks FROM d),
+r AS (SELECT *, CAST(len(ks) AS BIGINT) AS n, [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN [0, 1, 2, 3]] AS hs FROM k),
+c AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 50 THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(ks[:a], '') AS pre, array_to_string(ks[a + 1 : b], '') AS mid, array_to_string(ks[b + 1 :], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+TRIE = """WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT *, sha256(length(role) || ':' || role || text) AS u FROM t),
+o AS (SELECT c, list({'u': u, 'n': length(text)} ORDER BY turn NULLS FIRST, role, left(text, 32), u) AS own FROM u GROUP BY c),
+bits AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) AS v FROM range(256) r(i))),
+h AS (SELECT c, own, xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')]), lambda a, x: xor(a // 256, tab[CAST(xor(a, x) % 256 + 1 AS INT)]))) % 6 AS h FROM o, bits),
+b AS (SELECT h.c, list_concat(CASE WHEN h.h > 0 THEN coalesce(f.own[:h.h], []) ELSE [] END, h.own[h.h + 1:]) AS seq FROM h LEFT JOIN o f ON f.c = h.c - h.c % 100),
+p AS (SELECT c, seq, unnest(range(0, CAST(len(seq) + 1 AS BIGINT))) AS d FROM b),
+n AS (SELECT c, d, len(seq) AS l, 'r' || array_to_string([x.u FOR x IN seq[1:d]], '') AS k, CASE WHEN d > 0 THEN seq[d].n ELSE 0 END AS chars, CASE WHEN d > 0 THEN 'r' || array_to_string([x.u FOR x IN seq[1:d-1]], '') END AS pk FROM p),
+g AS (SELECT k, any_value(pk) AS pk, d, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (l = d), '') AS ends FROM n GROUP BY k, d),
+kids AS (SELECT pk AS k, count(*) AS n_children FROM g WHERE pk IS NOT NULL GROUP BY 1),
+w AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (k)),
+s AS (SELECT a.k, CAST(sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((w.n_convs - 1) * w.chars) AS BIGINT) AS saved_tokens FROM w JOIN n a ON a.c = w.conv_id AND a.d <= w.d GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(w.ends) AS ends_sha256 FROM w JOIN s USING (k) LEFT JOIN g up ON up.k = w.pk"""
+
+WARC = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT *, octet_length(b) AS n, max(page_id) OVER (PARTITION BY b) AS top, row_number() OVER (PARTITION BY b ORDER BY page_id DESC NULLS LAST) AS i FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest, CASE WHEN n < 1000 OR i = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n >= 1000 AND i > 1 THEN top END AS refers_to FROM k"""
