@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adjudica.functions.measures import poisson_tail
+from adjudica.operators.components import stored
 
 # Thresholds of the levels, strongest first: shared units, excess over chance, Poisson tail.
 LEVELS = (("fort", 6, 5.0, 1e-4), ("moyen", 4, 3.0, 1e-3), ("faible", 3, 2.0, 1e-2))
@@ -24,12 +25,24 @@ def shared_units(presences: DataFrame, least: int = 1) -> DataFrame:
 
 def expected_units(presences: DataFrame, met: DataFrame) -> DataFrame:
     """(a, b, expected) of the pairs ``met`` (a, b): sum over buyers of nA * nB / N, what independent choices of each buyer's units
-    would give. Only pairs that met are followed to their buyers, so that a buyer of many companies makes no pairs of its own."""
+    would give. ``met`` is read three times: better a written table.
+
+    Each buyer goes the cheaper of two ways, which give the same terms. One makes the k * (k - 1) / 2 pairs of its k companies; the
+    other follows the pairs that met of these companies, so that a buyer of very many companies makes no pairs of its own.
+    """
     n = presences.groupBy("buyer", "company").agg(F.count(F.lit(1)).alias("n"))
     units = presences.groupBy("buyer").agg(F.count_distinct("unit").alias("units"))
-    left, right = n.join(units, "buyer").select("buyer", F.col("company").alias("a"), F.col("n").alias("na"), "units"), n.select("buyer", F.col("company").alias("b"), F.col("n").alias("nb"))
-    both = met.select("a", "b").join(left, "a").join(right, ["b", "buyer"])
-    return both.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb") / F.col("units")).alias("expected"))
+    n = stored(n.join(units, "buyer"), "buyer-companies")
+    degree = met.groupBy(F.col("a").alias("company")).agg(F.count(F.lit(1)).alias("met"))
+    ways = n.join(degree, "company", "left").groupBy("buyer").agg(F.count(F.lit(1)).alias("k"), F.sum("met").alias("met"))
+    by_pairs = n.join(ways.select("buyer", (F.col("k") * (F.col("k") - 1) / 2 <= F.coalesce("met", F.lit(0))).alias("_by_pairs")), "buyer")
+    side = lambda rows, end: rows.select("buyer", F.col("company").alias(end), F.col("n").alias(f"n{end}"), *(["units"] if end == "a" else []))
+    small, large = by_pairs.where("_by_pairs"), by_pairs.where("NOT _by_pairs")
+    term = (F.col("na") * F.col("nb") / F.col("units")).alias("term")
+    made = side(small, "a").join(side(small, "b"), "buyer").where("a < b").select("a", "b", term)
+    followed = met.select("a", "b").join(side(large, "a"), "a").join(side(large, "b"), ["b", "buyer"]).select("a", "b", term)
+    summed = made.unionByName(followed).groupBy("a", "b").agg(F.sum("term").alias("expected"))
+    return summed.join(met.select("a", "b"), ["a", "b"], "left_semi")
 
 
 def level(together: Column, excess: Column, tail: Column, share_a: Column, share_b: Column) -> Column:
@@ -47,7 +60,7 @@ def pairs(presences: DataFrame, least: int = 1) -> DataFrame:
     """(a, b, together, expected, excess, tail, share_a, share_b, level)."""
     units = presences.groupBy("company").agg(F.count(F.lit(1)).alias("units"))
     of = lambda side: units.select(F.col("company").alias(side), F.col("units").alias(f"units_{side}"))
-    met = shared_units(presences, least)
+    met = stored(shared_units(presences, least), "shared-units")
     rows = met.join(expected_units(presences, met), ["a", "b"]).join(of("a"), "a").join(of("b"), "b")
     rows = rows.withColumns({"excess": F.col("together") / F.greatest("expected", F.lit(1e-9)), "tail": poisson_tail(F.col("expected"), F.col("together")), "share_a": F.col("together") / F.col("units_a"), "share_b": F.col("together") / F.col("units_b")})
     return rows.withColumn("level", level(F.col("together"), F.col("excess"), F.col("tail"), F.col("share_a"), F.col("share_b"))).drop("units_a", "units_b")

@@ -35,15 +35,27 @@ def grid() -> np.ndarray:
     return (FIRST + np.arange(POINTS)) / DENOMINATOR
 
 
-def wins_on_grid(offers: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Whether a bid of each rate wins against ``offers`` (rates, deposited before): at or below the reference it must be
-    the nearest one under it, above it there must be no lower bid at all."""
-    if not len(offers):
-        return np.ones(len(xs), bool)
-    sorted_ = np.append(np.sort(offers), np.inf)
-    reference = ((offers.sum() + xs) / (len(offers) + 1) + 1) / 2
-    above = sorted_[np.searchsorted(sorted_[:-1], xs)]
-    return np.where(xs <= reference, above > reference, sorted_[0] > xs)
+def winning_intervals(offers: list[float]) -> list[tuple[float, float]]:
+    """(low, high] of the rates of a last bid that win against ``offers``.
+
+    The reference is a line in our rate x, ``at + slope * x``, which x meets at ``even``. Up to there we win in a gap between two
+    offers while the gap's upper one lies beyond the reference; past it only below all offers.
+    """
+    slope = 1 / (2 * (len(offers) + 1))
+    at = slope * sum(offers) + 0.5
+    even = at / (1 - slope)
+    lows, highs = [-np.inf, *sorted(offers)], [*sorted(offers), np.inf]
+    gaps = [(low, min(np.nextafter((high - at) / slope, -np.inf), np.nextafter(high, -np.inf), even)) for low, high in zip(lows, highs)]
+    return [g for g in gaps if g[0] < g[1]] + ([(even, np.nextafter(highs[0], -np.inf))] if even < highs[0] else [])
+
+
+def count_wins(scenarios_: list[list[float]], xs: np.ndarray) -> np.ndarray:
+    """In how many of the scenarios (their offers) each rate of the ascending ``xs`` wins: the ends of the intervals, summed up."""
+    ends = np.array([e for offers in scenarios_ for e in winning_intervals(offers)]).reshape(-1, 2)
+    change = np.zeros(len(xs) + 1, np.int64)
+    for column, step in ((0, 1), (1, -1)):
+        np.add.at(change, np.searchsorted(xs, ends[:, column], side="right"), step)
+    return np.cumsum(change[:-1])
 
 
 def seed_of(unit: Column) -> Column:
@@ -68,9 +80,7 @@ def scenarios(candidates: DataFrame, n: int = 4000, per_task: int = 250) -> Data
                 seeds = np.full(draw.shape, seed)
                 comes = uniforms(seeds, draw) < p
                 rate = mu + sigma * normals(seeds, draw + 1)
-                wins = np.zeros(len(xs), np.int64)
-                for row in range(len(ids)):
-                    wins += wins_on_grid(rate[row][comes[row]], xs)
+                wins = count_wins([rate[row][comes[row]].tolist() for row in range(len(ids))], xs)
                 out.append((unit, block, len(ids), wins.tolist()))
             yield pd.DataFrame(out, columns=["unit", "block", "n", "wins"])
 

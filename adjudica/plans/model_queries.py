@@ -386,7 +386,7 @@ def qualification_texts(spark, d):
     return table(spark, d, "part").select(k.alias("part"), code.alias("code"), rank.alias("rank"), text.class_proximity(rank, F.lit(3)).cast("decimal(2,1)").alias("near"))
 
 
-@query("SELECT o_orderkey AS unit, CASE WHEN o_totalprice < 5e5 AND o_orderkey % 4 > 0 THEN o_totalprice END AS sane, CASE o_orderkey % 4 WHEN 1 THEN o_totalprice WHEN 2 THEN o_totalprice WHEN 3 THEN o_totalprice ELSE 1.5 END AS bid, CASE WHEN o_totalprice BETWEEN 150000 / 8.0 AND 150000 * 8.0 THEN round_even((o_totalprice - 150000) / 150000 * 100, 2) END AS gap, coalesce(o_totalprice < 18750 OR o_totalprice > 1200000, false) AS off FROM orders")
+@query("WITH g AS (SELECT *, CAST(CAST((o_totalprice - 150000) / 150000 * 100 AS VARCHAR) AS DECIMAL(38, 18)) AS x FROM orders), r AS (SELECT *, round(x, 2) AS away FROM g) SELECT o_orderkey AS unit, CASE WHEN o_totalprice < 5e5 AND o_orderkey % 4 > 0 THEN o_totalprice END AS sane, CASE o_orderkey % 4 WHEN 1 THEN o_totalprice WHEN 2 THEN o_totalprice WHEN 3 THEN o_totalprice ELSE 1.5 END AS bid, CASE WHEN o_totalprice BETWEEN 150000 / 8.0 AND 150000 * 8.0 THEN CAST(CASE WHEN abs(away - x) = 0.005 AND CAST(away * 100 AS BIGINT) % 2 <> 0 THEN away - 0.01 * sign(x) ELSE away END AS DOUBLE) END AS gap, coalesce(o_totalprice < 18750 OR o_totalprice > 1200000, false) AS off FROM r")
 def amount_checks(spark, d):
     v = F.col("o_totalprice")
     odd = F.when(F.col("o_orderkey") % 4 > 0, v).otherwise(-v)

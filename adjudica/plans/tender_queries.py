@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adjudica.functions import measures, text
 from adjudica.operators import asof, commission, copresence, decide, groups, marts, names, rates, search, similarity, simulate, tracking
+from adjudica.operators.components import stored
 from adjudica.operators.bidders import calibration_bins, count_law
 from adjudica.plans.adapter import BIDS_SQL, CANDIDATES_SQL, FULL_SQL, PRESENCES_SQL, TENDERS_SQL, bids, events, presences, prices_sql, ranked_sql, table, tenders
 from adjudica.sources import readers, sinks
@@ -398,7 +399,7 @@ _EXPECTED = "n AS (SELECT buyer, company, count(*) AS n FROM presences GROUP BY
 def expected_pairs(spark, d):
     """Pairs that met at least once; the others have no excess to tell."""
     p = presences(spark, d)
-    return copresence.expected_units(p, copresence.shared_units(p)).select("a", "b", (F.floor(F.col("expected") * 1000 + 0.5) / F.lit(1000.0)).alias("expected"))
+    return copresence.expected_units(p, stored(copresence.shared_units(p), "shared-units")).select("a", "b", (F.floor(F.col("expected") * 1000 + 0.5) / F.lit(1000.0)).alias("expected"))
 
 
 @query(

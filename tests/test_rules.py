@@ -250,9 +250,9 @@ def test_fast_rule_is_the_official_rule(spark):
     offers = spark.createDataFrame([(u, k, float(v)) for u, vs in sets.items() for k, v in enumerate(vs)], "unit string, seq long, amount double")
     slow = {(r.unit, r.rate): r.wins for r in simulate.winning_rates(offers, xs).collect()}
     for u, vs in sets.items():
-        for x, w in zip(xs, simulate.wins_on_grid(vs, np.array(xs))):
+        for x, w in zip(xs, simulate.count_wins([vs.tolist()], np.array(xs))):
             assert slow[(u, x)] == bool(w), (u, x, vs)
-    assert simulate.wins_on_grid(np.array([0.95]), np.array([0.95, 0.96])).tolist() == [False, True]
+    assert simulate.count_wins([[0.95], []], np.array([0.95, 0.96])).tolist() == [1, 2]
 
 
 def test_curve_of_fixed_rates_is_the_replay(spark):
