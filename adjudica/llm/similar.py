@@ -2,7 +2,8 @@
 
 1. Each text gives its set of hashed word five-grams (A-Z lower-cased, words of letters, digits and non-ASCII; a
    text of one to four words is one gram), the set's own 128-bit hash, and its band hashes. Rows of the
-   same set are one *class*, named by its smallest doc_id, so that exact copies are one row from here on.
+   same set are one *class*, so that exact copies are one row from here on. Its number is its smallest doc_id, or
+   a free one where another set has that doc_id too, or no row of it has any.
 2. Classes are shuffled on band hashes; those with a common band hash are a *star* around the smallest. Bands and
    rows are chosen for a target recall at the threshold.
 3. Full sets decide. Classes that stars tie together, if they are few and short, are compared at once. Where chance
@@ -88,7 +89,7 @@ def _signatures(n: int, bands: int, rows: int):
                 k1, k2 = set_key(grams)
                 for c, v in (("k1", k1), ("k2", k2), ("n_grams", len(grams)), ("bands", signature(grams) if len(grams) else None)):
                     out[c].append(v)
-            yield pd.DataFrame({"doc_id": frame.doc_id, **out})
+            yield pd.DataFrame({"doc_id": frame.doc_id, "text_id": frame.text_id, **out})
 
     return run
 
@@ -101,7 +102,7 @@ def _sets(n: int):
             keys = [set_key(s) for s in sets]
             same = np.array([k == (a, b) for k, a, b in zip(keys, frame.k1, frame.k2)], bool)
             frame["grams"] = [s.tobytes() for s in sets]
-            yield frame.loc[same, ["class_id", "bands", "deals", "grams"]]
+            yield frame.loc[same, ["class_id", "bands", "deals", "grams"]]  # another text of the doc_id is of another class
 
     return run
 
@@ -204,27 +205,41 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return placed.join(sizes, "component").select("class_id", F.when(F.col("blocks") == 1, whole).otherwise(F.col("stars")).alias("deals"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, group_id, n_links.
+def _numbered_classes(worded: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, text_id, class_size, class_id) of each set: the smallest row of it, and its number, which no two share."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("nil"), "doc_id", "text_id")).alias("x")
+    named = stored(worded.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("class_size")).select("k1", "k2", "x.doc_id", "x.text_id", "class_size"), "jaccard-sets")
+    shared = named.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("owner"), F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("same")).where("n > 1 OR doc_id IS NULL")
+    low, high = named.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = low or 0, high or 0
+    if high >= 1 << 62 and low <= -(1 << 62):
+        raise ValueError("doc_ids leave no free numbers")
+    free = F.lit(high + 1) + F.monotonically_increasing_id() if high < 1 << 62 else F.lit(low - 1) - F.monotonically_increasing_id()
+    rows = named.join(shared.select(F.col("doc_id").alias("_shared"), "owner"), F.col("doc_id").eqNullSafe(F.col("_shared")), "left")
+    owned = F.col("doc_id").isNotNull() & (F.col("owner").isNull() | (F.col("owner") == F.struct("k1", "k2")))
+    return stored(rows.select("k1", "k2", "doc_id", "text_id", "class_size", F.when(owned, F.col("doc_id")).otherwise(free).alias("class_id")), "jaccard-classes")
 
-    class_id is the smallest doc_id of the rows with the same n-gram set, n_links the number of other classes
-    whose Jaccard similarity is ``threshold`` or more, group_id the smallest class_id reached by links. Texts
-    without words (null, empty) are like nothing: each is its own class. Rows of one doc_id count as one
-    class where they are the smallest of theirs. A null doc_id is in the class of its set, and has no class
-    where it is alone. An empty table gives no row.
-    """
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return base_rows(docs, id_col, text_col).withColumn("text_id", F.unhex(F.sha2("text", 256)))
+
+
+def grouped(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: what ``near_duplicates`` tells, with text_id (the SHA-256 of the text) and stays, which is true on the
+    rows of the text that stands for its group."""
     bands, rows = choose_bands(threshold, recall)
-    base = base_rows(docs, id_col, text_col)
-    schema = "doc_id long, k1 long, k2 long, n_grams int, bands array<long>"
+    base = _rows(docs, id_col, text_col)
+    schema = "doc_id long, text_id binary, k1 long, k2 long, n_grams int, bands array<long>"
     signed = stored(base.mapInPandas(_signatures(n, bands, rows), schema), "jaccard-signatures")
     worded = signed.where("n_grams > 0")
-    named = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    named = stored(named, "jaccard-classes")
-    heads = worded.select("doc_id", "k1", "k2", "n_grams", "bands").join(named.select("k1", "k2", F.col("class_id").alias("doc_id")), ["doc_id", "k1", "k2"])
-    classes = heads.groupBy(F.col("doc_id").alias("class_id")).agg(F.min(F.struct("k1", "k2", "n_grams", "bands")).alias("x")).select("class_id", "x.*")
+    named = _numbered_classes(worded)
+    numbers = named.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), "class_id")
+    own = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_id") == F.col("_text"))  # joined by row: copies of a text don't meet
+    heads = worded.join(numbers, own)
+    classes = stored(heads.select("class_id", "doc_id", "text_id", "k1", "k2", "n_grams", "bands").dropDuplicates(["class_id"]), "jaccard-heads")
     groups = stored(candidate_groups(classes), "jaccard-groups")
-    wanted = groups.join(classes.select("class_id", "k1", "k2", "bands"), "class_id")
-    texts = base.join(wanted, F.col("doc_id") == F.col("class_id")).select("class_id", "k1", "k2", "bands", "deals", "text")
+    wanted = groups.join(classes.select("class_id", F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), "k1", "k2", "bands"), "class_id")
+    texts = base.join(wanted, own).select("class_id", "k1", "k2", "bands", "deals", "text")
     deals = "deals array<struct<band:int,group:long,blocks:int>>"
     sets = texts.mapInPandas(_sets(n), f"class_id long, bands array<long>, {deals}, grams binary").dropDuplicates(["class_id"])
     dealt = sets.select("class_id", F.explode("deals").alias("d"), "bands", "grams").select("class_id", "d.*", "bands", "grams")
@@ -234,17 +249,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     dealt = dealt.repartition(parts, *key).sortWithinPartitions(*key)
     found = stored(dealt.mapInPandas(_verify(threshold), "class_id long, hook long, n long"), "jaccard-links")
     links = found.groupBy("class_id").agg(F.sum("n").alias("n_links"))
-    near = connected_components(found.where("class_id <> hook"), "class_id", "hook").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
-    told = named.join(links, "class_id", "left").join(near, "class_id", "left").select("k1", "k2", "class_id", "class_size", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    some = worded.select("doc_id", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "class_id", "class_size", "group_id", "n_links")
-    none = signed.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+    near = connected_components(found.where("class_id <> hook"), "class_id", "hook").select(F.col("node").alias("class_id"), "component")
+    told = named.join(links, "class_id", "left").join(near, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    first = told.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("nil"), "doc_id", "class_id")).alias("x")).select("component", F.col("x.doc_id").alias("group_id"), F.col("x.class_id").alias("_first"))
+    told = told.join(first, "component").select("k1", "k2", F.col("doc_id").alias("named"), F.col("text_id").alias("_text"), "class_size", "group_id", (F.col("class_id") == F.col("_first")).alias("_stands"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    stays = F.col("_stays") & F.col("doc_id").eqNullSafe(F.col("named")) & (F.col("text_id") == F.col("_text"))
+    some = worded.select("doc_id", "text_id", "k1", "k2").join(told.withColumnRenamed("_stands", "_stays"), ["k1", "k2"])
+    some = some.select("doc_id", "text_id", F.col("named").alias("class_id"), "class_size", "group_id", "n_links", stays.alias("stays"))
+    none = signed.where("n_grams = 0").select("doc_id", "text_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
     return some.unionByName(none)
 
 
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, class_size, group_id, n_links.
+
+    class_id is the smallest doc_id of the rows with the same n-gram set, n_links the number of other classes
+    whose Jaccard similarity is ``threshold`` or more, group_id the smallest class_id reached by links. Texts
+    without words (null, empty) are like nothing: each is its own class. Rows of one doc_id with different texts are in the classes of their
+    sets, which then show the same class_id without being one class. A null doc_id is larger than any other: a class or group has it
+    where no row has another. Repeated rows are one class; of ties the smallest SHA-256 of the text stands for a class. Texts of any length are whole.
+    Only the two named columns are read, so that no other can clash. An empty table gives no row.
+    """
+    return grouped(docs, threshold, n, recall, id_col, text_col).drop("text_id", "stays")
+
+
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one whose doc_id names the group. Rows that repeat
-    that doc_id become one; rows without a class (null doc_id alone, no words) stay."""
-    found = near_duplicates(docs, threshold, n, id_col=id_col, text_col=text_col)
-    stays = found.where("doc_id = group_id").select(F.col("doc_id").alias("_stays")).distinct()
-    ided = docs.join(stays, F.col(f"`{id_col}`").cast("long") == F.col("_stays"), "left_semi").dropDuplicates([id_col])
-    return ided.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """``docs`` with one document of each near-duplicate group: of the smallest doc_id in it (null last), and of its texts the one that
+    stands for its class. Rows that repeat both become one. Rows without words stay, repeated ones too."""
+    own, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    found = grouped(docs, threshold, n, id_col=id_col, text_col=text_col).where("stays")
+    stays = found.select(F.coalesce("doc_id", F.lit(0)).alias("_stays"), F.isnull("doc_id").alias("_nil"), F.col("text_id").alias("_text")).distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(own, F.lit(0)).alias("_stays"), own.isNull().alias("_nil"), F.unhex(F.sha2(text, 256)).alias("_text"), text.rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]").alias("_worded"))
+    kept = keyed.where("_worded").join(stays, ["_stays", "_nil", "_text"], "left_semi").dropDuplicates(["_stays", "_nil", "_text"])
+    return kept.select("row.*").unionByName(keyed.where("NOT _worded").select("row.*"))

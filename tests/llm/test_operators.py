@@ -677,6 +677,20 @@ def test_dense_group_of_near_copies(spark):
     assert [r.doc_id for r in similar.keep_one(frame).collect()] == [0]
 
 
+def test_texts_that_share_a_doc_id(spark):
+    """Different texts under one doc_id, and without any: no link is lost, and no text that is like no other goes."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (6, c), (7, b + " more"), (8, a), (8, c + " more"), (None, a + " more"), (None, "alone " * 9), (None, "alone " * 9), (5, b), (9, " ".join(a.split(" ")))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.class_id, r.class_size, r.group_id, r.n_links) for r in similar.near_duplicates(frame).collect())
+    want = [(5, 5, 3, 5, 1), (5, 5, 2, 5, 1), (6, 6, 1, 6, 1), (7, 7, 1, 5, 1), (8, 5, 3, 5, 1), (8, 8, 1, 6, 1), (None, None, 1, 5, 1), (None, None, 2, None, 0), (None, None, 2, None, 0), (5, 5, 2, 5, 1), (9, 5, 3, 5, 1)]
+    assert got == collections.Counter(want)
+    kept = collections.Counter(tuple(r) for r in similar.keep_one(frame).collect())
+    assert kept == collections.Counter([(5, a), (5, b), (6, c), (None, "alone " * 9)])
+    apart = spark.createDataFrame([(5, "alpha beta gamma delta"), (5, "one two three four"), (6, "unlike any other text here")], "doc_id long, text string")
+    assert similar.keep_one(apart).count() == 3
+
+
 def test_banding():
     b, r = similar.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** b >= 0.9999 and b * r <= similar.MAX_HASHES
