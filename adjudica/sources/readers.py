@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from adjudica.functions.text import buyer_key, flat, flat_key, parse_amount, strip_html
 from adjudica.operators.components import shared_folder
+from adjudica.operators.containment import contained
 
 MINUTES = (
     "refConsultation string, statut_extraction string, alertes array<string>, fichier string, portail struct<reference:string,acheteur:string,categorie:string,publie_le:string,lien:string>, "
@@ -100,14 +101,30 @@ def portal_wins(ocr: DataFrame, portal: DataFrame, key: str, columns: list[str])
 
 
 def match_notices(minutes: DataFrame, notices: DataFrame) -> DataFrame:
-    """Each minutes row (ref, org, reference, title) with its notice of the same organisation whose reference contains its own or is in it; the most
-    common title words win, and the number of candidates tells the confidence."""
-    m = minutes.select("ref", "org", flat_key(F.col("reference")).alias("_a"), F.split(flat(F.col("title")), " ").alias("_w"))
-    n = notices.select(F.col("ref").alias("notice_ref"), "org", flat_key(F.col("reference")).alias("_b"), F.split(flat(F.col("text")), " ").alias("_v"))
-    both = m.join(n, "org").where((F.length("_a") > 0) & (F.length("_b") > 0) & (F.col("_a").contains(F.col("_b")) | F.col("_b").contains(F.col("_a"))))
-    both = both.withColumn("common", F.size(F.array_intersect("_w", "_v")))
-    ranked = both.withColumns({"_n": F.row_number().over(W.partitionBy("ref").orderBy(F.col("common").desc(), "notice_ref")), "candidates": F.count(F.lit(1)).over(W.partitionBy("ref"))})
-    return ranked.where("_n = 1").select("ref", "notice_ref", "common", "candidates", F.when(F.col("candidates") == 1, "sure").when(F.col("common") >= 2, "probable").otherwise("faible").alias("confidence"))
+    """(ref, notice_ref, common, candidates, confidence) of each minutes row (ref, org, reference, title) and its notice (ref, org, reference, text): of
+    the same organisation, with a line (reference and text) that holds the row's reference. Of several the one with most long words of the title.
+
+    confidence: ``reference`` where it is the only one, ``objet`` where three words or more are common and no other notice has as many,
+    else ``a_verifier``; ``sans`` without any notice. Rows without reference have none. Ties go to the smallest notice_ref.
+    """
+    plain = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9/]", "")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.upper(F.coalesce(c, F.lit(""))), F.lit("[A-ZÀ-ÿ]{5,}"), F.lit(0)))
+    line = F.concat_ws(" ", "reference", "text")
+    m = minutes.select(F.col("ref").alias("id"), F.col("org").alias("block"), plain(F.col("reference")).alias("text"))
+    n = notices.select(F.col("ref").alias("id"), F.col("org").alias("block"), plain(line).alias("text"))
+    both = contained(m, n).join(minutes.select(F.col("ref").alias("id"), words(F.col("title")).alias("_w")), "id").join(notices.select(F.col("ref").alias("id2"), words(line).alias("_v")), "id2")
+    both = both.select("id", "id2", F.size(F.array_intersect("_w", "_v")).alias("common"))
+    first = both.groupBy("id").agg(F.count(F.lit(1)).alias("candidates"), F.max("common").alias("common"), F.min_by("id2", F.struct(-F.col("common"), F.col("id2"))).alias("notice_ref"))
+    alone = both.join(first.select("id", F.col("common").alias("most")), "id").where("common = most").groupBy("id").agg(F.count(F.lit(1)).alias("level"))
+    sure = F.when(F.col("notice_ref").isNull(), "sans").when(F.col("candidates") == 1, "reference").when((F.col("common") >= 3) & (F.col("level") == 1), "objet").otherwise("a_verifier")
+    rows = minutes.select("ref", F.col("ref").alias("id")).join(first, "id", "left").join(alone, "id", "left")
+    return rows.select("ref", "notice_ref", "common", F.coalesce("candidates", F.lit(0)).alias("candidates"), sure.alias("confidence"))
+
+
+def matching_quality(matches: DataFrame) -> DataFrame:
+    """(confidence, n, percent) of ``match_notices``' rows."""
+    n = matches.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("_all")))).select("confidence", "n", (100.0 * F.col("n") / F.col("_all")).alias("percent"))  # one row
 
 
 # HTML pages
