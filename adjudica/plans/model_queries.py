@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from adjudica.functions import measures, text
-from adjudica.operators import asof, bidders, commission, decide, eligibility, rates, similarity, tracking
+from adjudica.operators import asof, bidders, commission, decide, eligibility, rates, similar_markets, similarity, tracking
+from adjudica.operators.components import stored
 from adjudica.plans.adapter import BIDS_SQL, FULL_SQL, PRESENCES_SQL, TENDERS_SQL, bids, events, presences, table, tenders
 from adjudica.plans.market_queries import SIX, six
 from adjudica.plans.tender_queries import _BRACKET, _RATES_SQL, _candidates, _prices, _ranked, _rates
@@ -26,33 +27,39 @@ def query(sql: str | None = None):
 # similarity
 
 
-_LIKE = """tt AS (SELECT t.*, c_nationkey AS region, c_mktsegment AS segment, (unit % 6) AS class FROM tenders t JOIN customer ON c_custkey = buyer),
- p AS (SELECT t.unit AS target, m.unit AS base, m.day AS m_day, 1.0::DOUBLE / (1 + abs(t.class - m.class)) AS cos, CAST(t.priority = m.priority AS INT) AS fam, CAST(t.status = m.status AS INT) AS nat, CASE WHEN t.buyer = m.buyer THEN 1.0 ELSE 0.3 END AS bu,
-  CASE abs(t.class - m.class) WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.0 END AS q, m.estimation / t.estimation AS ratio, t.estimation AS te, pow(0.5, (t.day - m.day) / 365.0::DOUBLE) AS rec
-  FROM tt t JOIN tt m ON t.region = m.region AND t.segment = m.segment AND t.priority = m.priority AND m.day < t.day WHERE t.unit % 20 = 0),
- v AS (SELECT *, 0.6 * cos + 0.25 * fam + 0.15 * nat AS title, coalesce(greatest(0.0, 1 - abs(ln(ratio)) / ln(10.0 / 3)), 0) AS am, CASE WHEN te > 0 THEN 10 ELSE 0 END AS wa FROM p WHERE coalesce(ratio BETWEEN 0.3 AND 3, true)),
- sc AS (SELECT *, 100 * (40 * title + 30 * bu + 10 * q + wa * am + 5 + 5 * rec) / (90 + wa) AS score FROM v),
- top AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, m_day DESC, base DESC) AS rank FROM sc QUALIFY rank <= 20)"""
+_COSINES = """nm AS (SELECT DISTINCT p_name AS title FROM part JOIN lineitem ON l_partkey = p_partkey), wd AS (SELECT title, ' ' || unnest(string_split(title, ' ')) || ' ' AS w FROM nm),
+ gr AS (SELECT title, substr(w, i, k) AS g, count(*) AS n FROM wd, (VALUES (3), (4)) s(k), range(1, 60) r(i) WHERE i <= greatest(1, length(w) - k + 1) GROUP BY 1, 2), gd AS (SELECT g, count(*) AS df FROM gr GROUP BY 1 HAVING count(*) >= 2),
+ vw AS (SELECT title, g, (1 + ln(n)) * (ln((1 + (SELECT count(DISTINCT title) FROM gr)) / (1.0::DOUBLE + df)) + 1) AS w FROM gr JOIN gd USING (g)), vn AS (SELECT title, g, w / sqrt(sum(w * w) OVER (PARTITION BY title)) AS w FROM vw),
+ cs AS (SELECT a.title AS ta, b.title AS tb, sum(a.w * b.w) AS c FROM vn a JOIN vn b USING (g) GROUP BY 1, 2)"""
+_PAIRED = f"""{_COSINES}, ti AS (SELECT unit, p_name AS title FROM bids JOIN part ON p_partkey = part WHERE seq = 1),
+ tt AS (SELECT t.*, c_nationkey AS region, c_mktsegment AS segment, (t.unit % 6) AS class, title FROM tenders t JOIN customer ON c_custkey = buyer LEFT JOIN ti ON ti.unit = t.unit),
+ p AS (SELECT t.unit AS target, m.unit AS base, t.day AS t_day, m.day AS m_day, t.title AS tt_, m.title AS mt_, CAST(t.priority = m.priority AS INT) AS fam, CAST(t.status = m.status AS INT) AS nat, CASE WHEN t.buyer = m.buyer THEN 1.0 WHEN t.segment = m.segment THEN 0.3 ELSE 0.0 END AS bu, CAST(t.region = m.region AS INT) AS reg,
+  CASE abs(t.class - m.class) WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.0 END AS q, m.estimation / t.estimation AS ratio, t.estimation AS te, pow(0.5, (t.day - m.day) / 365.0::DOUBLE) AS rec FROM tt t JOIN tt m ON m.day < t.day WHERE t.unit % 20 = 0),
+ v AS (SELECT p.*, 0.6 * coalesce(c, 0) + 0.25 * fam + 0.15 * nat AS title, coalesce(greatest(0.0, 1 - abs(ln(ratio)) / ln(10.0 / 3)), 0) AS am, CASE WHEN te > 0 THEN 10 ELSE 0 END AS wa FROM p LEFT JOIN cs ON ta = tt_ AND tb = mt_ WHERE coalesce(ratio BETWEEN 0.3 AND 3, true)),
+ sc AS (SELECT *, 100 * (40 * title + 30 * bu + 10 * q + wa * am + 5 * reg + 5 * rec) / (90 + wa) AS score FROM v)"""
+_LIKE = f"""{_PAIRED}, top AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, m_day DESC, base DESC) AS rank FROM sc QUALIFY rank <= 20)"""
 
 
-def _alike(spark, d):
-    """The 20 most similar earlier tenders of each tender whose number divides by 20, among those of its region, segment and priority."""
+def _markets(spark, d):
+    """Tenders as markets: the title is the name of the first bid's part."""
     t = tenders(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("buyer"), F.col("c_nationkey").alias("region"), F.col("c_mktsegment").alias("buyer_type")), "buyer")
-    t = t.select("unit", F.col("priority").alias("family"), F.col("status").alias("nature"), "buyer", "buyer_type", "region", F.col("estimation").alias("amount"), "day", (F.col("unit") % 6).cast("int").alias("class"))
-    side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
-    on = [F.col(f"t_{c}") == F.col(f"m_{c}") for c in ("region", "buyer_type", "family")]
-    both = side(t.where("unit % 20 = 0"), "t").join(side(t, "m"), on).where("m_day < t_day")
-    gap = F.abs(F.col("t_class") - F.col("m_class"))
-    both = both.withColumns({"cosine": 1.0 / (1 + gap), "qualification": text.class_proximity(F.col("t_class"), F.col("m_class")), "t_qualified": F.lit(True)})
-    return similarity.best(similarity.six_criteria(both), "t_unit", 20, "m_day", "m_unit")
+    titles = bids(spark, d).where("seq = 1").join(table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("title")), "part").select("unit", "title")
+    t = t.join(titles, "unit", "left")
+    return t.select("unit", "title", F.col("priority").alias("family"), F.col("status").alias("nature"), "buyer", "buyer_type", "region", F.col("estimation").alias("amount"), "day", (F.col("unit") % 6).cast("int").alias("class"))
 
 
-@query(f"WITH {TENDERS_SQL}, {_LIKE} SELECT target, base, rank, {SIX.format('score')} AS score FROM top")
+def _alike(spark, d, n=20):
+    """The most similar earlier tenders of each tender whose number divides by 20, among all."""
+    m = stored(_markets(spark, d), "markets")
+    return similar_markets.top(m.where("unit % 20 = 0"), m, similar_markets.title_weights(m), n)
+
+
+@query(f"WITH {BIDS_SQL}, {TENDERS_SQL}, {_LIKE} SELECT target, base, rank, {SIX.format('score')} AS score FROM top")
 def similar_score_topk(spark, d):
     return _alike(spark, d).select(F.col("t_unit").alias("target"), F.col("m_unit").alias("base"), F.col("rank").cast("long").alias("rank"), six(F.col("score"), "score"))
 
 
-@query(f"WITH {TENDERS_SQL}, {_LIKE} SELECT target, base, criterion, {SIX.format('points')} AS points FROM (SELECT target, base, wa, unnest(['title', 'buyer', 'qualification', 'amount', 'region', 'recency']) AS criterion, unnest([4000 * title, 3000 * bu, 1000 * q, 100 * wa * am, 500, 500 * rec]) / (90 + wa) AS points FROM top) WHERE criterion <> 'amount' OR wa > 0")
+@query(f"WITH {BIDS_SQL}, {TENDERS_SQL}, {_LIKE} SELECT target, base, criterion, {SIX.format('points')} AS points FROM (SELECT target, base, wa, unnest(['title', 'buyer', 'qualification', 'amount', 'region', 'recency']) AS criterion, unnest([4000 * title, 3000 * bu, 1000 * q, 100 * wa * am, 500 * reg, 500 * rec]) / (90 + wa) AS points FROM top) WHERE criterion <> 'amount' OR wa > 0")
 def similar_explanation(spark, d):
     rows = similarity.explain(_alike(spark, d)).select(F.col("t_unit").alias("target"), F.col("m_unit").alias("base"), F.inline("detail"))
     return rows.select("target", "base", "criterion", six(F.col("points"), "points"))
