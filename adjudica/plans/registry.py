@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from adjudica.plans import ingest_queries, market_queries, model_queries, tender_queries
+    from adjudica.plans import analysis_queries, ingest_queries, market_queries, model_queries, tender_queries
 
-    return [tender_queries, market_queries, model_queries, ingest_queries]
+    return [tender_queries, market_queries, model_queries, ingest_queries, analysis_queries]
 
 
 def queries() -> dict[str, Query]:
