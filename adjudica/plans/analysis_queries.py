@@ -160,7 +160,7 @@ def notice_census(spark, d):
 
 _NEAR = f"""{_PAIRED}, t300 AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, m_day DESC, base DESC) AS rank FROM sc QUALIFY rank <= 300),
  wt AS (SELECT *, CASE WHEN rank <= 50 THEN score / 100 * rec ELSE 0 END AS wgt FROM t300), wa_ AS (SELECT target, sum(wgt) AS alls FROM wt GROUP BY 1),
- cs_ AS (SELECT wt.target, company, sum(wgt) / any_value(alls) AS similar, count(*) FILTER (rank <= 50) AS n_similar, count(*) AS n_near FROM wt JOIN wa_ USING (target) JOIN presences ON presences.unit = base GROUP BY 1, 2)"""
+ cs_ AS (SELECT wt.target, company, sum(wgt) / any_value(alls) AS sim, count(*) FILTER (rank <= 50) AS n_similar, count(*) AS n_near FROM wt JOIN wa_ USING (target) JOIN presences ON presences.unit = base GROUP BY 1, 2)"""
 def _asked(spark, d):
     """(target features, asked rows, found): candidates of all three ways, with what the similar markets and the class say of them."""
     t, history = _history(spark, d)
@@ -174,16 +174,16 @@ def _asked(spark, d):
 
 
 _FIFTEEN = {
-    "similar": "coalesce(similar, 0)", "similar_n": "ln(1 + coalesce(n_similar, 0))", "near_n": "ln(1 + coalesce(n_near, 0))", "buyer_share": "bu / (u3 + 1)", "buyer_n": "ln(1 + bu)", "qualification": "q", "activity": "ln(1 + active)",
+    "similar": "coalesce(sim, 0)", "similar_n": "ln(1 + coalesce(n_similar, 0))", "near_n": "ln(1 + coalesce(n_near, 0))", "buyer_share": "bu / (u3 + 1)", "buyer_n": "ln(1 + bu)", "qualification": "q", "activity": "ln(1 + active)",
     "idle_years": "coalesce(least(3.0, (day - latest) / 365.0::DOUBLE), 3)", "region_share": "CASE WHEN profile > 0 THEN reg / profile ELSE 0 END", "region_n": "ln(1 + reg12)", "family_share": "CASE WHEN profile > 0 THEN fam / profile ELSE 0 END",
     "size_gap": "coalesce(least(3.0, abs(size - usual)), 1)", "buyer_family": "bufam / (uf + 2)", "buyer_family_n": "ln(1 + bufam)", "buyer_24": "bu24 / (u2 + 2)",
 }
 _FT = f"""{BIDS_SQL}, {PRESENCES_SQL}, {TENDERS_SQL}, {_FEATURES}, {_NEAR}, cd3 AS (SELECT unit, company FROM cd UNION SELECT target, company FROM cs_), {_WINDOWED.replace("FROM cd JOIN", "FROM cd3 JOIN")},
- qq AS (SELECT s_suppkey AS company, s_nationkey % 6 AS cl FROM supplier), fq AS (SELECT ft.*, u3, u2, uf, similar, n_similar, n_near, CASE abs(ft.unit % 6 - cl) WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.0 END AS q FROM ft JOIN un USING (unit) JOIN qq USING (company) LEFT JOIN cs_ ON cs_.target = ft.unit AND cs_.company = ft.company WHERE w = 0),
+ qq AS (SELECT s_suppkey AS company, s_nationkey % 6 AS cl FROM supplier), fq AS (SELECT ft.*, u3, u2, uf, sim, n_similar, n_near, CASE abs(ft.unit % 6 - cl) WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.0 END AS q FROM ft JOIN un USING (unit) JOIN qq USING (company) LEFT JOIN cs_ ON cs_.target = ft.unit AND cs_.company = ft.company WHERE w = 0),
  x15 AS (SELECT unit, company, bufam >= 2 AS regular, {", ".join(f"{x} AS f_{n}" for n, x in _FIFTEEN.items())} FROM fq WHERE coalesce(n_similar, 0) > 0 OR q > 0)"""
 
 
-@query(f"WITH {_FT} SELECT unit, company, regular, " + ", ".join(f"{SIX.format(f'f_{n}')} AS {n}" for n in _FIFTEEN) + " FROM x15")
+@query(f"WITH {_FT} SELECT unit, company, regular, " + ", ".join(f"{SIX.format(f'f_{n}')} AS \"{n}\"" for n in _FIFTEEN) + " FROM x15")
 def bidder_features_all(spark, d):
     """The fifteen features of all candidates, of the three ways to come across one, pruned where no similar market and no qualification speaks for one."""
     _, history, asked, similar, _ = _asked(spark, d)
