@@ -244,9 +244,11 @@ def grouped(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     sets = texts.mapInPandas(_sets(n), f"class_id long, bands array<long>, {deals}, grams binary").dropDuplicates(["class_id"])
     dealt = sets.select("class_id", F.explode("deals").alias("d"), "bands", "grams").select("class_id", "d.*", "bands", "grams")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "group", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "block", "bands", "grams")
+    dealt = dealt.select("band", "group", "blocks", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "block", "bands", "grams")
     parts, key = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["band", "group", "bi", "bj"]
-    dealt = dealt.repartition(parts, *key).sortWithinPartitions(*key)
+    # the pairs of a large group's blocks go to tasks in turn, so that no task has several before each has one
+    place = F.pmod(F.xxhash64("band", "group") + F.col("bi").cast("long") * F.col("blocks") + F.col("bj"), F.lit(parts)).cast("int")
+    dealt = dealt.repartitionById(parts, place).sortWithinPartitions(*key)
     found = stored(dealt.mapInPandas(_verify(threshold), "class_id long, hook long, n long"), "jaccard-links")
     links = found.groupBy("class_id").agg(F.sum("n").alias("n_links"))
     near = connected_components(found.where("class_id <> hook"), "class_id", "hook").select(F.col("node").alias("class_id"), "component")
