@@ -31,6 +31,8 @@ ESCAPE = 14
 BLOCK = 1024
 SEGMENT_IDS = 1 << 18
 SHARD_BYTES = 128 << 20
+#: Text of a table takes about so many times the bytes of its files. A plan that knows no size says one above UNKNOWN.
+UNPACKED, UNKNOWN = 2, 1 << 50
 
 SEGMENT = "shard int, seq int, first long, n_ids long, doc_ids array<long>, lengths array<int>, block_words array<int>, words binary, escapes binary"
 DECODED = "doc_id long, start long, n_tokens long, ids binary"
@@ -127,21 +129,26 @@ def _segments(path: str, end_id: int):
                     parts.clear()
         if docs:
             yield segment()
-        enc.forget()
 
     return run
 
 
+def _text_bytes(docs: DataFrame, rows: DataFrame) -> int:
+    """About the bytes of all texts: by the sizes of the files that the plan reads, or counted where it reads none."""
+    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return UNPACKED * planned if planned < UNKNOWN else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text (null: empty), appends ``end_id``, and writes the shards under ``path``.
 
     Shards are of about ``SHARD_BYTES`` of text at most, and at least as many as a shuffle's partitions.
     Rows that repeat a doc_id are written as documents of their own, in order of their texts; a null
-    doc_id sorts first; an empty table gives a readable empty file.
+    doc_id sorts first; an empty table gives a readable empty file. Texts of any length are whole, in one segment; only the two named
+    columns are read, so that no other can clash.
     """
     spark, rows = docs.sparkSession, base_rows(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _text_bytes(docs, rows) // SHARD_BYTES)
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInPandas(_segments(tokenizer, end_id), SEGMENT).write.parquet(path)
 

@@ -42,9 +42,10 @@ class _Memo(dict):
 
 class Encoder:
     """``ids_bytes(text)``: the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` with the library's default
-    settings, so that an added token inside a text has its own id. At most about ``limit`` pieces are kept."""
+    settings, so that an added token inside a text has its own id. At most about ``limit`` pieces are kept (some 150 MB), from one task of the
+    worker to the next."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -54,10 +55,6 @@ class Encoder:
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.limit, self.seen = limit, _Memo(self.whole.model)
 
-    def forget(self) -> None:
-        """At a task's end, so that an idle worker holds no pieces."""
-        self.seen.clear()
-
     def ids_bytes(self, text: str) -> bytes:
         if len(self.seen) > self.limit:
             self.seen.clear()
