@@ -76,3 +76,8 @@ def days_left(closing: Column, now: Column) -> Column:
 
 def smoothed_rate(events: Column, trials: Column, prior: Column, weight: float) -> Column:
     return (events + F.lit(float(weight)) * prior) / (trials + F.lit(float(weight)))
+
+
+def tier(expected: Column, low: float, high: float) -> Column:
+    """0, 1 or 2: an expected number below both bounds, between them, or from the upper one on; 0 where it is unknown."""
+    return F.when(expected.isNull() | (expected < low), 0).when(expected < high, 1).otherwise(2)

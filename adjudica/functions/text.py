@@ -222,12 +222,23 @@ def sort_day(opening: Column, published: Column) -> tuple[Column, Column]:
     return F.date_format(day, "yyyyMMdd"), doubtful
 
 
+def unescaped(c: Column) -> Column:
+    """Character references decoded, named and numeric ones. Only texts with an ampersand go to Python, in Arrow batches."""
+    import html
+
+    import pandas as pd
+
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else html.unescape(t))
+
+    some = F.when(c.contains("&"), c)
+    return F.coalesce(F.pandas_udf(decode, "string")(some), c)
+
+
 def strip_html(c: Column) -> Column:
-    """Text of a fragment: tags to spaces, the common references decoded, one space between words."""
+    """Text of a fragment: tags to spaces, references decoded, one space between words."""
     bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(bare), r"[\s\x{A0}]+", " "))
 
 
 def clamp_text(c: Column, limit: int) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from adjudica.functions.measures import bid_amount
+from adjudica.functions.measures import bid_amount, offers_bracket
 from adjudica.schema import ADMITTED
 
 SCALE = 8.0
@@ -113,3 +113,24 @@ def concordance(ranked: DataFrame, winners: DataFrame, unit: list[str], by: list
     both = first.join(winners.select(*unit, F.col("bidder").alias("_winner"), *by), unit)
     names = [c for c in both.columns if c not in (*unit, "_designated", "_winner")]
     return both.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_designated") == F.col("_winner")).alias("agreed"))
+
+
+def concordance_report(units: DataFrame, designated: DataFrame) -> DataFrame:
+    """(scope, value, units, not_awarded, no_reference, comparable, agreed, reference_differs, rate): how often the replayed rule finds the actual
+    winner, over all units, by year and by bracket of offers (of comparable units), with the units that cannot be compared by reason.
+
+    ``units``: unit, year (null: doubtful), winner, stored_reference; ``designated``: unit, reference, bidder, offers. One pass: each
+    unit goes to its three scopes before it is summed.
+    """
+    rows = units.join(designated.select("unit", "reference", F.col("bidder").alias("_chosen"), "offers"), "unit", "left")
+    awarded, priced = F.col("winner").isNotNull(), F.col("reference").isNotNull()
+    differs = F.col("stored_reference").isNull() | (F.abs(F.col("reference") - F.col("stored_reference")) > 0.01)
+    scopes = F.array(
+        F.struct(F.lit("all").alias("scope"), F.lit("").alias("value")), F.struct(F.lit("year").alias("scope"), F.coalesce(F.col("year").cast("string"), F.lit("date douteuse")).alias("value")),
+        F.when(awarded & priced, F.struct(F.lit("offers").alias("scope"), offers_bracket(F.col("offers")).alias("value"))),
+    )
+    rows = rows.withColumn("s", F.explode(F.array_compact(scopes))).groupBy("s.scope", "s.value").agg(
+        F.count(F.lit(1)).alias("units"), F.count_if(~awarded).alias("not_awarded"), F.count_if(awarded & ~priced).alias("no_reference"), F.count_if(awarded & priced).alias("comparable"),
+        F.count_if(awarded & priced & F.coalesce(F.col("_chosen") == F.col("winner"), F.lit(False))).alias("agreed"), F.count_if(awarded & priced & differs).alias("reference_differs"),
+    )
+    return rows.withColumn("rate", F.when(F.col("comparable") > 0, F.col("agreed") / F.col("comparable")))

@@ -98,3 +98,18 @@ def stability(before: DataFrame, after: DataFrame, keys: list[str], level: str =
     """By level of the first period: pairs, and how many of them the second has too."""
     found = before.join(after.select(*keys, F.lit(True).alias("_again")), keys, "left")
     return found.groupBy(level).agg(F.count(F.lit(1)).alias("pairs"), F.count_if("_again").alias("again"))
+
+
+def wins_with_merges(simple: DataFrame, lots: DataFrame, merges: DataFrame) -> DataFrame:
+    """(company, simple, lots, wins) of the won tenders without lots and the won lots (both: winner), a merged company (``merges``: company, into) under the
+    one that it was merged into. Merges are of one step; sums are made before they are joined."""
+    won = simple.select(F.col("winner").alias("company"), F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(lots.select(F.col("winner").alias("company"), F.lit(0).alias("s"), F.lit(1).alias("l")))
+    summed = won.where(F.col("company").isNotNull()).groupBy("company").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
+    under = summed.join(merges.select("company", "into"), "company", "left").select(F.coalesce("into", "company").alias("company"), "s", "l")
+    return under.groupBy("company").agg(F.sum("s").alias("simple"), F.sum("l").alias("lots"), F.sum(F.col("s") + F.col("l")).alias("wins"))
+
+
+def profile_top(rows: DataFrame, company: str, columns: list[str], most: int = 40) -> DataFrame:
+    """The ``most`` most frequent combinations of ``columns`` of each company, with their count (ties in order of the columns)."""
+    counted = rows.groupBy(company, *columns).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("place", F.row_number().over(W.partitionBy(company).orderBy(F.col("n").desc(), *columns))).where(F.col("place") <= most)

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from adjudica.functions.text import buyer_core, buyer_key, buyer_type, buyer_variant, indel_ratio
+from adjudica.functions.text import buyer_core, buyer_key, buyer_type, buyer_variant, flat, indel_ratio
+from adjudica.operators.components import stored
 
 # Least ratio of a proposal, of words that are each other's, the ceiling of one with a word that has none, of one that is sure, and
 # how far the next one must be.
@@ -82,3 +83,41 @@ def resolve(asked: DataFrame, known: DataFrame) -> DataFrame:
     sure = best.where((F.col("b.score") >= SURE) & (F.col("s").isNull() | (F.col("b.score") - F.col("s") >= APART))).select("id", F.col("b.key").alias("_found"))
     rows = asked.select("id").join(direct, "id", "left").join(sure, "id", "left")
     return rows.select("id", F.when(F.col("_direct").isNotNull(), "direct").when(F.col("_found").isNotNull(), "correspondance").otherwise("aucun").alias("status"), F.coalesce("_direct", "_found").alias("key"))
+
+
+# Words that say nothing, titles that stand for each other, and letters of faults.
+TOOL_WORDS = ("de", "du", "des", "la", "le", "l", "d")
+TITLES = (("directeur provincial", "direction provinciale"), ("directeur regional", "direction regionale"))
+FAULTS = "abcdefghilmnorstu"
+
+
+def perturbed(known: DataFrame, seed: int = 5) -> DataFrame:
+    """(kind, key, name) of the known buyers (key, name) written otherwise: titles exchanged, without small words, with two letters replaced (which and by
+    what is drawn by hash, so that it is the same wherever it is computed). Names that a kind doesn't change, or whose key stays, are left out."""
+    plain = flat(F.col("name"))
+    exchanged = plain
+    for a, b in TITLES:
+        exchanged = F.replace(exchanged, F.lit(a), F.lit(b))
+    words = F.filter(F.split(plain, " "), lambda w: ~w.isin(*TOOL_WORDS))
+    faulty = plain
+    for k in (0, 1):
+        place = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(2 * k)), F.length(plain)).cast("int") + 1
+        letter = F.substr(F.lit(FAULTS), F.pmod(F.xxhash64("key", F.lit(seed), F.lit(2 * k + 1)), F.lit(len(FAULTS))).cast("int") + 1, F.lit(1))
+        faulty = F.overlay(faulty, letter, place, 1)
+    kinds = [("echange", exchanged), ("sans_mots_outils", F.when(F.size(words) > 1, F.array_join(words, " "))), ("deux_fautes", F.when(F.length(plain) >= 8, faulty))]
+    each = known.select("key", plain.alias("_plain"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in kinds])).alias("x")).select("x.kind", "key", "x.name", "_plain")
+    return each.where(F.col("name").isNotNull() & (F.col("name") != F.col("_plain")) & (buyer_key(F.col("name")) != F.col("key"))).drop("_plain")
+
+
+def perturbation_recall(known: DataFrame, seed: int = 5) -> DataFrame:
+    """(kind, n, top1, top5, auto, auto_right): how many of the names that are written otherwise find their buyer first, among five, without a check, and
+    rightly so."""
+    made = stored(perturbed(known, seed).withColumn("id", F.concat_ws("|", "kind", "key")), "perturbed")
+    asked = made.select("id", "name")
+    found = proposals(asked, known, 5).select("id", F.col("key").alias("_found"), "rank")
+    hits = made.join(found, "id", "left").groupBy("kind", "id").agg(F.max(((F.col("_found") == F.col("key")) & (F.col("rank") == 1)).cast("int")).alias("t1"), F.max((F.col("_found") == F.col("key")).cast("int")).alias("t5"))
+    sure = resolve(asked, known).where("status = 'correspondance'").select("id", F.col("key").alias("_sure"))
+    rows = hits.join(made.select("id", "key"), "id").join(sure, "id", "left")
+    return rows.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("t1", F.lit(0))).alias("top1"), F.sum(F.coalesce("t5", F.lit(0))).alias("top5"), F.count("_sure").alias("auto"), F.count_if(F.col("_sure") == F.col("key")).alias("auto_right")
+    )

@@ -95,3 +95,24 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, into: str)
     fields = [c for c in children.columns if c != key]
     nested = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(into))
     return parents.join(nested, key, "left")
+
+
+#: The orders of a list of families.
+FAMILY_SORTS = {"score": ["-score", "-units", "number"], "taille": ["-size", "-score", "number"], "marches": ["-units", "-score", "number"], "recent": ["-latest", "-score", "number"]}
+
+
+def found_families(families: DataFrame, query: str = "") -> DataFrame:
+    """``families`` (number, score, size, units, latest, levels, names) of which a member's name has all words of the query."""
+    return families.where(F.exists("names", lambda n: all_words(n, query))) if query.strip() else families
+
+
+def family_facets(families: DataFrame, query: str = "") -> DataFrame:
+    """(level, n): how many of the found families have each level, whichever levels the list shows."""
+    return found_families(families, query).select("number", F.explode(F.array_distinct("levels")).alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def family_page(families: DataFrame, levels: list[str], sort: str = "score", query: str = "", number: int = 1, size: int = 25) -> DataFrame:
+    """One page of the found families that have one of the levels, in one of four orders; an unknown order is that by score."""
+    shown = found_families(families, query).where(F.arrays_overlap("levels", F.array(*[F.lit(x) for x in levels])))
+    order = [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c) for c in FAMILY_SORTS.get(sort, FAMILY_SORTS["score"])]
+    return page(shown, order, number, size)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from adjudica.functions import measures, text
 from adjudica.functions.measures import logistic
 from adjudica.functions.text import class_proximity
-from adjudica.operators import bidder_laws, bidders, copresence, grouped_fit, louvain, similar_markets, similarity, title_index
+from adjudica.operators import bidder_laws, bidders, commission, copresence, grouped_fit, louvain, marts, search, similar_markets, similarity, title_index
 from adjudica.operators.components import scratch_path, stored
-from adjudica.plans.adapter import BIDS_SQL, PRESENCES_SQL, TENDERS_SQL, bids, events, presences, table, tenders
+from adjudica.plans.adapter import BIDS_SQL, FULL_SQL, PRESENCES_SQL, TENDERS_SQL, bids, events, presences, table, tenders
 from adjudica.plans.market_queries import SIX, six
-from adjudica.plans.model_queries import _FEATURES, _PAIRED, _WINDOWED, _alike, _history, _markets
+from adjudica.plans.model_queries import _FEATURES, _PAIRED, _WINDOWED, _alike, _history, _places
+from adjudica.plans.tender_queries import _candidates, _prices, _ranked
 from adjudica.sources import readers
 from adjudica.streaming import counters
 
@@ -217,3 +219,100 @@ def tender_analysis(spark, d):
     laws = bidder_laws.mixed_laws(chances, ["unit"], "p", ["company"], settings.select("unit", "unannounced", "spread", "shift"))
     ends = [bidder_laws.quantile_of(F.col("law"), q).alias(c) for c, q in (("low", 0.1), ("high", 0.9))]
     return settings.join(laws, "unit").select("unit", "candidates", six(F.col("mean") + F.col("unannounced"), "expected"), six(F.col("unannounced"), "unannounced"), *ends)
+
+
+# reports and lists
+
+
+_WINNERS = "wi AS (SELECT unit, min(bidder) AS winner FROM bids WHERE status = 'A' GROUP BY 1), nb AS (SELECT unit, count(*) AS offers FROM cand GROUP BY 1)"
+
+
+@query(
+    f"{FULL_SQL}, {_WINNERS}, u AS (SELECT t.unit, CASE WHEN t.unit % 50 > 0 THEN CAST(year(day) AS VARCHAR) ELSE 'date douteuse' END AS year, winner, p.reference, bidder, offers, CASE WHEN t.unit % 7 = 0 THEN p.reference + 1 WHEN t.unit % 11 > 0 THEN p.reference END AS stored FROM tenders t LEFT JOIN wi ON wi.unit = t.unit LEFT JOIN prices p ON p.unit = t.unit LEFT JOIN (SELECT unit, bidder FROM ranked WHERE rank = 1) r ON r.unit = t.unit LEFT JOIN nb ON nb.unit = t.unit), "
+    f"s AS (SELECT 'all' AS scope, '' AS value, * FROM u UNION ALL SELECT 'year', year, * FROM u UNION ALL SELECT 'offers', CASE WHEN offers <= 2 THEN '1-2' WHEN offers <= 4 THEN '3-4' WHEN offers <= 7 THEN '5-7' ELSE '8+' END, * FROM u WHERE winner IS NOT NULL AND reference IS NOT NULL) "
+    "SELECT scope, value, count(*) AS units, count(*) FILTER (winner IS NULL) AS not_awarded, count(*) FILTER (winner IS NOT NULL AND reference IS NULL) AS no_reference, count(*) FILTER (winner IS NOT NULL AND reference IS NOT NULL) AS comparable, count(*) FILTER (winner IS NOT NULL AND reference IS NOT NULL AND bidder = winner) AS agreed, "
+    "count(*) FILTER (winner IS NOT NULL AND reference IS NOT NULL AND (stored IS NULL OR abs(reference - stored) > 0.01)) AS reference_differs, agreed / nullif(comparable, 0) AS rate FROM s GROUP BY 1, 2"
+)
+def concordance_report(spark, d):
+    """The rule against the actual winners, by year and bracket, with what cannot be compared by reason."""
+    prices, b = _prices(spark, d), bids(spark, d)
+    first = _ranked(spark, d).where("rank = 1").select("unit", "bidder")
+    offers = _candidates(spark, d).groupBy("unit").agg(F.count(F.lit(1)).alias("offers"))
+    designated = prices.select("unit", "reference").join(first, "unit", "left").join(offers, "unit", "left")
+    k, ref = F.col("unit"), F.col("reference")
+    stored_ = prices.select("unit", F.when(k % 7 == 0, ref + 1).when(k % 11 > 0, ref).alias("stored_reference"))
+    winners = b.where("status = 'A'").groupBy("unit").agg(F.min("bidder").alias("winner"))
+    units = tenders(spark, d).select("unit", F.when(k % 50 > 0, F.year("day")).alias("year")).join(winners, "unit", "left").join(stored_, "unit", "left")
+    return commission.concordance_report(units, designated)
+
+
+@query(
+    f"{FULL_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY unit, lot ORDER BY amount, seq) AS r FROM cand), w AS (SELECT bidder, 1 AS s, 0 AS l FROM ranked WHERE rank = 1 AND unit % 2 = 0 UNION ALL SELECT bidder, 0, 1 FROM f WHERE r = 1 AND unit % 2 = 1) "
+    "SELECT CASE WHEN bidder % 10 = 0 THEN bidder - 1 ELSE bidder END AS company, CAST(sum(s) AS BIGINT) AS simple, CAST(sum(l) AS BIGINT) AS lots, CAST(count(*) AS BIGINT) AS wins FROM w GROUP BY 1"
+)
+def wins_with_merges(spark, d):
+    """Wins of tenders and of lots (the lowest bid of each), every tenth company merged into the one before."""
+    simple = _ranked(spark, d).where("rank = 1 AND unit % 2 = 0").select(F.col("bidder").alias("winner"))
+    lots = _candidates(spark, d).where("unit % 2 = 1").groupBy("unit", "lot").agg(F.min_by("bidder", F.struct("amount", "seq")).alias("winner"))
+    k = F.col("s_suppkey")
+    return marts.wins_with_merges(simple, lots, table(spark, d, "supplier").where(k % 10 == 0).select(k.alias("company"), (k - 1).alias("into")))
+
+
+@query(f"WITH {BIDS_SQL}, {TENDERS_SQL} SELECT buyer, count(DISTINCT unit) AS tenders, count(DISTINCT bidder) AS bidders FROM tenders LEFT JOIN bids USING (unit) GROUP BY 1")
+def buyer_bidders(spark, d):
+    """The different companies that each buyer has seen."""
+    rows = tenders(spark, d).select("unit", "buyer").join(bids(spark, d).select("unit", "bidder"), "unit", "left")
+    return rows.groupBy("buyer").agg(F.count_distinct("unit").alias("tenders"), F.count_distinct("bidder").alias("bidders"))
+
+
+@query("WITH g AS (SELECT l_suppkey AS company, p_type, p_brand, p_size % 5 AS class, l_returnflag AS status, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY company ORDER BY n DESC, p_type, p_brand, class, status) AS place FROM g QUALIFY place <= 40")
+def qualification_profile_top(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("company"), "p_type", "p_brand", (F.col("p_size") % 5).alias("class"), F.col("l_returnflag").alias("status"))
+    return marts.profile_top(rows, "company", ["p_type", "p_brand", "class", "status"]).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {_SHARES} SELECT buyer, CASE WHEN sum(p) < 10 THEN 0 WHEN sum(p) < 20 THEN 1 ELSE 2 END AS tier FROM s GROUP BY 1")
+def predicted_tiers(spark, d):
+    return _shares(spark, d).groupBy("buyer").agg(F.sum("p").alias("m")).select("buyer", measures.tier(F.col("m"), 10.0, 20.0).alias("tier"))
+
+
+_FAMILIES = f"""{PRESENCES_SQL}, fa AS (SELECT company AS number, count(*) % 17 AS score, count(DISTINCT buyer) AS size, count(*) AS units, max(day) AS latest, list_filter(['fort', 'moyen', 'faible'], lambda x: CASE x WHEN 'fort' THEN company % 4 = 0 WHEN 'moyen' THEN company % 3 = 0 ELSE company % 5 < 3 END) AS levels,
+ ['Entreprise ' || company, 'Société Générale ' || (company % 7)] AS names FROM presences GROUP BY company)"""
+
+
+def _families(spark, d):
+    k = F.col("number")
+    rows = presences(spark, d).groupBy(F.col("company").alias("number")).agg((F.count(F.lit(1)) % 17).alias("score"), F.count_distinct("buyer").alias("size"), F.count(F.lit(1)).alias("units"), F.max("day").alias("latest"))
+    levels = F.array_compact(F.array(F.when(k % 4 == 0, "fort"), F.when(k % 3 == 0, "moyen"), F.when(k % 5 < 3, "faible")))
+    return rows.withColumns({"levels": levels, "names": F.array(F.concat(F.lit("Entreprise "), k.cast("string")), F.concat(F.lit("Société Générale "), (k % 7).cast("string")))})
+
+
+_FOUND = "list_has_any(levels, ['fort', 'moyen']) AND len(list_filter(names, lambda x: contains(lower(strip_accents(x)), 'generale') AND contains(x, '3'))) > 0"
+
+
+@query(
+    f"WITH {_FAMILIES}, p AS (SELECT sort, number, row_number() OVER (PARTITION BY sort ORDER BY a DESC, b DESC, number) AS place FROM (SELECT 'score' AS sort, number, score AS a, units AS b FROM fa WHERE {_FOUND} UNION ALL SELECT 'taille', number, size, score FROM fa WHERE {_FOUND} UNION ALL SELECT 'marches', number, units, score FROM fa WHERE {_FOUND} UNION ALL SELECT 'recent', number, epoch(latest), score FROM fa WHERE {_FOUND})) SELECT sort, number FROM p WHERE place <= 10"
+)
+def family_sorts(spark, d):
+    """The first ten of the list in each of its four orders, for two levels and two words."""
+    out = None
+    for sort in ("score", "taille", "marches", "recent"):
+        one = search.family_page(_families(spark, d), ["fort", "moyen"], sort, "generale 3", 1, 10).select(F.lit(sort).alias("sort"), "number")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_FAMILIES} SELECT level, count(*) AS n FROM (SELECT unnest(levels) AS level FROM fa WHERE len(list_filter(names, lambda x: contains(lower(strip_accents(x)), 'generale') AND contains(x, '3'))) > 0) GROUP BY 1")
+def family_facets(spark, d):
+    return search.family_facets(_families(spark, d), "generale 3")
+
+
+@query()
+def buyer_perturbations(spark, d):
+    """How many buyers are found again under a name that is written otherwise, by kind of change (held against properties)."""
+    from adjudica.operators import names
+
+    k = F.col("c_custkey")
+    name = F.concat(F.when(k % 3 == 0, "Directeur provincial de ").otherwise("Commune de la "), _places(k))
+    known = table(spark, d, "customer").select(name.alias("name")).distinct().select(text.buyer_key(F.col("name")).alias("key"), "name")
+    return names.perturbation_recall(known)

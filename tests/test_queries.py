@@ -135,10 +135,44 @@ def plain_coverage(got, duck):
     assert {r["status"]: r["n"] for r in got} == collections.Counter(s for s, _ in resolved(duck).values())
 
 
+def plain_ladder(got, duck):
+    """At each resolution the last level is as good as the sequential rule, within two hundredths, and each level is better than the one before."""
+    from tests.test_louvain import plain_louvain, quality
+
+    edges = {p: float(n) for p, n in strongest(duck).items()}
+    assert {r["resolution"] for r in got} == ({1.0, 3.0, 8.0} if edges else set())
+    for resolution in {r["resolution"] for r in got}:
+        levels = sorted((r["level"], r["modularity"]) for r in got if r["resolution"] == resolution)
+        plain = quality(edges, plain_louvain(edges, resolution), resolution)
+        assert levels[-1][1] >= plain - 0.02 * abs(plain) - 1e-9 and [m for _, m in levels] == sorted(m for _, m in levels)
+
+
+def plain_fits(got, duck):
+    import numpy as np
+
+    from tests.test_laws_and_fits import plain_fit
+
+    rows = duck.execute("SELECT o_orderpriority, l_quantity / 50, l_discount * 10, ln(l_extendedprice), l_returnflag = 'A' FROM lineitem JOIN orders ON o_orderkey = l_orderkey").fetchall()
+    assert {r["segment"] for r in got} == {r[0] for r in rows}
+    for r in got:
+        own = np.array([[float(v) for v in x[1:]] for x in rows if x[0] == r["segment"]])
+        assert r["n"] == len(own) and [r["intercept"], r["quantity"], r["discount"], r["price"]] == pytest.approx(plain_fit(own[:, :3], own[:, 3], 1.0).tolist(), abs=1e-6)
+
+
+def plain_perturbations(got, duck):
+    """Names without their small words, and with titles exchanged, are found first; names with two faults mostly among the first five."""
+    by = {r["kind"]: r for r in got}
+    assert set(by) == {"echange", "sans_mots_outils", "deux_fautes"}
+    for r in got:
+        assert 0 < r["n"] and r["auto_right"] <= r["auto"] <= r["n"] and r["top1"] <= r["top5"] <= r["n"]
+    assert by["sans_mots_outils"]["top1"] >= 0.9 * by["sans_mots_outils"]["n"] and by["deux_fautes"]["top5"] > 0
+
+
 #: What the queries without SQL are held against.
 PLAIN = {
     "alike_names": plain_alike, "version_dedup": plain_versions, "cliques_and_families": plain_cliques, "communities": plain_communities, "decision_reasons": plain_decisions,
     "simulate_curve": plain_curve, "tfidf_ngram_cosine": plain_cosine, "buyer_resolution": plain_resolution, "buyer_resolution_coverage": plain_coverage,
+    "community_ladder": plain_ladder, "segment_fits": plain_fits, "buyer_perturbations": plain_perturbations,
 }
 
 
