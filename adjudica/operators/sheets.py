@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Victories from which a profile is told.
 LEAST_WINS = 3
@@ -128,3 +128,32 @@ def score_points(scored: DataFrame, parts: dict[str, tuple[float, Column]]) -> D
     total = sum(w for w, _ in parts.values())
     each = [F.struct(F.lit(name).alias("criterion"), v.alias("value"), (v * (100.0 * w / total)).alias("points")) for name, (w, v) in parts.items()]
     return scored.withColumn("points", F.array(*each))
+
+
+def proofs(offers: DataFrame, days: DataFrame, most: int = 8) -> DataFrame:
+    """(x, y, place, unit, day): for each company and each other that it met, the latest units where both made an offer. ``days``: unit, day."""
+    p = offers.select("unit", F.col("company").alias("x")).join(days.select("unit", "day"), "unit")
+    met = p.join(offers.select("unit", F.col("company").alias("y")), "unit").where("x <> y")
+    ranked = met.withColumn("place", F.row_number().over(W.partitionBy("x", "y").orderBy(F.col("day").desc(), F.col("unit").desc())))
+    return ranked.where(F.col("place") <= most).select("x", "y", "place", "unit", "day")
+
+
+def group_sheets(members: DataFrame, offers: DataFrame, outcomes: DataFrame, pairs: DataFrame, days: DataFrame, most: int = 10) -> DataFrame:
+    """One nested row a group: members with their roles, its pairs with what they share, how many units two members or more were at and the latest of these,
+    wins and losses, and the latest losses with their gaps. ``outcomes``: of ``group_outcomes``; ``pairs``: a, b, together, level; ``days``: unit, day.
+    Lists are of a group's members and pairs, or of ``most`` units."""
+    roles = member_roles(offers, outcomes, members).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("company", "units", "wins", "role"))).alias("members"))
+    inside = members.select("group", F.col("company").alias("a")).join(pairs.select("a", "b", "together", "level"), "a").join(members.select("group", F.col("company").alias("b")), ["group", "b"])
+    links = inside.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("a", "b", "together", "level"))).alias("pairs"))
+    present = offers.join(members, "company").groupBy("group", "unit").agg(F.count(F.lit(1)).alias("present"))
+    told = present.join(days.select("unit", "day"), "unit").join(outcomes.select("group", "unit", "won", "winner", "best_member", "gap_best"), ["group", "unit"], "left")
+    recent = W.partitionBy("group").orderBy(F.col("day").desc(), F.col("unit").desc())
+    listed = lambda rows, *columns: F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.struct(F.col("_n").cast("int").alias("place"), *columns))))
+    shared = told.where("present >= 2").withColumn("_n", F.row_number().over(recent)).groupBy("group").agg(F.count(F.lit(1)).alias("common"), listed(told, "unit", "day", "present", "won").alias("latest"))
+    lost = told.where("NOT won").withColumn("_n", F.row_number().over(recent)).groupBy("group").agg(F.count(F.lit(1)).alias("lost"), listed(told, "unit", "winner", "best_member", "gap_best").alias("losses"))
+    won = told.where("won").groupBy("group").agg(F.count(F.lit(1)).alias("won"))
+    rows = roles
+    for part in (links, shared, lost, won):
+        rows = rows.join(part, "group", "left")
+    empty = {"pairs": links, "latest": shared, "losses": lost}
+    return rows.select("group", "members", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("common", "won", "lost")], *[F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c) for c, of in empty.items()])

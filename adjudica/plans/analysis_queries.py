@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from adjudica.functions import measures, text
 from adjudica.functions.measures import logistic
 from adjudica.functions.text import class_proximity
-from adjudica.operators import bidder_laws, bidders, commission, copresence, grouped_fit, louvain, marts, search, similar_markets, similarity, title_index
+from adjudica.operators import bidder_laws, bidders, commission, copresence, grouped_fit, louvain, marts, search, sheets, similar_markets, similarity, title_index
 from adjudica.operators.components import scratch_path, stored
 from adjudica.plans.adapter import BIDS_SQL, FULL_SQL, PRESENCES_SQL, TENDERS_SQL, bids, events, presences, table, tenders
-from adjudica.plans.market_queries import SIX, six
+from adjudica.plans.market_queries import _OUTCOMES, _SHEET, OFFERS_SQL, SIX, _group_outcomes, _levels, _members, _offers, six
 from adjudica.plans.model_queries import _FEATURES, _PAIRED, _WINDOWED, _alike, _history, _places
 from adjudica.plans.tender_queries import _candidates, _prices, _ranked
 from adjudica.sources import readers
@@ -316,3 +316,27 @@ def buyer_perturbations(spark, d):
     name = F.concat(F.when(k % 3 == 0, "Directeur provincial de ").otherwise("Commune de la "), _places(k))
     known = table(spark, d, "customer").select(name.alias("name")).distinct().select(text.buyer_key(F.col("name")).alias("key"), "name")
     return names.perturbation_recall(known)
+
+
+@query(f"{OFFERS_SQL}, m AS (SELECT p.company AS x, q.company AS y, p.unit, day FROM offers p JOIN offers q ON p.unit = q.unit AND p.company <> q.company JOIN tenders t ON t.unit = p.unit) SELECT x, y, row_number() OVER (PARTITION BY x, y ORDER BY day DESC, unit DESC) AS place, unit, day FROM m QUALIFY place <= 8")
+def company_proofs(spark, d):
+    """The proofs of each company's sheet: the latest units of each pair."""
+    return sheets.proofs(_offers(spark, d), tenders(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    f"""{OFFERS_SQL}, {_SHEET}, {_OUTCOMES}, pr AS (SELECT o.unit, grp, count(*) AS present FROM offers o JOIN members USING (company) GROUP BY 1, 2), td AS (SELECT pr.*, day, won, best_member, winner, gap_best FROM pr JOIN tenders t ON t.unit = pr.unit LEFT JOIN outcomes oc ON oc.grp = pr.grp AND oc.unit = pr.unit),
+ lt AS (SELECT grp, count(*) AS common, string_agg(CAST(unit AS VARCHAR), ',' ORDER BY n) FILTER (n <= 10) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY day DESC, unit DESC) AS n FROM td WHERE present >= 2) GROUP BY 1),
+ ls AS (SELECT grp, count(*) AS lost, string_agg(unit || ':' || winner, ',' ORDER BY n) FILTER (n <= 10) AS losses FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY day DESC, unit DESC) AS n FROM td WHERE NOT won) GROUP BY 1), wn AS (SELECT grp, count(*) AS won FROM td WHERE won GROUP BY 1),
+ pa AS (SELECT x.grp, count(*) AS pairs, CAST(sum(together) AS BIGINT) AS together FROM sheet JOIN members x ON x.company = sheet.x JOIN members y ON y.company = sheet.y AND y.grp = x.grp WHERE sheet.x < sheet.y GROUP BY 1),
+ me AS (SELECT grp, string_agg(CAST(company AS VARCHAR), ',' ORDER BY company) AS members FROM (SELECT DISTINCT grp, company FROM members JOIN offers USING (company)) GROUP BY 1)
+ SELECT me.grp AS "group", members, coalesce(common, 0) AS common, coalesce(won, 0) AS won, coalesce(lost, 0) AS lost, coalesce(pairs, 0) AS pairs, together, coalesce(latest, '') AS latest, coalesce(losses, '') AS losses FROM me LEFT JOIN lt USING (grp) LEFT JOIN ls USING (grp) LEFT JOIN wn USING (grp) LEFT JOIN pa USING (grp)"""
+)
+def group_sheet(spark, d):
+    """Every group's sheet, its lists written out."""
+    rows = sheets.group_sheets(_members(spark, d), _offers(spark, d), _group_outcomes(spark, d), _levels(spark, d), tenders(spark, d))
+    text_of = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return rows.select(
+        "group", text_of("members", lambda m: m["company"].cast("string")).alias("members"), "common", "won", "lost", F.size("pairs").cast("long").alias("pairs"), F.when(F.size("pairs") > 0, F.aggregate("pairs", F.lit(0).cast("long"), lambda n, p: n + p["together"])).alias("together"),
+        text_of("latest", lambda u: u["unit"].cast("string")).alias("latest"), text_of("losses", lambda u: F.concat(u["unit"].cast("string"), F.lit(":"), u["winner"].cast("string"))).alias("losses"),
+    )

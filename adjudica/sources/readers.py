@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from adjudica.functions.text import buyer_key, flat, flat_key, parse_amount, strip_html
+from adjudica.functions.text import buyer_key, flat, parse_amount, strip_html
 from adjudica.operators.components import shared_folder
 from adjudica.operators.containment import contained
 
