@@ -89,6 +89,7 @@ def _packed(path: str, end_id: int, capacity: int, quadratic: float, block_docs:
                     ids.clear()
         if docs:
             yield block()
+        enc.forget()
 
     return run
 

@@ -55,6 +55,10 @@ class Encoder:
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.limit, self.seen = limit, _Memo(self.whole.model)
 
+    def forget(self) -> None:
+        """At a task's end, where idle workers should hold no pieces."""
+        self.seen.clear()
+
     def ids_bytes(self, text: str) -> bytes:
         if len(self.seen) > self.limit:
             self.seen.clear()
