@@ -192,7 +192,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     ids of the items with occurring windows).
 
     Null texts have no words; an empty benchmark hits nothing; rows are taken one by one, so that null or
-    repeated ids change nothing. Columns named like the three added ones are replaced.
+    repeated ids change nothing, and an empty table gives no row. Texts of any length are read whole; all items that share a window are named. Columns named like the three added ones are replaced.
     """
     added = {"_words", "_spans", "_items", "_text"}
     frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))

@@ -202,7 +202,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``und`` with score 0 where the text is null, has no letter, or the model no language; equal probabilities
     go to the first language by name. Rows are judged one by one, repeated or not; a task remembers the
-    scores of up to ``remember`` words.
+    scores of up to ``remember`` words. Texts of any length are scored whole; only the two named columns are read, so that no other can
+    clash; an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -305,7 +305,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     Lines whose key has ``min_chars`` code points or more and is in ``min_docs`` rows or more go, but for those of the
     largest doc_id that holds it. Null or empty text is one empty line. Rows of one doc_id are documents of
     their own that tie for the largest id, and all of them keep the line; a null doc_id is smaller than any
-    other (a key that only such rows hold stays in all of them). An empty table gives no row.
+    other (a key that only such rows hold stays in all of them). An empty table gives no row. Texts and lines of any length are whole;
+    columns of ``docs`` that are named like the three added ones are replaced.
     """
     return LineIndex.of(docs, min_docs, min_chars, id_col=id_col, text_col=text_col, keep_postings=False).drop(docs, id_col, text_col)
 

@@ -97,7 +97,8 @@ def _packed(path: str, end_id: int, capacity: int, quadratic: float, block_docs:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, quadratic: float = 1 / 1024, block_docs: int = 512, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset. Null text is empty (its end id alone); null and repeated doc_ids are packed row
-    by row like any others; an empty table gives no row. ``capacity`` must be a power of two for sequences
+    by row like any others; an empty table gives no row. Documents of any length are cut; those of equal length go in order of their rows; only
+    the two named columns are read, so that no other can clash. ``capacity`` must be a power of two for sequences
     to need no padding. sequence_id is unique, not dense: the task's number and a count."""
     rows = base_rows(docs, id_col, text_col)
     return rows.mapInPandas(_packed(tokenizer, end_id, capacity, quadratic, block_docs, block_tokens), PIECES)

@@ -176,7 +176,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2
 
     A row that a rule rejected goes no further: later rules see a null text for it, and their counts are null.
     Those in ``always`` are computed for every row all the same. Null and empty texts have no words and fail
-    few_words; repeated rows are judged alike; an empty table gives no row.
+    few_words; repeated rows are judged alike; an empty table gives no row. Texts of any length are counted whole; of rules that reject a
+    row alike the first of the cascade is named; columns of ``docs`` that are named like added ones are replaced.
     """
     frame, kept = _begin(docs, text_col)
     frame, made = frame.withColumn("_v", F.lit(None).cast("string")), []

@@ -86,7 +86,8 @@ def find_secrets(docs: DataFrame, max_owners: int = 1, max_repos: int = 8, id_co
     value at most ``max_owners`` owners and ``max_repos`` repositories hold, and the others).
 
     Ties (one value at one place by two kinds) stay, in order of kind; repeated rows are judged alike, and
-    rows that share a doc_id share the repository of that name; an empty table gives no row.
+    rows that share a doc_id share the repository of that name; an empty table gives no row. Texts of any length are searched whole; only
+    the four named columns are read, so that no other can clash.
     """
     rows = stored(scan(docs, id_col, text_col, owner_col, repo_col), "secrets")
     any_ = (F.size("base") > 0) | (F.size("candidates") > 0)

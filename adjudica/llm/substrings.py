@@ -456,7 +456,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     Texts are UTF-8 bytes (null: none); earlier means a smaller doc_id (null smallest), or the same document and
     an earlier start; overlaps count, and strings are judged on the input. Rows that repeat a doc_id with different
     texts are documents in order of a hash of their texts; rows that repeat a doc_id and its text are one document, and each
-    of them loses what it loses. Texts shorter than ``length`` are kept whole; an empty table gives no row.
+    of them loses what it loses. Texts shorter than ``length`` are kept whole, and longer ones are judged whole; only the two named columns are
+    read, so that no other can clash; an empty table gives no row.
     """
     spark = docs.sparkSession
     rows = base_rows(docs, id_col, text_col)
