@@ -1,7 +1,7 @@
 """Companies that bid together: pairs, chance, levels, and what surrounds one company.
 
-``presences``: unit, company, buyer (one row a company and unit). Pairs come of a self-join on the unit, ordered
-so that each is made once; a unit's bidders are few, so that its pairs are too.
+``presences``: unit, company, buyer (one row a company and unit). Pairs come of a unit's sorted list of bidders, each made once,
+in the task of its first company; a unit's bidders are few, so that its pairs are too.
 """
 
 from __future__ import annotations
@@ -14,35 +14,85 @@ from adjudica.operators.components import stored
 # Thresholds of the levels, strongest first: shared units, excess over chance, Poisson tail.
 LEVELS = (("fort", 6, 5.0, 1e-4), ("moyen", 4, 3.0, 1e-3), ("faible", 3, 2.0, 1e-2))
 MUTUAL_UNITS, MUTUAL_SHARE = 5, 0.5
+#: Pairs that a task makes, about; companies of a buyer up to which they are gathered.
+TASK_PAIRS, LISTED = 1 << 21, 1 << 8
+
+
+def _tasks(rows: DataFrame, pairs: Column) -> int:
+    """Among how many tasks ``pairs``, summed over ``rows``, are dealt."""
+    n = rows.agg(F.sum(pairs).alias("n")).first()["n"] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(n) // TASK_PAIRS))
+
+
+def _size(members: Column) -> Column:
+    return F.size(members).cast("long")
+
+
+def _unit_lists(presences: DataFrame) -> DataFrame:
+    """(members): the companies of each unit of two or more, sorted."""
+    lists = presences.where("unit IS NOT NULL").groupBy("unit").agg(F.sort_array(F.collect_list("company")).alias("members"))
+    return stored(lists.where(F.size("members") > 1), "unit-lists")
+
+
+def _later(lists: DataFrame, *kept: str) -> DataFrame:
+    """(a, bs): each member with those behind it in its list. A list is so shuffled by ``a`` as a row a member, and its pairs are only made
+    behind the shuffle."""
+    at = lists.select("members", *kept, F.posexplode(F.expr("slice(members, 1, size(members) - 1)")).alias("_at", "a"))
+    return at.select("a", F.expr("slice(members, _at + 2, size(members))").alias("bs"), *kept, "_at")
 
 
 def shared_units(presences: DataFrame, least: int = 1) -> DataFrame:
     """(a, b, together) for a < b."""
-    p = presences.select("unit", "company")
-    pairs = p.withColumnRenamed("company", "a").join(p.withColumnRenamed("company", "b"), "unit").where("a < b")
+    lists = _unit_lists(presences)
+    rows = _later(lists).select("a", "bs").repartition(_tasks(lists, _size(F.col("members")) * (_size(F.col("members")) - 1) / 2), "a")
+    pairs = rows.select("a", F.explode("bs").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
 
 
-def expected_units(presences: DataFrame, met: DataFrame) -> DataFrame:
-    """(a, b, expected) of the pairs ``met`` (a, b): sum over buyers of nA * nB / N, what independent choices of each buyer's units
-    would give. ``met`` is read three times: better a written table.
-
-    Each buyer goes the cheaper of two ways, which give the same terms. One makes the k * (k - 1) / 2 pairs of its k companies; the
-    other follows the pairs that met of these companies, so that a buyer of very many companies makes no pairs of its own.
-    """
-    n = presences.groupBy("buyer", "company").agg(F.count(F.lit(1)).alias("n"))
+def _buyer_companies(presences: DataFrame) -> DataFrame:
+    """(buyer, company, n, units, k): units of a company at a buyer, the buyer's units and companies."""
+    n = presences.where("buyer IS NOT NULL AND company IS NOT NULL").groupBy("buyer", "company").agg(F.count(F.lit(1)).alias("n"))
     units = presences.groupBy("buyer").agg(F.count_distinct("unit").alias("units"))
-    n = stored(n.join(units, "buyer"), "buyer-companies")
+    k = n.groupBy("buyer").agg(F.count(F.lit(1)).alias("k"))
+    return stored(n.join(units.join(k, "buyer"), "buyer"), "buyer-companies")
+
+
+def _followed(large: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b, term) of the buyers of very many companies: those that cost less by following the pairs that met make no pairs of their own."""
     degree = met.groupBy(F.col("a").alias("company")).agg(F.count(F.lit(1)).alias("met"))
-    ways = n.join(degree, "company", "left").groupBy("buyer").agg(F.count(F.lit(1)).alias("k"), F.sum("met").alias("met"))
-    by_pairs = n.join(ways.select("buyer", (F.col("k") * (F.col("k") - 1) / 2 <= F.coalesce("met", F.lit(0))).alias("_by_pairs")), "buyer")
+    ways = large.join(degree, "company", "left").groupBy("buyer").agg(F.any_value("k").alias("k"), F.sum("met").alias("met"))
+    by_pairs = large.join(ways.select("buyer", (F.col("k") * (F.col("k") - 1) / 2 <= F.coalesce("met", F.lit(0))).alias("_by_pairs")), "buyer")
     side = lambda rows, end: rows.select("buyer", F.col("company").alias(end), F.col("n").alias(f"n{end}"), *(["units"] if end == "a" else []))
-    small, large = by_pairs.where("_by_pairs"), by_pairs.where("NOT _by_pairs")
+    few, many = by_pairs.where("_by_pairs"), by_pairs.where("NOT _by_pairs")
     term = (F.col("na") * F.col("nb") / F.col("units")).alias("term")
-    made = side(small, "a").join(side(small, "b"), "buyer").where("a < b").select("a", "b", term)
-    followed = met.select("a", "b").join(side(large, "a"), "a").join(side(large, "b"), ["b", "buyer"]).select("a", "b", term)
-    summed = made.unionByName(followed).groupBy("a", "b").agg(F.sum("term").alias("expected"))
-    return summed.join(met.select("a", "b"), ["a", "b"], "left_semi")
+    made = side(few, "a").join(side(few, "b"), "buyer").where("a < b").select("a", "b", term)
+    return made.unionByName(met.select("a", "b").join(side(many, "a"), "a").join(side(many, "b"), ["b", "buyer"]).select("a", "b", term))
+
+
+def met_and_expected(presences: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, together, expected) of the pairs with ``least`` shared units: expected is the sum over buyers of nA * nB / N, what independent
+    choices of each buyer's units would give.
+
+    Units and buyers send each company once, with the companies behind it in their list, to the task that makes and sums its pairs;
+    pairs themselves are not shuffled, and a task makes about ``TASK_PAIRS`` of them however many there are. Buyers of more than
+    ``LISTED`` companies are not gathered; each goes the cheaper of two ways (``_followed``).
+    """
+    units, n = _unit_lists(presences), _buyer_companies(presences)
+    small, large = n.where(F.col("k") <= LISTED), n.where(F.col("k") > LISTED)
+    both = F.sort_array(F.collect_list(F.struct("company", F.col("n").cast("int").alias("n"))))
+    lists = small.groupBy("buyer", "units").agg(both.alias("both")).select("units", F.col("both.company").alias("members"), F.col("both.n").alias("ns"))
+    count = units.select(_size(F.col("members")).alias("k")).unionByName(n.where(F.col("k") <= LISTED).groupBy("buyer").agg(F.max("k").alias("k")).select("k"))
+    tasks = _tasks(count, F.col("k") * (F.col("k") - 1) / 2)
+    bought = _later(lists, "units", "ns").select("a", "bs", F.get("ns", F.col("_at")).alias("na"), "units", F.expr("slice(ns, _at + 2, size(ns))").alias("ns"))
+    shared = _later(units).select("a", "bs", F.lit(None).cast("int").alias("na"), F.lit(None).cast("long").alias("units"), F.lit(None).cast("array<int>").alias("ns"))
+    rows = bought.unionByName(shared).repartition(tasks, "a").select("a", "na", "units", "ns", F.posexplode("bs").alias("_i", "b")).where("a < b")
+    term = F.col("na").cast("long") * F.get("ns", F.col("_i")).cast("long") / F.col("units")
+    summed = rows.groupBy("a", "b").agg(F.count_if(F.col("na").isNull()).alias("together"), F.sum(term).alias("expected")).where(F.col("together") >= least)
+    if large.limit(1).count():
+        summed = stored(summed, "shared-units")
+        more = _followed(large, summed).groupBy("a", "b").agg(F.sum("term").alias("_more"))
+        summed = summed.join(more, ["a", "b"], "left").select("a", "b", "together", F.when(F.coalesce("expected", "_more").isNotNull(), F.coalesce("expected", F.lit(0.0)) + F.coalesce("_more", F.lit(0.0))).alias("expected"))
+    return summed.where("expected IS NOT NULL")
 
 
 def level(together: Column, excess: Column, tail: Column, share_a: Column, share_b: Column) -> Column:
@@ -60,8 +110,7 @@ def pairs(presences: DataFrame, least: int = 1) -> DataFrame:
     """(a, b, together, expected, excess, tail, share_a, share_b, level)."""
     units = presences.groupBy("company").agg(F.count(F.lit(1)).alias("units"))
     of = lambda side: units.select(F.col("company").alias(side), F.col("units").alias(f"units_{side}"))
-    met = stored(shared_units(presences, least), "shared-units")
-    rows = met.join(expected_units(presences, met), ["a", "b"]).join(of("a"), "a").join(of("b"), "b")
+    rows = met_and_expected(presences, least).join(of("a"), "a").join(of("b"), "b")
     rows = rows.withColumns({"excess": F.col("together") / F.greatest("expected", F.lit(1e-9)), "tail": poisson_tail(F.col("expected"), F.col("together")), "share_a": F.col("together") / F.col("units_a"), "share_b": F.col("together") / F.col("units_b")})
     return rows.withColumn("level", level(F.col("together"), F.col("excess"), F.col("tail"), F.col("share_a"), F.col("share_b"))).drop("units_a", "units_b")
 
@@ -70,11 +119,20 @@ def around(presences: DataFrame, wins: DataFrame, companies: DataFrame | None =
     """For each company x (of ``companies``, or all) and each other y that shares a unit with it: together, x_wins_with, y_wins_with,
     a = x's wins with y / x's wins, b = together / x's units, c = together / y's units, ratio = a / b, part, reading.
     ``wins``: unit, company."""
-    left = presences if companies is None else presences.join(companies.select("company"), "company", "left_semi")
-    p, q = left.select("unit", F.col("company").alias("x")), presences.select("unit", F.col("company").alias("y"))
-    w = wins.select("unit", F.col("company").alias("_winner"))
-    met = p.join(q, "unit").where("x <> y").join(w, "unit", "left")
-    rows = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("together"), F.count_if(F.col("_winner") == F.col("x")).alias("x_wins_with"), F.count_if(F.col("_winner") == F.col("y")).alias("y_wins_with"))
+    own = presences.where("unit IS NOT NULL").select("unit", "company")
+    if companies is not None:
+        own = own.join(own.join(companies.select("company"), "company", "left_semi").select("unit").distinct(), "unit", "left_semi")
+    lists = own.groupBy("unit").agg(F.sort_array(F.collect_list("company")).alias("members")).where(F.size("members") > 1)
+    winners = wins.groupBy("unit").agg(F.collect_list("company").alias("winners"))
+    lists = stored(lists.join(winners, "unit", "left").withColumn("winners", F.coalesce("winners", F.array().cast(winners.schema["winners"].dataType))), "unit-lists")
+    tasks = _tasks(lists, _size(F.col("members")) * (_size(F.col("members")) - 1) / 2)
+    rows = _later(lists, "winners").select("a", "bs", "winners").repartition(tasks, "a").select("a", F.explode("bs").alias("b"), "winners").where("a < b")
+    won = lambda end: F.sum(_size(F.filter("winners", lambda w: w == F.col(end)))).alias(f"w{end}")
+    met = rows.groupBy("a", "b").agg(F.sum(F.greatest(_size(F.col("winners")), F.lit(1))).alias("together"), won("a"), won("b"))
+    both = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "together", F.col(f"w{x}").alias("x_wins_with"), F.col(f"w{y}").alias("y_wins_with"))
+    rows = met.select(F.explode(F.array(both("a", "b"), both("b", "a"))).alias("_r")).select("_r.*")
+    if companies is not None:
+        rows = rows.join(companies.select(F.col("company").alias("x")), "x", "left_semi")
     units, won = presences.groupBy("company").agg(F.count(F.lit(1)).alias("n")), wins.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
     for frame, side, name in ((units, "x", "x_units"), (units, "y", "y_units"), (won, "x", "x_wins"), (won, "y", "y_wins")):
         rows = rows.join(frame.select(F.col("company").alias(side), F.col("n").alias(name)), side, "left")
