@@ -119,12 +119,15 @@ def around(presences: DataFrame, wins: DataFrame, companies: DataFrame | None =
     """For each company x (of ``companies``, or all) and each other y that shares a unit with it: together, x_wins_with, y_wins_with,
     a = x's wins with y / x's wins, b = together / x's units, c = together / y's units, ratio = a / b, part, reading.
     ``wins``: unit, company."""
-    own = presences.where("unit IS NOT NULL").select("unit", "company")
+    wins, own = stored(wins.select("unit", "company"), "wins"), presences.select("unit", "company")
     if companies is not None:
+        presences = own = stored(own, "presences")
         own = own.join(own.join(companies.select("company"), "company", "left_semi").select("unit").distinct(), "unit", "left_semi")
-    lists = own.groupBy("unit").agg(F.sort_array(F.collect_list("company")).alias("members")).where(F.size("members") > 1)
     winners = wins.groupBy("unit").agg(F.collect_list("company").alias("winners"))
-    lists = stored(lists.join(winners, "unit", "left").withColumn("winners", F.coalesce("winners", F.array().cast(winners.schema["winners"].dataType))), "unit-lists")
+    met = own.groupBy("unit").agg(F.sort_array(F.collect_list("company")).alias("members")).join(winners, "unit", "left")
+    every = stored(met.withColumn("winners", F.coalesce("winners", F.array().cast(winners.schema["winners"].dataType))), "unit-lists")
+    seen = every.select(F.explode("members").alias("company")) if companies is None else presences
+    lists = every.where("unit IS NOT NULL AND size(members) > 1")
     tasks = _tasks(lists, _size(F.col("members")) * (_size(F.col("members")) - 1) / 2)
     rows = _later(lists, "winners").select("a", "bs", "winners").repartition(tasks, "a").select("a", F.explode("bs").alias("b"), "winners").where("a < b")
     won = lambda end: F.sum(_size(F.filter("winners", lambda w: w == F.col(end)))).alias(f"w{end}")
@@ -133,7 +136,7 @@ def around(presences: DataFrame, wins: DataFrame, companies: DataFrame | None =
     rows = met.select(F.explode(F.array(both("a", "b"), both("b", "a"))).alias("_r")).select("_r.*")
     if companies is not None:
         rows = rows.join(companies.select(F.col("company").alias("x")), "x", "left_semi")
-    units, won = presences.groupBy("company").agg(F.count(F.lit(1)).alias("n")), wins.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+    units, won = seen.groupBy("company").agg(F.count(F.lit(1)).alias("n")), wins.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
     for frame, side, name in ((units, "x", "x_units"), (units, "y", "y_units"), (won, "x", "x_wins"), (won, "y", "y_wins")):
         rows = rows.join(frame.select(F.col("company").alias(side), F.col("n").alias(name)), side, "left")
     rows = rows.withColumns({"a": F.coalesce(F.col("x_wins_with") / F.col("x_wins"), F.lit(0.0)), "b": F.col("together") / F.col("x_units"), "c": F.col("together") / F.col("y_units"), "part": F.when(F.coalesce("y_wins", F.lit(0)) > 0, F.least(F.lit(1.0), F.col("y_wins_with") / F.col("y_wins")))})
