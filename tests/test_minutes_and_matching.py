@@ -67,3 +67,14 @@ def test_matching_and_its_quality(spark):
     rows = {r.ref: (r.notice_ref, r.candidates, r.confidence) for r in got.collect()}
     assert rows == {"m1": ("n1", 2, "objet"), "m2": (None, 0, "sans"), "m3": ("n4", 2, "a_verifier"), "m4": ("n3", 1, "reference"), "m5": (None, 0, "sans"), "m6": (None, 0, "sans")}
     assert {r.confidence: r.n for r in readers.matching_quality(got).collect()} == {"objet": 1, "sans": 3, "a_verifier": 1, "reference": 1}
+
+
+def test_a_reference_is_sought_once_and_words_are_counted(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(readers, "contained", lambda sought, texts: seen.append(sought.count()) or contained(sought, texts))
+    titles = ["Construction route", "Peinture murale ecole", None]
+    m = [(f"m{k}", "o", "12/2025", titles[k % 3]) for k in range(60)] + [("x", None, "12/2025", "route")]
+    n = [(f"n{k:02d}", "o", "AO 12/2025", titles[k % 2]) for k in range(40)]
+    rows = {r.ref: (r.notice_ref, r.common, r.candidates, r.confidence) for r in readers.match_notices(spark.createDataFrame(m, "ref string, org string, reference string, title string"), spark.createDataFrame(n, "ref string, org string, reference string, text string")).collect()}
+    assert seen == [2] and len(rows) == 61
+    assert rows["m0"] == ("n00", 2, 40, "a_verifier") and rows["m1"] == ("n01", 3, 40, "a_verifier") and rows["m2"] == ("n00", 0, 40, "a_verifier") and rows["x"] == (None, None, 0, "sans")
