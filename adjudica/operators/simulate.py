@@ -10,10 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adjudica.operators.commission import RATIO, SCALE, reference_prices, commission_rank
 
+#: Candidates times scenarios that are drawn at once, about.
+CELLS = 1 << 18
 # The grid of our bid's rate is (FIRST + j) / DENOMINATOR, j below POINTS.
 FIRST, DENOMINATOR, POINTS = 1600, 2000, 801
 
@@ -62,30 +66,39 @@ def seed_of(unit: Column) -> Column:
     return F.crc32(unit.cast("string").cast("binary"))
 
 
+def drawn(p: np.ndarray, mu: np.ndarray, sigma: np.ndarray, seed: int, first: int, last: int) -> Iterator[list[list[float]]]:
+    """The offers of scenarios ``first`` to ``last``, some at a time: about ``CELLS`` candidates are drawn at once, and rates only of those who come."""
+    step = max(1, CELLS // max(1, len(p)))
+    for start in range(first, last, step):
+        ids = np.arange(start, min(last, start + step))
+        draw = (ids[:, None] * len(p) + np.arange(len(p))[None, :]) * 4 + 1
+        comes = uniforms(np.full(draw.shape, seed), draw) < p
+        row, k = np.nonzero(comes)
+        rate = mu[k] + sigma[k] * normals(np.full(len(k), seed), draw[row, k] + 1)
+        yield [x.tolist() for x in np.split(rate, np.searchsorted(row, np.arange(1, len(ids))))]
+
+
 def scenarios(candidates: DataFrame, n: int = 4000, per_task: int = 250) -> DataFrame:
     """(unit, block, wins): per unit and block of scenarios, how often each grid rate wins. ``candidates``: unit, p (chance to come), mu, sigma
-    of the rate; a unit's candidates are a bounded list. Each candidate has four draws a scenario, in order of its place."""
+    of the rate; a unit's candidates are one list, of 24 bytes each. Each candidate has four draws a scenario, in order of its place."""
     own = candidates.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("p", "mu", "sigma"))).alias("c"))
     blocks = own.select("unit", "c", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // per_task))).alias("block"), seed_of(F.col("unit")).alias("seed"))
     kind = candidates.schema["unit"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs = grid()
-        for frame in frames:
-            out = []
-            for unit, c, block, seed in zip(frame.unit, frame.c, frame.block, frame.seed):
-                p, mu, sigma = (np.array([row[k] for row in c], float) for k in ("p", "mu", "sigma"))
-                ids = np.arange(block * per_task, min(n, (block + 1) * per_task))
-                draw = (ids[:, None] * len(p) + np.arange(len(p))[None, :]) * 4 + 1
-                seeds = np.full(draw.shape, seed)
-                comes = uniforms(seeds, draw) < p
-                rate = mu + sigma * normals(seeds, draw + 1)
-                wins = count_wins([rate[row][comes[row]].tolist() for row in range(len(ids))], xs)
-                out.append((unit, block, len(ids), wins.tolist()))
-            yield pd.DataFrame(out, columns=["unit", "block", "n", "wins"])
+        for batch in batches:
+            blocks_, seeds, wins, sizes = batch.column("block").to_pylist(), batch.column("seed").to_pylist(), [], []
+            for k, (block, seed) in enumerate(zip(blocks_, seeds)):
+                c = batch.column("c")[k].values
+                p, mu, sigma = (pc.cast(c.field(j), pa.float64()).to_numpy(zero_copy_only=False) for j in range(3))
+                first, last = block * per_task, min(n, (block + 1) * per_task)
+                wins.append(sum(count_wins(offers, xs) for offers in drawn(p, mu, sigma, seed, first, last)))
+                sizes.append(last - first)
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(blocks_, pa.int32()), pa.array(sizes, pa.int64()), pa.array(wins, pa.list_(pa.int64()))], names=["unit", "block", "n", "wins"])
 
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(parts, "unit", "block").mapInPandas(run, f"unit {kind}, block int, n long, wins array<long>")
+    return blocks.repartition(parts, "unit", "block").mapInArrow(run, f"unit {kind}, block int, n long, wins array<long>")
 
 
 def chance_curve(candidates: DataFrame, n: int = 4000) -> DataFrame:

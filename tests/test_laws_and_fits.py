@@ -92,3 +92,21 @@ def test_regressions_of_all_segments(spark):
     one = grouped_fit.fit_logistic_by(steep, "segment", ["a"], "came", 0.01).first()
     want = plain_fit(np.array([[float(k)] for k in range(-30, 60)]), np.array([float(k > 20) for k in range(-30, 60)]), 0.01)
     assert [one.intercept, *one.coefficients] == pytest.approx(want.tolist(), rel=1e-5)
+
+
+def test_scenarios_are_drawn_some_at_a_time(monkeypatch):
+    import numpy as np
+
+    from adjudica.operators import simulate
+
+    rng, sizes = np.random.default_rng(3), []
+    p, mu, sigma = rng.random(40) * 0.2, rng.random(40), rng.random(40) * 0.1
+    draw = (np.arange(30)[:, None] * 40 + np.arange(40)[None, :]) * 4 + 1
+    seeds = np.full(draw.shape, 77)
+    comes, rate = simulate.uniforms(seeds, draw) < p, mu + sigma * simulate.normals(seeds, draw + 1)
+    want = [rate[k][comes[k]].tolist() for k in range(10, 30)]
+    plain = simulate.uniforms
+    monkeypatch.setattr(simulate, "uniforms", lambda s, d: sizes.append(d.size) or plain(s, d))
+    monkeypatch.setattr(simulate, "CELLS", 100)
+    assert [x for some in simulate.drawn(p, mu, sigma, 77, 10, 30) for x in some] == want
+    assert max(sizes) <= 100 and max(map(len, want)) > 2
