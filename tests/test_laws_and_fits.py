@@ -110,3 +110,14 @@ def test_scenarios_are_drawn_some_at_a_time(monkeypatch):
     monkeypatch.setattr(simulate, "CELLS", 100)
     assert [x for some in simulate.drawn(p, mu, sigma, 77, 10, 30) for x in some] == want
     assert max(sizes) <= 100 and max(map(len, want)) > 2
+
+
+def test_shifts_are_halved_for_a_batch_at_once(spark):
+    rows = [(0, [0.5, -1.0, 2.0], 1.2), (1, [], 0.2), (2, None, 1.0), (3, [0.5, None], 1.0), (4, [0.5], None), (5, [0.0] * 300, 30.0)]
+    frame = spark.createDataFrame(rows, "id long, z array<double>, target double")
+    told = frame.select("id", bidder_laws.shift_to(F.col("z"), F.lit(0.3), F.lit(0.0), F.col("target")).alias("shift"))
+    assert "ArrowEvalPython" in told._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.shift for r in told.collect()}
+    mean = lambda z, s: sum(1 / (1 + math.exp(-(x + s))) for x in z) + 0.3 * math.exp(s)
+    assert all(abs(mean(rows[k][1], got[k]) - rows[k][2]) < 1e-9 for k in (0, 1, 5))
+    assert all(abs(got[k] + 6.0) < 1e-9 for k in (2, 3, 4))
