@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from adjudica.functions.measures import recency
+from adjudica.operators.components import stored
 
 LOWEST, HIGHEST, FLOOR = 0.4, 1.6, 0.01
 
@@ -69,9 +70,38 @@ def market_effect(bids: DataFrame, unit: str, rate: str) -> DataFrame:
     return fit.join(F.broadcast(spread)).select("slope", "intercept", "units", F.greatest(F.lit(0.0), F.col("_all") - F.coalesce("_noise", F.lit(0.0))).alias("between"))
 
 
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median and number of rows."""
+    return rows.groupBy(*keys).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n"))
+
+
+def wide_median(rows: DataFrame, value: str, bins: int = 1 << 12) -> DataFrame:
+    """(median): one row, the exact median of all (finite) values, null without any. Values are counted in bins, and the middle one's bin
+    in narrower bins, until it holds one value; a round hands on counts by bin, where a plain median takes all values to one task."""
+    part = stored(rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), "median-values")
+    n, low, high = part.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    first, second = (n - 1) // 2, n // 2  # ranks of the middle ones, among those of ``part``
+    ends = (low, high)
+    while n and low < high:
+        at = F.least(F.floor((F.col("v") - F.lit(low)) * F.lit(bins / (high - low))), F.lit(bins - 1))
+        told = sorted(tuple(r) for r in part.groupBy(at.alias("at")).agg(F.count(F.lit(1)), F.min("v"), F.max("v")).collect())  # ``bins`` rows at most
+        below, held = 0, []
+        for _, k, least, most in told:
+            if below <= second and below + k > first:
+                held.append((below, least, most))
+            below += k
+        if len(held) > 1:  # the last of one bin and the first of the next
+            ends = (held[0][2], held[1][1])
+            break
+        before, low, high = held[0]
+        first, second, part, ends = first - before, second - before, part.where(F.col("v").between(low, high)), (low, high)
+    middle = None if not n else 0.5 * ends[0] + 0.5 * ends[1] if ends[0] < ends[1] else ends[0]
+    return rows.sparkSession.range(1).select(F.lit(middle).cast("double").alias("median"))
+
+
 def robust(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median, and the median distance from it."""
-    med = rows.groupBy(*keys).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n"))
+    med = medians(rows, keys, value)
     far = rows.join(med, keys).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
     return med.join(far, keys)
 

@@ -121,3 +121,15 @@ def test_shifts_are_halved_for_a_batch_at_once(spark):
     mean = lambda z, s: sum(1 / (1 + math.exp(-(x + s))) for x in z) + 0.3 * math.exp(s)
     assert all(abs(mean(rows[k][1], got[k]) - rows[k][2]) < 1e-9 for k in (0, 1, 5))
     assert all(abs(got[k] + 6.0) < 1e-9 for k in (2, 3, 4))
+
+
+def test_median_of_all_values_by_bins(spark):
+    import statistics
+
+    from adjudica.operators import rates
+
+    rng = random.Random(2)
+    for values in ([rng.gauss(1, 0.1) for _ in range(501)], [rng.gauss(1, 0.1) for _ in range(500)], [1.0] * 7 + [2.0] * 7, [3.0, None], [1.0, 1.0, 1e9], []):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        got, known = rates.wide_median(frame, "v", 4).first()[0], [v for v in values if v is not None]
+        assert got == (frame.agg(F.median("v")).first()[0] if known else None) and (not known or abs(got - statistics.median(known)) < 1e-12)
