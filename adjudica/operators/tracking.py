@@ -30,17 +30,22 @@ def duel(rows: DataFrame, a: str, b: str, actual: str, by: list[str]) -> DataFra
 
 def bootstrap(rows: DataFrame, unit: str, value: str, repeats: int = 200) -> DataFrame:
     """95 % interval of a mean: each repeat weighs a unit by a Poisson(1) count drawn from a hash of unit and repeat, so that
-    no sample is gathered. A unit's rows are added up first, and one row a unit is weighed for all repeats."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col(unit).cast("string"), F.col("repeat").cast("string"))), 1, 13), 16, 10).cast("long") / float(1 << 52)).alias("u")
+    no sample is gathered. A unit's rows are added up first, and one row a unit is weighed for all repeats. The draw is the first 52 bits of
+    the hash; its hexadecimal digits order as the number does, so that they are held against the digits of the law's steps and nothing is parsed."""
     # Poisson(1) by inversion: the cumulated law's steps
     steps, term, total = [], 0.36787944117144233, 0.0
     for k in range(1, 9):
         total += term
         steps.append(total)
         term /= k
-    times = sum(((F.col("u") > s).cast("int") for s in steps), F.lit(0))
-    summed = rows.groupBy(unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    drawn = summed.select(unit, "_s", "_n", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")).select("repeat", "_s", "_n", u).withColumn("w", times)
+    # the digits after the first 13 are less than "g": a hash is over this where its 52 bits are over the step
+    beyond = [f"{int(s * (1 << 52)):013x}g" for s in steps]
+    times = F.when(F.col("h") < beyond[0], 0)
+    for k, step in enumerate(beyond[1:], 1):
+        times = times.when(F.col("h") < step, k)
+    summed = rows.groupBy(unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_n")).withColumn("_u", F.when(F.col(unit).isNull(), "").otherwise(F.concat(F.col(unit).cast("string"), F.lit("|"))))
+    drawn = summed.select("_s", "_n", "_u", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")).select("repeat", "_s", "_n", F.md5(F.concat("_u", F.col("repeat").cast("string"))).alias("h"))
+    drawn = drawn.select("repeat", "_s", "_n", times.otherwise(len(beyond)).alias("w"))
     means = drawn.groupBy("repeat").agg((F.sum(F.col("w") * F.col("_s")) / F.sum(F.col("w") * F.col("_n"))).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(q.alias("q")).select(F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
