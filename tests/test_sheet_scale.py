@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from adjudica.operators import tracking
+from adjudica.operators import eligibility, tracking
 
 
 def plan_of(df):
@@ -30,3 +30,14 @@ def test_draws_are_told_by_digits(spark):
     assert "conv(" not in plan_of(told)
     r = told.first()
     assert (r.low, r.high) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
+
+
+def test_requirements_are_not_shuffled_for_partners(spark):
+    need = spark.createDataFrame([("t1", "B.4 - x", "1"), ("t1", "B.3 - x", "1"), ("t2", "B.4 - x", "3"), ("t2", "B.3 ou B.4", "2"), ("t3", "B.1", "5"), ("t3", None, "5"), (None, "B.4", "2")], "tender string, label string, class string")
+    ours = spark.createDataFrame([("B.1", "4"), ("B.3", "2")], "code string, class string")
+    partners = spark.createDataFrame([("q", "B.4", "2"), ("p", "B.4", "2"), ("o", "B.4", "S"), ("n", "B.3", "1"), ("m", "B.4", None)], "name string, code string, class string")
+    checked = eligibility.check(eligibility.requirements(need), ours, partners)
+    assert "SortMergeJoin" not in plan_of(checked)
+    got = {(r.tender, r.code, r["rank"]): (r.state, r.covered_by) for r in checked.collect()}
+    want = {("t1", "B.4", 1): ("absent", "o"), ("t1", "B.3", 1): ("classe", "n"), ("t2", "B.4", 3): ("absent", "o"), ("t2", "B.3", 2): ("ok", None), ("t2", "B.4", 2): ("absent", "o")}
+    assert got == want | {("t3", "B.1", 5): ("ok", None), ("t3", None, 5): ("inconnu", None), (None, "B.4", 2): ("absent", "o")}
