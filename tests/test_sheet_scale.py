@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from adjudica.operators import eligibility, tracking
+from adjudica.operators import eligibility, simulate, tracking
 
 
 def plan_of(df):
@@ -41,3 +41,37 @@ def test_requirements_are_not_shuffled_for_partners(spark):
     got = {(r.tender, r.code, r["rank"]): (r.state, r.covered_by) for r in checked.collect()}
     want = {("t1", "B.4", 1): ("absent", "o"), ("t1", "B.3", 1): ("classe", "n"), ("t2", "B.4", 3): ("absent", "o"), ("t2", "B.3", 2): ("ok", None), ("t2", "B.4", 2): ("absent", "o")}
     assert got == want | {("t3", "B.1", 5): ("ok", None), ("t3", None, 5): ("inconnu", None), (None, "B.4", 2): ("absent", "o")}
+
+
+def test_units_are_replayed_together(spark):
+    rng, xs = np.random.default_rng(3), simulate.grid()
+    for n in (1, 2, 3, 6):
+        amounts = np.round(rng.uniform(1, 90, (40, n)) * np.where(rng.random((40, n)) < 0.3, rng.uniform(0.02, 15, (40, n)), 1))
+        own = np.round(rng.uniform(1, 90, 40))
+        amounts[::5] = own[::5, None] * rng.choice(xs, (8, n))  # ties with our bid
+        judged, wins = simulate.replay_units(amounts, own, xs)
+        for k in range(40):
+            j, w = simulate.replay_on_grid(amounts[k], own[k], xs)
+            assert (j == judged[k]).all() and (w == wins[k]).all()
+
+
+def test_curve_of_mixed_units(spark, monkeypatch):
+    monkeypatch.setattr(simulate, "GRID_CELLS", 1 << 13)
+    rng, xs = np.random.default_rng(5), simulate.grid()
+    units = {k: (rng.choice(["a", "b", None]), float(rng.integers(20, 40)), rng.integers(10, 60, rng.integers(1, 5)).astype(float)) for k in range(50)}
+    units[50] = ("a", 30.0, np.array([30.0, np.nan]))
+    bids = spark.createDataFrame([(k, float(a)) for k, (_, _, v) in units.items() for a in v], "unit long, amount double")
+    told = spark.createDataFrame([(k, p, e) for k, (p, e, _) in units.items()], "unit long, priority string, estimation double")
+    want: dict = {}
+    for p, e, v in units.values():
+        j, w = simulate.replay_on_grid(v, e, xs)
+        s = want.setdefault(p, [0, 0])
+        want[p] = [s[0] + w.astype(int), s[1] + j]
+    got = {(r.priority, r.j): r.chance for r in simulate.fixed_rate_curve(bids, told, ["unit"], "priority").collect()}
+    assert got == {(p, j): w[j] / n[j] for p, (w, n) in want.items() for j in range(len(xs)) if n[j]}
+
+
+def test_curve_is_made_once(spark):
+    from adjudica.plans import tender_queries
+
+    assert "MapInPandas" not in plan_of(tender_queries.decision_reasons(spark, "/root/testdata/sf0.001"))
