@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from adjudica.operators.components import stored
+from adjudica.operators.copresence import _later, _size, _tasks
+
 # Victories from which a profile is told.
 LEAST_WINS = 3
 
@@ -18,20 +21,30 @@ def profile(x_wins: Column, y_wins: Column) -> Column:
 
 def company_sheet(offers: DataFrame, winners: DataFrame, pairs: DataFrame) -> DataFrame:
     """(x, y, ...): for each company x and each other y that it met: together, x_wins, y_wins, where the one's offer lies of the other's when
-    that wins (medians, null where none won), the shares of their units, the pair's level, the profile. ``pairs``: a, b, level."""
-    p, q = offers.select("unit", F.col("company").alias("x"), F.col("amount").alias("_p")), offers.select("unit", F.col("company").alias("y"), F.col("amount").alias("_q"))
-    met = p.join(q, "unit").where("x <> y").join(winners.select("unit", F.col("company").alias("_w")), "unit", "left")
-    x_won, y_won = F.col("_w") == F.col("x"), F.col("_w") == F.col("y")
-    rows = met.groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("together"), F.count_if(x_won).alias("x_wins"), F.count_if(y_won).alias("y_wins"),
-        F.median(F.when(x_won, F.col("_q") / F.col("_p") - 1)).alias("when_x_wins"), F.median(F.when(y_won, F.col("_p") / F.col("_q") - 1)).alias("when_y_wins"),
+    that wins (medians, null where none won), the shares of their units, the pair's level, the profile. ``pairs``: a, b, level.
+
+    A pair is made once, behind the shuffle of its first company with the offers behind it in a unit's list, and then told to both sides."""
+    own = offers.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("company", "amount"))).alias("_o"))
+    told = own.join(winners.select("unit", F.col("company").alias("_w")), "unit", "left")
+    every = stored(told.select("unit", F.col("_o.company").alias("members"), F.col("_o.amount").alias("_amounts"), "_w"), "unit-offers")
+    lists = every.where("unit IS NOT NULL AND size(members) > 1")
+    each = _later(lists, "_amounts", "_w").select("a", "bs", F.get("_amounts", F.col("_at")).alias("_p"), F.expr("slice(_amounts, _at + 2, size(_amounts))").alias("_qs"), "_w")
+    each = each.repartition(_tasks(lists, _size(F.col("members")) * (_size(F.col("members")) - 1) / 2), "a")
+    met = each.select("a", "_p", "_qs", "_w", F.posexplode("bs").alias("_i", "b")).where("a < b").select("a", "b", "_p", F.get("_qs", F.col("_i")).alias("_q"), "_w")
+    a_won, b_won = F.col("_w") == F.col("a"), F.col("_w") == F.col("b")
+    rows = met.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("together"), F.count_if(a_won).alias("_wa"), F.count_if(b_won).alias("_wb"),
+        F.median(F.when(a_won, F.col("_q") / F.col("_p") - 1)).alias("_ma"), F.median(F.when(b_won, F.col("_p") / F.col("_q") - 1)).alias("_mb"),
     )
-    n = offers.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
-    for side in ("x", "y"):
+    n = every.select(F.explode("members").alias("company")).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+    for side in ("a", "b"):
         rows = rows.join(n.select(F.col("company").alias(side), F.col("n").alias(f"_n{side}")), side)
-    level = pairs.select("a", "b", "level")
-    rows = rows.join(level, (F.least("x", "y") == F.col("a")) & (F.greatest("x", "y") == F.col("b")), "left")
-    return rows.select("x", "y", "together", "x_wins", "y_wins", "when_x_wins", "when_y_wins", (F.col("together") / F.col("_nx")).alias("share_x"), (F.col("together") / F.col("_ny")).alias("share_y"), "level", profile(F.col("x_wins"), F.col("y_wins")).alias("profile"))
+    rows = rows.join(pairs.where("level IS NOT NULL").select("a", "b", "level"), ["a", "b"], "left")
+    told_to = lambda x, y: F.struct(
+        F.col(x).alias("x"), F.col(y).alias("y"), "together", F.col(f"_w{x}").alias("x_wins"), F.col(f"_w{y}").alias("y_wins"), F.col(f"_m{x}").alias("when_x_wins"), F.col(f"_m{y}").alias("when_y_wins"),
+        (F.col("together") / F.col(f"_n{x}")).alias("share_x"), (F.col("together") / F.col(f"_n{y}")).alias("share_y"), "level",
+    )
+    return rows.select(F.inline(F.array(told_to("a", "b"), told_to("b", "a")))).withColumn("profile", profile(F.col("x_wins"), F.col("y_wins")))
 
 
 def sections(sheet: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from adjudica.operators import eligibility, simulate, tracking
+from adjudica.operators import commission, eligibility, sheets, simulate, tracking
 
 
 def plan_of(df):
@@ -75,3 +76,35 @@ def test_curve_is_made_once(spark):
     from adjudica.plans import tender_queries
 
     assert "MapInPandas" not in plan_of(tender_queries.decision_reasons(spark, "/root/testdata/sf0.001"))
+
+
+def test_sheet_makes_each_pair_once(spark):
+    offers = {1: {1: 10.0, 2: 12.0, 3: 9.0}, 2: {1: 20.0, 2: 30.0}, 3: {2: 8.0, 3: 4.0}, 4: {1: 5.0}, 5: {1: 40.0, 2: 44.0}}
+    won = {1: 1, 2: 2, 3: 3, 5: 1}
+    o = spark.createDataFrame([(u, c, a) for u, m in offers.items() for c, a in m.items()], "unit long, company long, amount double")
+    w = spark.createDataFrame(list(won.items()), "unit long, company long")
+    pairs = spark.createDataFrame([(1, 2, "fort"), (2, 3, None)], "a long, b long, level string")
+    sheet = sheets.company_sheet(o, w, pairs)
+    assert "REPARTITION_BY_NUM" in plan_of(sheet) and plan_of(sheet).count("Generate inline") == 1
+    got = {(r.x, r.y): r for r in sheet.collect()}
+    assert got.keys() == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
+    for (x, y), r in got.items():
+        both = [u for u, m in offers.items() if x in m and y in m]
+        gaps = lambda p, q: [offers[u][q] / offers[u][p] - 1 for u in both if won.get(u) == p]
+        middle = lambda v: pytest.approx(float(np.median(v))) if v else None
+        assert (r.together, r.x_wins, r.y_wins) == (len(both), len(gaps(x, y)), len(gaps(y, x)))
+        assert (r.when_x_wins, r.when_y_wins) == (middle(gaps(x, y)), middle(gaps(y, x)))
+        n = lambda c: sum(c in m for m in offers.values())
+        assert (r.share_x, r.share_y, r.level) == (len(both) / n(x), len(both) / n(y), "fort" if {x, y} == {1, 2} else None)
+
+
+def test_ranks_beside_all_bids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(u, k, None if rng.random() < 0.1 else float(rng.integers(5, 60)), [True, False, None][rng.choice(3, p=[0.4, 0.4, 0.2])]) for u in range(60) for k in range(1, rng.integers(2, 7))]
+    bids = spark.createDataFrame(rows, "unit long, seq long, amount double, admitted boolean")
+    tenders = spark.createDataFrame([(u, None if u % 9 == 0 else float(rng.integers(5, 60))) for u in range(55)], "unit long, estimation double")
+    own = commission.candidate_bids(bids, ["unit"])
+    want = {(r.unit, r.seq): (r["rank"], r.reference) for r in commission.commission_rank(own, commission.reference_prices(own, tenders, ["unit"], None), ["unit"]).collect()}
+    told = commission.ranked_bids(bids, tenders, ["unit"], None)
+    got = {(r.unit, r.seq): (r["rank"], r.reference) for r in told.collect()}
+    assert got.keys() == {(u, k) for u, k, _, _ in rows} and {k: v for k, v in got.items() if v[0] is not None} == want and len(want) > 60
