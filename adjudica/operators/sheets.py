@@ -160,13 +160,18 @@ def group_sheets(members: DataFrame, offers: DataFrame, outcomes: DataFrame, pai
     links = inside.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("a", "b", "together", "level"))).alias("pairs"))
     present = offers.join(members, "company").groupBy("group", "unit").agg(F.count(F.lit(1)).alias("present"))
     told = present.join(days.select("unit", "day"), "unit").join(outcomes.select("group", "unit", "won", "winner", "best_member", "gap_best"), ["group", "unit"], "left")
+    told = stored(told, "group-units")  # read for the counts and for both lists
+    counts = told.groupBy("group").agg(F.count_if(F.col("present") >= 2).alias("common"), F.count_if(~F.col("won")).alias("lost"), F.count_if("won").alias("won"))
     recent = W.partitionBy("group").orderBy(F.col("day").desc(), F.col("unit").desc())
-    listed = lambda rows, *columns: F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.struct(F.col("_n").cast("int").alias("place"), *columns))))
-    shared = told.where("present >= 2").withColumn("_n", F.row_number().over(recent)).groupBy("group").agg(F.count(F.lit(1)).alias("common"), listed(told, "unit", "day", "present", "won").alias("latest"))
-    lost = told.where("NOT won").withColumn("_n", F.row_number().over(recent)).groupBy("group").agg(F.count(F.lit(1)).alias("lost"), listed(told, "unit", "winner", "best_member", "gap_best").alias("losses"))
-    won = told.where("won").groupBy("group").agg(F.count(F.lit(1)).alias("won"))
+
+    def latest(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        first = rows.withColumn("place", F.row_number().over(recent)).where(F.col("place") <= most)  # cut in each task before a group meets
+        return first.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("place", *columns))).alias(name))
+
+    shared = latest(told.where("present >= 2"), "latest", "unit", "day", "present", "won")
+    lost = latest(told.where("NOT won"), "losses", "unit", "winner", "best_member", "gap_best")
     rows = roles
-    for part in (links, shared, lost, won):
+    for part in (links, counts, shared, lost):
         rows = rows.join(part, "group", "left")
     empty = {"pairs": links, "latest": shared, "losses": lost}
     return rows.select("group", "members", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("common", "won", "lost")], *[F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c) for c, of in empty.items()])

@@ -108,3 +108,21 @@ def test_ranks_beside_all_bids(spark):
     told = commission.ranked_bids(bids, tenders, ["unit"], None)
     got = {(r.unit, r.seq): (r["rank"], r.reference) for r in told.collect()}
     assert got.keys() == {(u, k) for u, k, _, _ in rows} and {k: v for k, v in got.items() if v[0] is not None} == want and len(want) > 60
+
+
+def test_group_sheets_cut_their_lists_before_groups_meet(spark):
+    o = spark.createDataFrame([(u, c, float(10 * c + u), c if c < 4 else None) for u in range(40) for c in (1, 2, 3, 4) if (u + c) % 3], "unit long, company long, amount double, rank long")
+    w = o.where("rank IS NOT NULL").groupBy("unit").agg(F.min("rank").alias("company"))
+    members = spark.createDataFrame([("g", 2), ("g", 3), ("h", 1), ("h", 4), ("i", 9)], "group string, company long")
+    days = o.select("unit", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("unit") % 5).cast("int")).alias("day")).distinct()
+    outcomes = sheets.group_outcomes(o, w, members, spark.createDataFrame([], "unit long, reference double"))
+    pairs = spark.createDataFrame([(2, 3, 7, "fort"), (1, 2, 3, None)], "a long, b long, together long, level string")
+    made = sheets.group_sheets(members, o, outcomes, pairs, days, 3)
+    assert plan_of(made).count("WindowGroupLimit") >= 4
+    rows, days_ = [tuple(r) for r in outcomes.select("group", "unit", "won").collect()], dict(tuple(r) for r in days.collect())
+    sheet = {r.group: r for r in made.collect()}
+    assert sheet.keys() == {"g", "h"} and [tuple(p) for p in sheet["g"].pairs] == [(2, 3, 7, "fort")] and sheet["h"].pairs == []
+    for g, r in sheet.items():
+        lost = sorted((u for k, u, won in rows if k == g and not won), key=lambda u: (days_[u], u), reverse=True)
+        assert (r.won, r.lost) == (sum(won for k, _, won in rows if k == g), len(lost)) and [(x.place, x.unit) for x in r.losses] == list(enumerate(lost[:3], 1))
+        assert r.common == sum(1 for u in range(40) if sum((u + c) % 3 > 0 for c in ((2, 3) if g == "g" else (1, 4))) > 1) and len(r.latest) == min(3, r.common)
