@@ -126,3 +126,15 @@ def test_group_sheets_cut_their_lists_before_groups_meet(spark):
         lost = sorted((u for k, u, won in rows if k == g and not won), key=lambda u: (days_[u], u), reverse=True)
         assert (r.won, r.lost) == (sum(won for k, _, won in rows if k == g), len(lost)) and [(x.place, x.unit) for x in r.losses] == list(enumerate(lost[:3], 1))
         assert r.common == sum(1 for u in range(40) if sum((u + c) % 3 > 0 for c in ((2, 3) if g == "g" else (1, 4))) > 1) and len(r.latest) == min(3, r.common)
+
+
+def test_lines_of_open_tenders_are_dealt_by_their_number(spark, monkeypatch):
+    from adjudica.plans import adapter, tender_queries
+
+    monkeypatch.setattr(adapter, "TASK_ROWS", 500)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    open_ = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderstatus = 'P'")
+    told = tender_queries._parts_of_open_tenders(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in plan_of(told) and f", {-(-lines.count() // 500)})" in plan_of(told)
+    want = lines.join(open_, lines.l_orderkey == open_.o_orderkey).select("l_orderkey", "l_partkey")
+    assert sorted(map(tuple, told.select("unit", "part").collect())) == sorted(map(tuple, want.collect()))
