@@ -69,6 +69,33 @@ def _followed(large: DataFrame, met: DataFrame) -> DataFrame:
     return made.unionByName(met.select("a", "b").join(side(many, "a"), "a").join(side(many, "b"), ["b", "buyer"]).select("a", "b", term))
 
 
+def _bought(small: DataFrame, tasks: int) -> DataFrame:
+    """(a, bs, na, units, ns): each company of a buyer with those behind it in the buyer's list. Lists are made in ``tasks`` tasks too, as what a task sends is
+    some ten times what it reads, and would be spilled."""
+    both = F.sort_array(F.collect_list(F.struct("company", F.col("n").cast("int").alias("n"))))
+    lists = small.repartition(tasks, "buyer").groupBy("buyer", "units").agg(both.alias("both")).select("units", F.col("both.company").alias("members"), F.col("both.n").alias("ns"))
+    return _later(lists, "units", "ns").select("a", "bs", F.get("ns", F.col("_at")).alias("na"), "units", F.expr("slice(ns, _at + 2, size(ns))").alias("ns"))
+
+
+def _of_met(presences: DataFrame, met: DataFrame) -> DataFrame:
+    """``met`` (a, b, together) with expected: only companies that are in a pair are sent to their buyers' lists, and buyers without two such send none."""
+    of = met.select(F.explode(F.array("a", "b")).alias("company")).distinct()
+    n = _buyer_companies(presences).join(of, "company", "left_semi")
+    k = n.groupBy("buyer").agg(F.count(F.lit(1)).alias("k"))
+    n = stored(n.drop("k").join(k.where("k > 1"), "buyer"), "met-buyer-companies")
+    small, large = n.where(F.col("k") <= LISTED), n.where(F.col("k") > LISTED)
+    tasks = _tasks(small.groupBy("buyer").agg(F.max("k").alias("k")), F.col("k") * (F.col("k") - 1) / 2)
+    # met pairs come as lists of one, so that a pair and its terms are summed behind one shuffle by ``a``
+    known = met.select("a", F.array("b").alias("bs"), F.lit(None).cast("int").alias("na"), F.col("together").alias("units"), F.lit(None).cast("array<int>").alias("ns"))
+    rows = _bought(small, tasks).unionByName(known).repartition(tasks, "a").select("a", "na", "units", "ns", F.posexplode("bs").alias("_i", "b")).where("a < b")
+    term = F.col("na").cast("long") * F.get("ns", F.col("_i")).cast("long") / F.col("units")
+    summed = rows.groupBy("a", "b").agg(F.max(F.when(F.col("na").isNull(), F.col("units"))).alias("together"), F.sum(term).alias("expected")).where("together IS NOT NULL")
+    if large.limit(1).count():
+        more = _followed(large, met).select("a", "b", F.lit(None).cast("long").alias("together"), F.col("term").alias("expected"))
+        summed = summed.unionByName(more).groupBy("a", "b").agg(F.max("together").alias("together"), F.sum("expected").alias("expected")).where("together IS NOT NULL")
+    return summed.where("expected IS NOT NULL")
+
+
 def met_and_expected(presences: DataFrame, least: int = 1) -> DataFrame:
     """(a, b, together, expected) of the pairs with ``least`` shared units: expected is the sum over buyers of nA * nB / N, what independent
     choices of each buyer's units would give.
@@ -77,13 +104,13 @@ def met_and_expected(presences: DataFrame, least: int = 1) -> DataFrame:
     pairs themselves are not shuffled, and a task makes about ``TASK_PAIRS`` of them however many there are. Buyers of more than
     ``LISTED`` companies are not gathered; each goes the cheaper of two ways (``_followed``).
     """
+    if least > 1:
+        return _of_met(presences, stored(shared_units(presences, least), "met"))
     units, n = _unit_lists(presences), _buyer_companies(presences)
-    small, large = n.where(F.col("k") <= LISTED), n.where(F.col("k") > LISTED)
-    both = F.sort_array(F.collect_list(F.struct("company", F.col("n").cast("int").alias("n"))))
-    lists = small.groupBy("buyer", "units").agg(both.alias("both")).select("units", F.col("both.company").alias("members"), F.col("both.n").alias("ns"))
+    large = n.where(F.col("k") > LISTED)
     count = units.select(_size(F.col("members")).alias("k")).unionByName(n.where(F.col("k") <= LISTED).groupBy("buyer").agg(F.max("k").alias("k")).select("k"))
     tasks = _tasks(count, F.col("k") * (F.col("k") - 1) / 2)
-    bought = _later(lists, "units", "ns").select("a", "bs", F.get("ns", F.col("_at")).alias("na"), "units", F.expr("slice(ns, _at + 2, size(ns))").alias("ns"))
+    bought = _bought(n.where(F.col("k") <= LISTED), tasks)
     shared = _later(units).select("a", "bs", F.lit(None).cast("int").alias("na"), F.lit(None).cast("long").alias("units"), F.lit(None).cast("array<int>").alias("ns"))
     rows = bought.unionByName(shared).repartition(tasks, "a").select("a", "na", "units", "ns", F.posexplode("bs").alias("_i", "b")).where("a < b")
     term = F.col("na").cast("long") * F.get("ns", F.col("_i")).cast("long") / F.col("units")

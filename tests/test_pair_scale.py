@@ -72,3 +72,17 @@ def test_around_some_companies(spark):
     for companies, asked in ((None, set(range(25))), (some, {3, 7})):
         got = {(r.x, r.y): (r.together, r.x_wins_with, r.y_wins_with) for r in copresence.around(frame, wins, companies).collect()}
         assert got == {(x, y): (want[x, y, "n"], want[x, y, "x"], want[x, y, "y"]) for x, y, k in want if k == "n" and x in asked}
+
+
+@pytest.mark.parametrize("listed", [1 << 8, 3, 0])
+def test_only_companies_of_a_pair_meet_at_buyers(spark, monkeypatch, listed):
+    monkeypatch.setattr(copresence, "LISTED", listed)
+    kept, stored = {}, copresence.stored
+    monkeypatch.setattr(copresence, "stored", lambda df, label: kept.setdefault(label, stored(df, label)))
+    rows, frame = made(spark, units=170, companies=60)
+    want = {k: v for k, v in plain(rows).items() if v[0] >= 4}
+    got = {(r.a, r.b): (r.together, r.expected) for r in copresence.met_and_expected(frame.where("unit IS NOT NULL"), 4).collect()}
+    assert got.keys() == want.keys() and got
+    assert all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
+    companies = {r.company for r in kept["met-buyer-companies"].collect()}
+    assert companies == {c for k in want for c in k} and len(companies) < 60
