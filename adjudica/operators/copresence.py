@@ -146,26 +146,29 @@ def around(presences: DataFrame, wins: DataFrame, companies: DataFrame | None =
     """For each company x (of ``companies``, or all) and each other y that shares a unit with it: together, x_wins_with, y_wins_with,
     a = x's wins with y / x's wins, b = together / x's units, c = together / y's units, ratio = a / b, part, reading.
     ``wins``: unit, company."""
-    wins, own = stored(wins.select("unit", "company"), "wins"), presences.select("unit", "company")
+    wins, own = stored(wins.select("unit", "company"), "wins"), stored(presences.select("unit", "company"), "presences")
+    # what a company is told with goes along in the lists, so that no pair is joined
+    won = wins.groupBy("company").agg(F.count(F.lit(1)).alias("won"))
+    of = stored(own.groupBy("company").agg(F.count(F.lit(1)).alias("n")).join(won, "company", "left"), "company-counts")
     if companies is not None:
-        presences = own = stored(own, "presences")
         own = own.join(own.join(companies.select("company"), "company", "left_semi").select("unit").distinct(), "unit", "left_semi")
     winners = wins.groupBy("unit").agg(F.collect_list("company").alias("winners"))
-    met = own.groupBy("unit").agg(F.sort_array(F.collect_list("company")).alias("members")).join(winners, "unit", "left")
-    every = stored(met.withColumn("winners", F.coalesce("winners", F.array().cast(winners.schema["winners"].dataType))), "unit-lists")
-    seen = every.select(F.explode("members").alias("company")) if companies is None else presences
-    lists = every.where("unit IS NOT NULL AND size(members) > 1")
+    both = F.sort_array(F.collect_list(F.struct("company", "n", "won"))).alias("both")
+    met = own.where("unit IS NOT NULL").join(of, "company").groupBy("unit").agg(both).where("size(both) > 1").join(winners, "unit", "left")
+    winners = F.coalesce("winners", F.array().cast(winners.schema["winners"].dataType)).alias("winners")
+    lists = stored(met.select(F.col("both.company").alias("members"), F.col("both.n").alias("ns"), F.col("both.won").alias("wons"), winners), "unit-lists")
     tasks = _tasks(lists, _size(F.col("members")) * (_size(F.col("members")) - 1) / 2)
-    rows = _later(lists, "winners").select("a", "bs", "winners").repartition(tasks, "a").select("a", F.explode("bs").alias("b"), "winners").where("a < b")
+    behind = lambda c: F.expr(f"slice({c}, _at + 2, size({c}))").alias(c)
+    rows = _later(lists, "winners", "ns", "wons").select("a", "bs", "winners", F.get("ns", F.col("_at")).alias("na"), F.get("wons", F.col("_at")).alias("ka"), behind("ns"), behind("wons"))
+    rows = rows.repartition(tasks, "a").select("a", F.posexplode("bs").alias("_i", "b"), "winners", "na", "ka", "ns", "wons").where("a < b")
+    rows = rows.select("a", "b", "winners", "na", "ka", F.get("ns", F.col("_i")).alias("nb"), F.get("wons", F.col("_i")).alias("kb"))
     won = lambda end: F.sum(_size(F.filter("winners", lambda w: w == F.col(end)))).alias(f"w{end}")
-    met = rows.groupBy("a", "b").agg(F.sum(F.greatest(_size(F.col("winners")), F.lit(1))).alias("together"), won("a"), won("b"))
-    both = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "together", F.col(f"w{x}").alias("x_wins_with"), F.col(f"w{y}").alias("y_wins_with"))
+    met = rows.groupBy("a", "b").agg(F.sum(F.greatest(_size(F.col("winners")), F.lit(1))).alias("together"), won("a"), won("b"), *[F.max(c).alias(c) for c in ("na", "nb", "ka", "kb")])
+    told = lambda x, y: [F.col(f"w{x}").alias("x_wins_with"), F.col(f"w{y}").alias("y_wins_with"), F.col(f"n{x}").alias("x_units"), F.col(f"n{y}").alias("y_units"), F.col(f"k{x}").alias("x_wins"), F.col(f"k{y}").alias("y_wins")]
+    both = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "together", *told(x, y))
     rows = met.select(F.explode(F.array(both("a", "b"), both("b", "a"))).alias("_r")).select("_r.*")
     if companies is not None:
         rows = rows.join(companies.select(F.col("company").alias("x")), "x", "left_semi")
-    units, won = seen.groupBy("company").agg(F.count(F.lit(1)).alias("n")), wins.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
-    for frame, side, name in ((units, "x", "x_units"), (units, "y", "y_units"), (won, "x", "x_wins"), (won, "y", "y_wins")):
-        rows = rows.join(frame.select(F.col("company").alias(side), F.col("n").alias(name)), side, "left")
     rows = rows.withColumns({"a": F.coalesce(F.col("x_wins_with") / F.col("x_wins"), F.lit(0.0)), "b": F.col("together") / F.col("x_units"), "c": F.col("together") / F.col("y_units"), "part": F.when(F.coalesce("y_wins", F.lit(0)) > 0, F.least(F.lit(1.0), F.col("y_wins_with") / F.col("y_wins")))})
     rows = rows.withColumn("ratio", F.when(F.col("b") > 0, F.col("a") / F.col("b")))
     reading = (

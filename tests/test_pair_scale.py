@@ -86,3 +86,20 @@ def test_only_companies_of_a_pair_meet_at_buyers(spark, monkeypatch, listed):
     assert all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
     companies = {r.company for r in kept["met-buyer-companies"].collect()}
     assert companies == {c for k in want for c in k} and len(companies) < 60
+
+
+def test_what_surrounds_a_company_is_joined_before_the_pairs(spark):
+    rows, frame = made(spark)
+    wins = frame.groupBy("unit").agg({"company": "min"}).withColumnRenamed("min(company)", "company")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where companies are too many to be sent to all
+    try:
+        found = copresence.around(frame.where("unit IS NOT NULL"), wins.where("unit IS NOT NULL"))
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    units, won = collections.Counter(c for _, c, _ in rows), collections.Counter(r.company for r in wins.where("unit IS NOT NULL").collect())
+    assert len(got) > 200
+    for r in got:
+        assert (r.x_units, r.y_units, r.x_wins or 0, r.y_wins or 0) == (units[r.x], units[r.y], won[r.x], won[r.y])
